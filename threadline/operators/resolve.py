@@ -154,15 +154,23 @@ def hint_stats(definitions: DataFrame, objects: DataFrame, id_col: str = "object
 
 
 def merge_hints(refs: DataFrame, hints: DataFrame, mode: str = "union", id_col: str = "object_id") -> DataFrame:
-    """Validated references and hints together: id, role, name, ref_id, name_only, from_hint.
+    """Validated references and hints together.
+
+    Columns: id, role, name, ref_id, name_only, and where a row came from: from_text, from_hint.
 
     ``union`` adds hints to what was found; ``replace`` drops the found references of a
     direction (role) for every object that has hints in it.
     """
     hinted = hints.select(
-        id_col, "role", "name", "ref_id", F.lit(False).alias("name_only"), F.lit(True).alias("from_hint")
+        id_col,
+        "role",
+        "name",
+        "ref_id",
+        F.lit(False).alias("name_only"),
+        F.lit(False).alias("from_text"),
+        F.lit(True).alias("from_hint"),
     )
-    found = refs.withColumn("from_hint", F.lit(False))
+    found = refs.withColumns({"from_text": F.lit(True), "from_hint": F.lit(False)})
     if mode == "replace":
         found = found.join(hints.select(id_col, "role").distinct(), [id_col, "role"], "left_anti")
     elif mode != "union":
@@ -173,6 +181,7 @@ def merge_hints(refs: DataFrame, hints: DataFrame, mode: str = "union", id_col:
         .agg(
             F.min("ref_id").alias("ref_id"),
             F.min("name_only").alias("name_only"),
+            F.max("from_text").alias("from_text"),
             F.max("from_hint").alias("from_hint"),
         )
     )
@@ -276,7 +285,7 @@ def parse_definitions(
     per_object = resolved.groupBy("object_id").agg(
         F.count_if(known & F.col("role").isin("source", "function")).alias("input_count"),
         F.count_if(known & F.col("role").isin("target", "sp_call")).alias("output_count"),
-        F.count_if(known & table & ~F.col("from_hint")).alias("expected_count"),
+        F.count_if(known & table & F.col("from_text")).alias("expected_count"),
         F.count_if(known & table).alias("found_count"),
         F.bool_or("from_hint").alias("has_hints"),
     )
