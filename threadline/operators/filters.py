@@ -25,7 +25,7 @@ def edge_ends(edges: DataFrame) -> DataFrame:
 
 def drop_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes with at least one edge to a known node."""
-    ends = edge_ends(node_edges(edges, nodes).where("source_id <> target_id"))
+    ends = edge_ends(node_edges(edges, nodes))
     return nodes.join(ends, "id", "left_semi")
 
 
