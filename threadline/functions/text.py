@@ -53,16 +53,16 @@ def squeeze_ws(sql: Column) -> Column:
 
 
 def simplify_select(sql: Column) -> Column:
-    """Column lists become ``*``; a list never reaches past the next SELECT.
+    """Column lists become ``*``; a list never reaches past the next SELECT, INTO or semicolon.
 
     The text is cut in front of every SELECT, so each piece holds one column list at most and
-    a lazy scan to its first FROM is enough.
+    a lazy scan to its first FROM or INTO is enough.
     """
     pieces = F.split(sql, r"(?i)(?=\bSELECT\b)")
     short = F.transform(
         pieces,
         lambda piece: F.regexp_replace(
-            piece, r"(?is)^SELECT\s+(TOP\s+\d+\s+|DISTINCT\s+)?.*?(?=\s+FROM\b)", "SELECT $1*"
+            piece, r"(?is)^SELECT\s+(TOP\s+\d+\s+|DISTINCT\s+)?[^;]*?(?=\s+(?:INTO|FROM)\b)", "SELECT $1*"
         ),
     )
     return F.array_join(short, "")

@@ -183,7 +183,7 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         category="extraction",
         priority=10,
         extraction_target="target",
-        pattern=r"(?:\bINTO\s+([^\s,;()]+)|\bCREATE\s+TABLE\s+([^\s,;()]+)\s+AS\s+SELECT)",
+        pattern=r"(?:\bSELECT\b[^;]*?\bINTO\s+([^\s,;()]+)|\bCREATE\s+TABLE\s+([^\s,;()]+)\s+AS\s+SELECT)",
         groups=(1, 2),
         skip_catalog_validation=True,
     ),

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadline.functions import ddl
-from threadline.functions.stem import porter_stem
+from threadline.functions import stem as stemming
 
 # Ranking parameters, result limit and snippet length.
 BM25_K = 1.2
@@ -85,16 +86,18 @@ def tokens(text: Column, fold_accents: bool = False) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: t != "")
 
 
-@F.pandas_udf("string")
-def stem(terms: pd.Series) -> pd.Series:
-    """Porter stems; each distinct word of a batch is stemmed once."""
-    codes, words = pd.factorize(terms)
-    stems = pd.Series([porter_stem(w) for w in words], dtype="object")
-    return pd.Series(stems.to_numpy()[codes] if len(words) else [], dtype="object")
+def stem(terms: Column | str) -> Column:
+    """Porter stems of a word column."""
+    # Shipped by value, so executors need no installed copy of this package.
+    cloudpickle.register_pickle_by_value(stemming)
+    return F.pandas_udf(stemming.stem_batch, T.StringType())(terms)
 
 
 class TextIndex:
-    """Postings (term, id, tf) and document lengths (id, length) of a text collection."""
+    """Postings (term, id, tf, length) and document lengths (id, length) of a text collection.
+
+    Postings repeat the document length, so ranking needs no lookup per hit.
+    """
 
     def __init__(self, postings: DataFrame, lengths: DataFrame, stemmed: bool, fold_accents: bool):
         self.postings = postings
@@ -132,13 +135,15 @@ def build_index(
     if stop_words:
         words = F.filter(words, lambda t: ~t.isin(*stop_words))
     base = docs.select(F.col(id_col).alias("id"), words.alias("words"))
-    lengths = base.select("id", F.size("words").cast("bigint").alias("length"))
-    term_rows = base.select("id", F.explode("words").alias("term"))
+    length = F.size("words").cast("bigint")
+    lengths = base.select("id", length.alias("length"))
+    term_rows = base.select("id", length.alias("length"), F.explode("words").alias("term"))
     # All words of a document are in one task, so counting merges them before the shuffle.
-    postings = term_rows.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    postings = term_rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
     if stemmed:
-        postings = postings.withColumn("term", stem("term")).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
-    return TextIndex(postings.select("term", "id", "tf"), lengths, stemmed, fold_accents)
+        stems = postings.withColumn("term", stem("term"))
+        postings = stems.groupBy("id", "term").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
+    return TextIndex(postings.select("term", "id", "tf", "length"), lengths, stemmed, fold_accents)
 
 
 def query_terms(query: str, index: TextIndex) -> list[str]:
@@ -146,7 +151,7 @@ def query_terms(query: str, index: TextIndex) -> list[str]:
     if index.fold_accents:
         text = text.translate(str.maketrans(*_accent_map()))
     words = [w for w in re.split("[^a-z]+", text) if w]
-    return sorted({porter_stem(w) if index.stemmed else w for w in words})
+    return sorted({stemming.porter_stem(w) if index.stemmed else w for w in words})
 
 
 def search(
@@ -173,13 +178,14 @@ def search(
         raise ValueError(f"unknown mode: {mode}")
     found = index.postings.where(hit)
     df = found.groupBy("term").agg(F.count("*").alias("df"))
+    if mode != "prefix":
+        df = F.broadcast(df)  # one row per query word at most
     stats = index.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     total, mean = stats.select("n").scalar(), stats.select("mean").scalar()
     idf = F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
     scored = (
         found.join(df, "term")
-        .join(index.lengths, "id")
         .groupBy("id")
         .agg(F.round(F.sum(idf * weight), 6).alias("score"), F.count_distinct("term").alias("_terms"))
     )

@@ -1,9 +1,9 @@
 """Traversals: level traces, paths, reachability.
 
 Each level joins the frontier with the edges, keeps ids not seen before, and is written to the
-shared folder. The loop ends on an empty level; only that emptiness reaches the driver. The
-planner sees the written size of a level, so a small frontier is broadcast and a large one is
-shuffled, where the adaptive skew join splits the edges of hub objects.
+shared folder by one job that also counts it. The loop ends on an empty level; only the count
+reaches the driver. The planner sees the written size of a level, so a small frontier is
+broadcast and a large one is shuffled, where the adaptive skew join splits the edges of hubs.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadline.functions import names
 from threadline.operators.filters import facet_condition
 from threadline.operators.graph import node_edges
-from threadline.session import write_stage
+from threadline.session import scratch_dir, write_counted, write_stage
 
 # Levels of a trace unless asked otherwise.
 DEFAULT_LEVELS = 3
@@ -38,24 +39,49 @@ class TraceRequest:
         return facet_condition(self.schemas, None, self.model_types) & ~names.matches_any(F.col("name"), self.exclude)
 
 
-def _levels(edges: DataFrame, seeds: DataFrame, max_levels: int | None, label: str) -> DataFrame:
-    """(id, depth) of everything reachable along source → target, depth minimal.
+def _walk(edges: DataFrame, seeds: DataFrame, limits: dict[str, int | None], label: str) -> DataFrame:
+    """(id, direction, depth) of everything reachable from the seeds, depth minimal.
 
-    ``edges`` (source_id, target_id) and ``seeds`` (id) must already be restricted to allowed ids.
+    ``edges`` (source_id, target_id) must already be restricted to allowed ids; ``seeds`` is (id).
+    ``downstream`` walks source → target, ``upstream`` the other way, ``any`` ignores the
+    direction of edges. All directions advance together, one job per level.
     """
-    frontier = write_stage(seeds.select("id").distinct().withColumn("depth", F.lit(0)), f"{label}-0")
-    seen = frontier
-    level = 0
-    while max_levels is None or level < max_levels:
-        if frontier.isEmpty():
+    spark = edges.sparkSession
+    steps = edges.select(F.explode(F.array(*[_step(d) for d in limits for d in _ways(d)])).alias("s")).select("s.*")
+    root = scratch_dir(spark, label)
+    keys = T.StructType([seeds.schema["id"], T.StructField("direction", T.StringType())])
+    with_depth = T.StructType([*keys.fields, T.StructField("depth", T.IntegerType())])
+
+    start = seeds.select("id", F.explode(F.array(*[F.lit(d) for d in limits])).alias("direction")).distinct()
+    count, level = write_counted(start, f"{root}/depth=0"), 0
+    while count:
+        going = [d for d, limit in limits.items() if limit is None or level < limit]
+        if not going:
             break
+        frontier = spark.read.schema(keys).parquet(f"{root}/depth={level}").where(F.col("direction").isin(*going))
+        seen = spark.read.schema(with_depth).parquet(root).select("id", "direction")
+        reached = (
+            steps.where(F.col("direction").isin(*going))
+            .join(frontier.withColumnRenamed("id", "at"), ["at", "direction"], "left_semi")
+            .select("id", "direction")
+            .distinct()
+        )
         level += 1
-        keys = frontier.select(F.col("id").alias("_at"))
-        reached = edges.join(keys, F.col("source_id") == F.col("_at"), "left_semi").select(F.col("target_id").alias("id")).distinct()
-        fresh = reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(level))
-        frontier = write_stage(fresh, f"{label}-{level}")
-        seen = seen.unionByName(frontier)
-    return seen
+        count = write_counted(reached.join(seen, ["id", "direction"], "left_anti"), f"{root}/depth={level}")
+    return spark.read.schema(with_depth).parquet(root)
+
+
+def _ways(direction: str) -> list[tuple[str, str]]:
+    return [(direction, "downstream"), (direction, "upstream")] if direction == "any" else [(direction, direction)]
+
+
+def _step(way: tuple[str, str]) -> Column:
+    """One edge as a step: where it starts, where it leads, and the walk it belongs to."""
+    direction, orientation = way
+    if orientation not in ("downstream", "upstream"):
+        raise ValueError(f"unknown direction: {direction}")
+    ends = ("source_id", "target_id") if orientation == "downstream" else ("target_id", "source_id")
+    return F.struct(F.col(ends[0]).alias("at"), F.col(ends[1]).alias("id"), F.lit(direction).alias("direction"))
 
 
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -80,11 +106,7 @@ def trace(nodes: DataFrame, edges: DataFrame, request: TraceRequest) -> DataFram
     allowed = nodes.where(request.condition())
     usable = _allowed_edges(allowed, edges, "trace-edges")
     seeds = allowed.where(F.col("id") == F.lit(request.start)).select("id")
-    parts = []
-    for direction, limit in (("upstream", request.upstream), ("downstream", request.downstream)):
-        found = _levels(_oriented(usable, direction), seeds, limit, f"trace-{direction}")
-        parts.append(found.select("id", F.lit(direction).alias("direction"), "depth"))
-    return parts[0].unionByName(parts[1])
+    return _walk(usable, seeds, {"upstream": request.upstream, "downstream": request.downstream}, "trace")
 
 
 def path_nodes(
@@ -99,16 +121,11 @@ def path_nodes(
     start, end = F.lit(request.start), F.lit(request.end)
     allowed = nodes.where(request.condition() | (F.col("id") == start))
     usable = _oriented(_allowed_edges(allowed, edges, "path-edges"), direction)
-    ahead = _levels(usable, allowed.where(F.col("id") == start), max_depth, "path-ahead")
+    ahead = _walk(usable, allowed.where(F.col("id") == start), {"downstream": max_depth}, "path-ahead")
     goal = ahead.where(F.col("id") == end)
     # Walking back from the end only through what the start reaches keeps the second pass small.
     reachable = node_edges(usable, ahead)
-    back = _levels(
-        reachable.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")),
-        goal,
-        max_depth,
-        "path-back",
-    )
+    back = _walk(reachable, goal, {"upstream": max_depth}, "path-back")
     joined = ahead.select("id", F.col("depth").alias("from_start")).join(
         back.select("id", F.col("depth").alias("to_end")), "id"
     )
@@ -163,13 +180,5 @@ def reachable_from_focus(nodes: DataFrame, edges: DataFrame, focus_schemas: list
     if not focus_schemas:
         return nodes
     usable = _allowed_edges(nodes, edges, "focus-edges")
-    both = usable.select(
-        F.explode(
-            F.array(
-                F.struct("source_id", "target_id"),
-                F.struct(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")),
-            )
-        ).alias("e")
-    ).select("e.source_id", "e.target_id")
     seeds = nodes.where(F.col("schema").isin(*focus_schemas)).select("id")
-    return nodes.join(_levels(both, seeds, None, "focus").select("id"), "id", "left_semi")
+    return nodes.join(_walk(usable, seeds, {"any": None}, "focus").select("id"), "id", "left_semi")

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from threadline.session import scratch_dir
 
@@ -216,31 +217,33 @@ def ctes(*names: str) -> str:
     )
 
 
-_written: dict[tuple[str, str], dict[str, str]] = {}
+_written: dict[tuple[str, str], dict[str, tuple[str, StructType]]] = {}
 
 
-def load_catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Derived tables of ``sf_dir``, written once per application to the shared folder."""
+def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table of ``sf_dir``; all are written once per application to the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         _written[key] = write_catalog(spark, sf_dir)
-    return {name: spark.read.parquet(path) for name, path in _written[key].items()}
+    path, schema = _written[key][name]
+    return spark.read.schema(schema).parquet(path)
 
 
-def write_catalog(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+def write_catalog(spark: SparkSession, sf_dir: str) -> dict[str, tuple[str, StructType]]:
     prefix = "c" + hashlib.md5(sf_dir.encode()).hexdigest()[:8]
     root = scratch_dir(spark, "catalog")
     for name in BASE_TABLES:
         spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").createOrReplaceTempView(f"{prefix}_{name}")
-    paths: dict[str, str] = {}
+    paths: dict[str, tuple[str, StructType]] = {}
     for name in TABLES:
         sql = CATALOG_SQL[name].format(ts="TIMESTAMP_NTZ").replace('"precision"', "precision")
         aliases = ", ".join(
             f"{table} AS (SELECT * FROM {prefix}_{table})" for table in (*BASE_TABLES, *paths)
         )
-        paths[name] = f"{root}/{name}"
-        spark.sql(f"WITH {aliases} {sql}").write.parquet(paths[name])
-        spark.read.parquet(paths[name]).createOrReplaceTempView(f"{prefix}_{name}")
+        table = spark.sql(f"WITH {aliases} {sql}")
+        paths[name] = (f"{root}/{name}", table.schema)
+        table.write.parquet(paths[name][0])
+        spark.read.schema(table.schema).parquet(paths[name][0]).createOrReplaceTempView(f"{prefix}_{name}")
     return paths
 
 

@@ -20,9 +20,9 @@ def log_lines(
     spark: SparkSession, path: str, n: int = LAST_LINES, level: str | None = None, text: str | None = None
 ) -> DataFrame:
     """The last ``n`` lines, newest last, then filtered by level and text."""
-    lines = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("pos"), "value"
-    )
+    # File, block and row number within the task give the order of lines without a global sort.
+    order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(order.alias("pos"), "value")
     return filter_lines(lines, n, level, text)
 
 

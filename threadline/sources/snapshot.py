@@ -178,16 +178,16 @@ def write_snapshot(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
 
 
 def export_definitions(definitions: DataFrame, objects: DataFrame, folder: str) -> None:
-    """Procedure texts as text files under ``schema_name=…/object_name=…``.
+    """Procedure texts as text files below ``schema_name=…``, each headed by ``-- [schema].[name]``.
 
-    Rows are spread by object, so one task holds few open files at a time.
+    Every task appends what it holds to its own files, so a schema with most of the objects is
+    written by all tasks and the number of files does not grow with the number of objects.
     """
-    keyed = definitions.join(
-        objects.where("object_type = 'Stored Procedure'").select("object_id", "schema_name", "object_name"), "object_id"
-    )
+    named = objects.where("object_type = 'Stored Procedure'").select("object_id", "schema_name", "object_name")
+    header = F.concat(F.lit("-- ["), "schema_name", F.lit("].["), "object_name", F.lit("]\n"))
     (
-        keyed.repartition("schema_name", "object_name")
-        .select("schema_name", "object_name", F.col("definition").alias("value"))
-        .write.partitionBy("schema_name", "object_name")
+        definitions.join(named, "object_id")
+        .select("schema_name", F.concat(header, "definition").alias("value"))
+        .write.partitionBy("schema_name")
         .text(folder)
     )
