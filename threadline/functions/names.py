@@ -76,21 +76,24 @@ def bare(identifier: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(identifier, r'[\[\]"]', ""), r"[,;\s]+$", ""))
 
 
-def normalise_ident(identifier: Column, default_schema: str | None = "dbo") -> Column:
-    """``schema.name`` from the last two dotted parts.
+def qualified(identifier: Column, default_schema: str | None = "dbo") -> Column:
+    """``schema.name`` of a bare identifier: its last two dotted parts, NULL if one is empty.
 
-    A single part gets ``default_schema`` (``(unknown)`` if None). Empty parts give NULL.
+    A single part gets ``default_schema`` (``(unknown)`` if None).
     """
-    parts = F.split(bare(identifier), r"\.")
-    last, before = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2))
-    single = F.concat(F.lit(f"{default_schema or '(unknown)'}."), last)
+    last_two = F.substring_index(identifier, ".", -2)
     return (
-        F.when(last == "", None)
-        .when(F.size(parts) == 1, single)
-        .when(before != "", F.concat(before, F.lit("."), last))
+        F.when(identifier == "", None)
+        .when(~F.contains(identifier, F.lit(".")), F.concat(F.lit(f"{default_schema or '(unknown)'}."), identifier))
+        .when(~(last_two.startswith(".") | last_two.endswith(".")), last_two)
     )
 
 
+def normalise_ident(identifier: Column, default_schema: str | None = "dbo") -> Column:
+    """:func:`qualified` of an identifier that may still carry brackets, quotes and separators."""
+    return qualified(bare(identifier), default_schema)
+
+
 def safe_identifier(identifier: Column) -> Column:
     clean = identifier.rlike(IDENTIFIER)
     for word in UNSAFE_WORDS:

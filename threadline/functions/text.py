@@ -15,8 +15,7 @@ STATEMENT_KEYWORDS = "DECLARE|INSERT|UPDATE|DELETE|MERGE|TRUNCATE"
 # Text patterns of procedure headers, comments and terminal colours.
 COMMENT = r"--[^\r\n]*|/\*(?s:.*?)\*/"
 ANSI_COLOUR = r"\x1b\[[0-9;]+m|\[4m|\[0m"
-PROC_HEADER = r"(?is)^.*?CREATE\s+PROC(?:EDURE)?\s+\[[^\]]+\]\.\[[^\]]+\].*?AS\s+BEGIN"
-TRAILING_END = r"(?i)\s*END\s*$"
+PROC_FRAME = r"(?is)^.*?CREATE\s+PROC(?:EDURE)?\s+\[[^\]]+\]\.\[[^\]]+\].*?AS\s+BEGIN(.*?)(?:\s*END\s*)?$"
 
 
 def strip_comments(sql: Column) -> Column:
@@ -29,8 +28,7 @@ def strip_ansi(sql: Column) -> Column:
 
 def proc_body(sql: Column) -> Column:
     """Text after the first ``CREATE PROC [s].[n] … AS BEGIN``, without the closing END."""
-    body = F.regexp_replace(sql, PROC_HEADER, "")
-    return F.when(sql.rlike(PROC_HEADER), F.regexp_replace(body, TRAILING_END, "")).otherwise(sql)
+    return F.regexp_replace(sql, PROC_FRAME, "$1")
 
 
 def split_statements(sql: Column) -> Column:
@@ -73,3 +71,16 @@ def normalise_sql(sql: Column, simplify: bool = True) -> Column:
     text = until_commit(split_statements(proc_body(strip_ansi(sql))))
     text = squeeze_ws(text)
     return F.trim(simplify_select(text)) if simplify else text
+
+
+# A character that no pattern takes for white space; stands for blanks inside brackets.
+INNER_BLANK = "\u00a0"
+
+
+def unquote_identifiers(sql: Column) -> Column:
+    """Text without brackets and double quotes; blanks inside brackets are kept as ``INNER_BLANK``.
+
+    Identifiers are at most 128 characters long, which bounds the look-ahead.
+    """
+    kept = F.regexp_replace(sql, r"[ \t](?=[^\[\]]{0,128}\])", INNER_BLANK)
+    return F.translate(F.when(sql.rlike(r"\[[^\[\]\s]*[ \t]"), kept).otherwise(sql), '[]"', "")

@@ -99,45 +99,84 @@ def extract_refs(
 ) -> DataFrame:
     """Distinct references per text: id, role, name (``schema.name``), skip_catalog.
 
-    ``skip_catalog`` is true when a rule that creates tables found the name.
+    ``skip_catalog`` is true when a rule that creates tables found the name. An alias that is a
+    reserved word counts as no alias.
     """
-    stage = definitions.select(
+    stage = definitions.where(F.col(text_col).isNotNull()).select(
         F.col(id_col), clean_text(F.col(text_col), rules, dialect, simplify).alias("_sql")
-    ).where(F.col("_sql").isNotNull())
+    )
+    stage = stage.select(id_col, text.unquote_identifiers(F.col("_sql")).alias("_sql"))
     stage = stage.select(
         id_col,
-        F.flatten(F.array(*[_tagged(F.col("_sql"), r) for r in active(rules, dialect, "extraction")])).alias("_m"),
+        F.flatten(F.array(*[_named(F.col("_sql"), r) for r in active(rules, dialect, "extraction")])).alias("_m"),
         non_persistent(F.col("_sql")).alias("_np"),
         F.transform(_all(F.col("_sql"), ALIAS, 2), lambda a: F.lower(a)).alias("_alias"),
         _all(F.col("_sql"), ALIAS, 1).alias("_aliased"),
     )
+    refs = _qualify(F.col("_m"), default_schema)
+    refs = F.filter(
+        refs,
+        lambda r: r["name"].isNotNull()
+        & ~r["schema"].isin(*[x.lower() for x in excluded])
+        & ~(r["table"].startswith("#") | r["table"].startswith("@"))
+        & ~F.array_contains(F.col("_np"), r["table"]),
+    )
+    if only_safe:
+        refs = F.filter(refs, lambda r: names.safe_identifier(r["name"]))
+    # As plain text, references are told apart by a hash set, not pair by pair.
+    keys = F.array_distinct(
+        F.transform(refs, lambda r: F.concat_ws("|", r["role"], r["skip"].cast("string"), r["name"]))
+    )
+    stage = stage.select(id_col, keys.alias("_keys"))
+    created = F.transform(
+        F.filter("_keys", lambda k: k.startswith("target|true|")), lambda k: F.concat(F.lit("target|false|"), F.substr(k, F.lit(13)))
+    )
+    part = lambda i: F.split_part("_key", F.lit("|"), F.lit(i))
+    return stage.select(id_col, F.explode(F.array_except("_keys", created)).alias("_key")).select(
+        id_col,
+        part(1).alias("role"),
+        F.translate(part(3), text.INNER_BLANK, " ").alias("name"),
+        (part(2) == "true").alias("skip_catalog"),
+    )
+
+
+def _named(sql: Column, rule: Rule) -> Column:
+    return F.transform(
+        F.array_distinct(rule_matches(sql, rule)),
+        lambda raw: F.struct(
+            F.lit(rule.extraction_target).alias("role"), F.lit(rule.skip_catalog_validation).alias("skip"), raw.alias("raw")
+        ),
+    )
+
+
+def _qualify(matches: Column, default_schema: str | None) -> Column:
+    """Matches with aliases replaced: (role, skip, name, schema, table), the last two lower-cased.
 
-    def resolved(m: Column) -> Column:
-        raw = F.lower(names.bare(m["raw"]))
-        at = F.when(~raw.isin(*RESERVED), F.array_position(F.col("_alias"), raw)).otherwise(0)
-        real = F.when(at > 0, F.element_at(F.col("_aliased"), at.cast("int"))).otherwise(m["raw"])
-        return F.struct(
-            m["role"].alias("role"),
-            F.when(~raw.isin(*RESERVED), names.normalise_ident(real, default_schema)).alias("name"),
-            m["skip_catalog"].alias("skip_catalog"),
-        )
-
-    def kept(r: Column) -> Column:
-        schema = F.lower(F.split_part(r["name"], F.lit("."), F.lit(1)))
-        table = F.lower(F.split_part(r["name"], F.lit("."), F.lit(-1)))
-        keep = (
-            r["name"].isNotNull()
-            & ~schema.isin(*[s.lower() for s in excluded])
-            & ~table.rlike("^[#@]")
-            & ~F.array_contains(F.col("_np"), table)
-            & ~table.isin(*RESERVED)
-        )
-        return keep & names.safe_identifier(r["name"]) if only_safe else keep
-
-    refs = F.array_distinct(F.filter(F.transform(F.col("_m"), resolved), kept))
-    rows = stage.select(id_col, F.explode(refs).alias("r")).select(id_col, "r.role", "r.name", "r.skip_catalog")
-    # Rows of one text leave the same task, so map-side aggregation already merges them.
-    return rows.groupBy(id_col, "role", "name").agg(F.max("skip_catalog").alias("skip_catalog"))
+    Lambdas are interpreted and share nothing, so every step binds what the next one reads.
+    """
+    base = lambda r: (r["role"].alias("role"), r["skip"].alias("skip"))
+    keyed = F.transform(matches, lambda r: F.struct(*base(r), r["raw"].alias("raw"), F.lower(r["raw"]).alias("key")))
+    words = F.filter(keyed, lambda r: ~r["key"].isin(*RESERVED))
+    placed = F.transform(
+        words,
+        lambda r: F.struct(*base(r), r["raw"].alias("raw"), F.array_position(F.col("_alias"), r["key"]).cast("int").alias("at")),
+    )
+    real = F.transform(
+        placed,
+        lambda r: F.struct(
+            *base(r), F.when(r["at"] > 0, F.element_at(F.col("_aliased"), r["at"])).otherwise(r["raw"]).alias("real")
+        ),
+    )
+    named = F.transform(real, lambda r: F.struct(*base(r), names.qualified(r["real"], default_schema).alias("name")))
+    return F.transform(
+        named,
+        lambda r: F.struct(
+            *base(r),
+            r["name"].alias("name"),
+            F.lower(F.substring_index(r["name"], ".", 1)).alias("schema"),
+            F.lower(F.substring_index(r["name"], ".", -1)).alias("table"),
+        ),
+    )
 
 
 def filter_refs(

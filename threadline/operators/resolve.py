@@ -10,6 +10,7 @@ from threadline.operators.rules import DEFAULT_RULES, Rule
 from threadline.sources.contracts import FUNCTION_TYPES
 
 # Hint comment patterns, read from the uncleaned text.
+HINT_MARK = r"(?i)@LINEAGE_(?:IN|OUT)PUTS:"
 HINT_INPUTS = r"(?imd)--\s*@LINEAGE_INPUTS:\s*(.+?)(?:\n|$)"
 HINT_OUTPUTS = r"(?imd)--\s*@LINEAGE_OUTPUTS:\s*(.+?)(?:\n|$)"
 
@@ -59,12 +60,9 @@ def validate_refs(refs: DataFrame, objects: DataFrame, keep_created: bool = True
     created = F.col("skip_catalog") & (F.col("role") == "target")
     dummy = F.lower("name").startswith("dummy.")
     kept = found.where((known | created if keep_created else known) & ~dummy)
-    return kept.select(
-        id_col,
-        "role",
-        F.coalesce("full_name", "name").alias("name"),
-        "ref_id",
-        (~known).alias("name_only"),
+    # Spellings that differ in case only meet here.
+    return kept.groupBy(id_col, "role", F.coalesce("full_name", "name").alias("name")).agg(
+        F.min("ref_id").alias("ref_id"), F.bool_and(~known).alias("name_only")
     )
 
 
@@ -87,19 +85,10 @@ def _hint_names(sql: Column, pattern: str) -> Column:
     lists = F.regexp_extract_all(sql, F.lit(pattern), F.lit(1))
     items = F.flatten(F.transform(lists, lambda h: F.split(h, ",")))
 
-    def normalised(item: Column) -> Column:
-        parts = F.transform(F.split(F.regexp_replace(item, r"[\[\]]", ""), r"\."), lambda p: _strip(p))
-        return (
-            F.when(_strip(item) == "", None)
-            .when(F.size(parts) == 1, F.concat(F.lit("dbo."), parts[0]))
-            .when(F.size(parts) == 2, F.concat(parts[0], F.lit("."), F.try_element_at(parts, F.lit(2))))
-        )
-
-    return F.array_distinct(F.array_compact(F.transform(items, normalised)))
-
-
-def _strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    # Blanks around names and dots go with the brackets; more than two parts are no name.
+    bare = F.transform(items, lambda item: F.regexp_replace(F.translate(item, "[]", ""), r"^\s+|\s+$|\s*(\.)\s*", "$1"))
+    named = F.filter(bare, lambda item: (item != "") & ~item.rlike(r"\..*\."))
+    return F.array_distinct(F.transform(named, lambda item: F.when(F.contains(item, F.lit(".")), item).otherwise(F.concat(F.lit("dbo."), item))))
 
 
 def extract_hints(definitions: DataFrame, id_col: str = "object_id", text_col: str = "definition") -> DataFrame:
@@ -111,7 +100,7 @@ def extract_hints(definitions: DataFrame, id_col: str = "object_id", text_col: s
             _hint_names(sql, pattern), lambda n: F.struct(F.lit(role).alias("role"), n.alias("name"))
         )
 
-    return definitions.where(sql.contains("@")).select(
+    return definitions.where(sql.rlike(HINT_MARK)).select(
         id_col, F.explode(F.concat(rows(HINT_INPUTS, "source"), rows(HINT_OUTPUTS, "target"))).alias("h")
     ).select(id_col, "h.role", "h.name")
 

@@ -124,7 +124,8 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         category="extraction",
         priority=5,
         extraction_target="source",
-        pattern=r"\b(FROM|JOIN|INNER\s+JOIN|LEFT\s+(?:OUTER\s+)?JOIN|RIGHT\s+(?:OUTER\s+)?JOIN|FULL\s+(?:OUTER\s+)?JOIN|CROSS\s+JOIN|OUTER\s+JOIN|USING)\b\s+([^\s,;()]+)",
+        # Every kind of join ends in the word JOIN, so its qualifiers need no alternatives.
+        pattern=r"\b(FROM|JOIN|USING)\b\s+([^\s,;()]+)",
     ),
     Rule(
         name="extract_targets_ansi",

@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,7 +90,8 @@ def stem(terms: Column | str) -> Column:
     """Porter stems of a word column."""
     # Shipped by value, so executors need no installed copy of this package.
     cloudpickle.register_pickle_by_value(stemming)
-    return F.pandas_udf(stemming.stem_batch, T.StringType())(terms)
+    # Declared non-deterministic so that the optimizer does not copy the call into filters.
+    return F.pandas_udf(stemming.stem_batches, T.StringType()).asNondeterministic()(terms)
 
 
 class TextIndex:
@@ -117,6 +118,18 @@ class TextIndex:
         keyed.repartition("bucket", spread).write.partitionBy("bucket").parquet(f"{folder}/postings")
         self.lengths.write.parquet(f"{folder}/lengths")
 
+    @staticmethod
+    def load(spark: SparkSession, folder: str, terms: list[str] | None = None, stemmed: bool = False, fold_accents: bool = False, buckets: int = 64) -> TextIndex:
+        """A written index; with ``terms`` only the folders that can hold them are read."""
+        postings = spark.read.parquet(f"{folder}/postings")
+        if terms is not None:
+            wanted = [term_bucket(F.lit(t), buckets) for t in terms]
+            hit = F.lit(False)
+            for bucket in wanted:
+                hit = hit | (F.col("bucket") == bucket)
+            postings = postings.where(hit & F.col("term").isin(*terms))
+        return TextIndex(postings.drop("bucket"), spark.read.parquet(f"{folder}/lengths"), stemmed, fold_accents)
+
 
 def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
@@ -180,8 +193,8 @@ def search(
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     if mode != "prefix":
         df = F.broadcast(df)  # one row per query word at most
-    stats = index.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    total, mean = stats.select("n").scalar(), stats.select("mean").scalar()
+    stats = index.lengths.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean")).alias("stats")).scalar()
+    total, mean = stats["n"], stats["mean"]
     idf = F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
     scored = (

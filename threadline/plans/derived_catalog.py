@@ -242,6 +242,8 @@ def write_catalog(spark: SparkSession, sf_dir: str) -> dict[str, tuple[str, Stru
         )
         table = spark.sql(f"WITH {aliases} {sql}")
         paths[name] = (f"{root}/{name}", table.schema)
+        if name == "definitions":  # work on texts is heavy: spread them over all cores
+            table = table.repartition(spark.sparkContext.defaultParallelism)
         table.write.parquet(paths[name][0])
         spark.read.schema(table.schema).parquet(paths[name][0]).createOrReplaceTempView(f"{prefix}_{name}")
     return paths
