@@ -141,7 +141,7 @@ def test_parse_result_without_text(make, catalog):
 
 def test_long_texts_do_not_overflow(make, catalog):
     wide = "SELECT " + ", ".join(f"CASE WHEN c{i} = 1 THEN 'x;y' END AS c{i}" for i in range(20_000)) + " FROM dbo.t1; "
-    many = "".join(f"INSERT INTO dbo.T{i} SELECT a, b FROM dbo.S{i} s JOIN dbo.t3 q ON q.i = s.i; " for i in range(4_000))
+    many = "".join(f"INSERT INTO dbo.X{i} SELECT a, b FROM dbo.S{i} s JOIN dbo.t3 q ON q.i = s.i; " for i in range(4_000))
     long_comment = "/*" + "FROM dbo.Orders " * 50_000 + "*/"
     sql = "CREATE PROCEDURE [dbo].[big] AS BEGIN " + wide + long_comment + many + "INSERT INTO dbo.t2 SELECT 1 AS a FROM dbo.Customers END"
     rows = {(r["role"], r["name"]) for r in _resolved(make, catalog, sql).collect()}

@@ -106,27 +106,30 @@ def extract_refs(
         F.col(id_col), clean_text(F.col(text_col), rules, dialect, simplify).alias("_sql")
     )
     stage = stage.select(id_col, text.unquote_identifiers(F.col("_sql")).alias("_sql"))
-    stage = stage.select(
-        id_col,
-        F.flatten(F.array(*[_named(F.col("_sql"), r) for r in active(rules, dialect, "extraction")])).alias("_m"),
-        non_persistent(F.col("_sql")).alias("_np"),
-        F.transform(_all(F.col("_sql"), ALIAS, 2), lambda a: F.lower(a)).alias("_alias"),
-        _all(F.col("_sql"), ALIAS, 1).alias("_aliased"),
-    )
-    refs = _qualify(F.col("_m"), default_schema)
-    refs = F.filter(
-        refs,
-        lambda r: r["name"].isNotNull()
-        & ~r["schema"].isin(*[x.lower() for x in excluded])
-        & ~(r["table"].startswith("#") | r["table"].startswith("@"))
-        & ~F.array_contains(F.col("_np"), r["table"]),
-    )
-    if only_safe:
-        refs = F.filter(refs, lambda r: names.safe_identifier(r["name"]))
-    # As plain text, references are told apart by a hash set, not pair by pair.
-    keys = F.array_distinct(
-        F.transform(refs, lambda r: F.concat_ws("|", r["role"], r["skip"].cast("string"), r["name"]))
+    sql = F.col("_sql")
+    # What all matches of a text share is bound to one lambda variable. A plain column would be
+    # inlined into the inner lambdas and computed again for every match.
+    shared = F.struct(
+        F.flatten(F.array(*[_named(sql, r) for r in active(rules, dialect, "extraction")])).alias("matches"),
+        non_persistent(sql).alias("local"),
+        F.transform(_all(sql, ALIAS, 2), lambda a: F.lower(a)).alias("aliases"),
+        _all(sql, ALIAS, 1).alias("aliased"),
     )
+
+    def text_keys(shared: Column) -> Column:
+        refs = F.filter(
+            _qualify(shared, default_schema),
+            lambda r: r["name"].isNotNull()
+            & ~r["schema"].isin(*[x.lower() for x in excluded])
+            & ~(r["table"].startswith("#") | r["table"].startswith("@"))
+            & ~F.array_contains(shared["local"], r["table"]),
+        )
+        if only_safe:
+            refs = F.filter(refs, lambda r: names.safe_identifier(r["name"]))
+        # As plain text, references are told apart by a hash set, not pair by pair.
+        return F.array_distinct(F.transform(refs, lambda r: F.concat_ws("|", r["role"], r["skip"].cast("string"), r["name"])))
+
+    keys = F.flatten(F.transform(F.array(shared), text_keys))
     stage = stage.select(id_col, keys.alias("_keys"))
     created = F.transform(
         F.filter("_keys", lambda k: k.startswith("target|true|")), lambda k: F.concat(F.lit("target|false|"), F.substr(k, F.lit(13)))
@@ -149,22 +152,22 @@ def _named(sql: Column, rule: Rule) -> Column:
     )
 
 
-def _qualify(matches: Column, default_schema: str | None) -> Column:
+def _qualify(shared: Column, default_schema: str | None) -> Column:
     """Matches with aliases replaced: (role, skip, name, schema, table), the last two lower-cased.
 
     Lambdas are interpreted and share nothing, so every step binds what the next one reads.
     """
     base = lambda r: (r["role"].alias("role"), r["skip"].alias("skip"))
-    keyed = F.transform(matches, lambda r: F.struct(*base(r), r["raw"].alias("raw"), F.lower(r["raw"]).alias("key")))
+    keyed = F.transform(shared["matches"], lambda r: F.struct(*base(r), r["raw"].alias("raw"), F.lower(r["raw"]).alias("key")))
     words = F.filter(keyed, lambda r: ~r["key"].isin(*RESERVED))
     placed = F.transform(
         words,
-        lambda r: F.struct(*base(r), r["raw"].alias("raw"), F.array_position(F.col("_alias"), r["key"]).cast("int").alias("at")),
+        lambda r: F.struct(*base(r), r["raw"].alias("raw"), F.array_position(shared["aliases"], r["key"]).cast("int").alias("at")),
     )
     real = F.transform(
         placed,
         lambda r: F.struct(
-            *base(r), F.when(r["at"] > 0, F.element_at(F.col("_aliased"), r["at"])).otherwise(r["raw"]).alias("real")
+            *base(r), F.when(r["at"] > 0, F.element_at(shared["aliased"], r["at"])).otherwise(r["raw"]).alias("real")
         ),
     )
     named = F.transform(real, lambda r: F.struct(*base(r), names.qualified(r["real"], default_schema).alias("name")))
