@@ -275,6 +275,12 @@ def validate_hints(c):
     return resolve.validate_hints(resolve.extract_hints(c.definitions), c.objects)
 
 
+def _merged(c: Catalog, mode: str):
+    texts = _proc_texts(c)
+    refs = resolve.validate_refs(extract.extract_refs(texts), c.objects)
+    return resolve.merge_hints(refs, resolve.validate_hints(resolve.extract_hints(texts), c.objects), mode)
+
+
 @check(
     "C29_merge_hints_union",
     with_ctes(
@@ -284,7 +290,7 @@ def validate_hints(c):
     ),
 )
 def merge_hints_union(c):
-    return resolve.resolve_definitions(_proc_texts(c), c.objects).withColumn("ref_id", F.coalesce("ref_id", F.lit(-1)))
+    return _merged(c, "union").withColumn("ref_id", F.coalesce("ref_id", F.lit(-1)))
 
 
 @check(
@@ -297,6 +303,31 @@ def merge_hints_union(c):
     ),
 )
 def merge_hints_replace(c):
+    return _merged(c, "replace").select("object_id", "role", "name", "from_hint")
+
+
+@check(
+    "C22_C29_resolve_definitions",
+    with_ctes(
+        "objects proc_facts",
+        "SELECT object_id, role, name, coalesce(ref_id, -1) AS ref_id, name_only, from_text, from_hint FROM merged",
+        *RESOLVED,
+    ),
+)
+def resolve_definitions(c):
+    return resolve.resolve_definitions(_proc_texts(c), c.objects).withColumn("ref_id", F.coalesce("ref_id", F.lit(-1)))
+
+
+@check(
+    "C22_C29_resolve_replacing",
+    with_ctes(
+        "objects proc_facts",
+        """SELECT object_id, role, name, false AS from_hint FROM valid v WHERE NOT EXISTS (SELECT 1 FROM valid_hints h WHERE h.object_id = v.object_id AND h.role = v.role)
+        UNION SELECT object_id, role, name, true FROM valid_hints""",
+        *RESOLVED[:6],
+    ),
+)
+def resolve_replacing(c):
     return resolve.resolve_definitions(_proc_texts(c), c.objects, hint_mode="replace").select("object_id", "role", "name", "from_hint")
 
 

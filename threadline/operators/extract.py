@@ -29,11 +29,36 @@ TEMP_TABLE = r"(#\w+)"
 TABLE_VARIABLE = r"(?i)\bDECLARE\s+@(\w+)\s+TABLE\b"
 ALIAS = r"(?i)\b(?:FROM|JOIN)\s+(?=([^\s,;()]+)\s+(?:AS\s+)?(\w+)\b)"
 
+# Hint comment patterns, read from the uncleaned text.
+HINT_MARK = r"(?i)@LINEAGE_(?:IN|OUT)PUTS:"
+HINT_INPUTS = r"(?imd)--\s*@LINEAGE_INPUTS:\s*(.+?)(?:\n|$)"
+HINT_OUTPUTS = r"(?imd)--\s*@LINEAGE_OUTPUTS:\s*(.+?)(?:\n|$)"
+
 
 def _all(sql: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(sql, F.lit(pattern), F.lit(group))
 
 
+def _hint_names(sql: Column, pattern: str) -> Column:
+    items = F.flatten(F.transform(_all(sql, pattern, 1), lambda h: F.split(h, ",")))
+    # Blanks around names and dots go with the brackets; more than two parts are no name.
+    bare = F.transform(items, lambda item: F.regexp_replace(F.translate(item, "[]", ""), r"^\s+|\s+$|\s*(\.)\s*", "$1"))
+    named = F.filter(bare, lambda item: (item != "") & ~item.rlike(r"\..*\."))
+    return F.array_distinct(
+        F.transform(named, lambda item: F.when(F.contains(item, F.lit(".")), item).otherwise(F.concat(F.lit("dbo."), item)))
+    )
+
+
+def hint_rows(sql: Column) -> Column:
+    """(role, name) of the hint comments of a raw text; a single name gets the schema ``dbo``."""
+
+    def rows(pattern: str, role: str) -> Column:
+        return F.transform(_hint_names(sql, pattern), lambda n: F.struct(F.lit(role).alias("role"), n.alias("name")))
+
+    none = F.array().cast("array<struct<role:string,name:string>>")
+    return F.when(sql.rlike(HINT_MARK), F.concat(rows(HINT_INPUTS, "source"), rows(HINT_OUTPUTS, "target"))).otherwise(none)
+
+
 def non_persistent(sql: Column) -> Column:
     """Lower-cased names of CTEs, temp tables and table variables in a text."""
     found = F.array_union(
@@ -102,11 +127,48 @@ def extract_refs(
     ``skip_catalog`` is true when a rule that creates tables found the name. An alias that is a
     reserved word counts as no alias.
     """
+    stage = _cleaned(definitions, rules, dialect, simplify, id_col, text_col).select(
+        id_col, _reference_keys(F.col("_sql"), rules, dialect, default_schema, excluded, only_safe).alias("_keys")
+    )
+    return _explode_keys(stage, _prefer_created(F.col("_keys")), id_col).drop("from_hint")
+
+
+def read_references(
+    definitions: DataFrame,
+    rules: tuple[Rule, ...] = DEFAULT_RULES,
+    dialect: str = "tsql",
+    default_schema: str | None = "dbo",
+    excluded: tuple[str, ...] = EXCLUDED_SCHEMAS,
+    id_col: str = "object_id",
+    text_col: str = "definition",
+) -> DataFrame:
+    """References and hints of every text in one scan: the columns of :func:`extract_refs` and from_hint."""
+    hints = F.transform(hint_rows(F.col(text_col)), lambda h: F.concat_ws("|", h["role"], F.lit("hint"), h["name"]))
+    stage = _cleaned(definitions, rules, dialect, True, id_col, text_col, hints.alias("_hints")).select(
+        id_col, _reference_keys(F.col("_sql"), rules, dialect, default_schema, excluded).alias("_keys"), "_hints"
+    )
+    return _explode_keys(stage, F.concat(_prefer_created(F.col("_keys")), "_hints"), id_col)
+
+
+def _cleaned(
+    definitions: DataFrame, rules: tuple[Rule, ...], dialect: str, simplify: bool, id_col: str, text_col: str, *more: Column
+) -> DataFrame:
+    extra = ["_hints"] if more else []
     stage = definitions.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col), clean_text(F.col(text_col), rules, dialect, simplify).alias("_sql")
+        F.col(id_col), clean_text(F.col(text_col), rules, dialect, simplify).alias("_sql"), *more
     )
-    stage = stage.select(id_col, text.unquote_identifiers(F.col("_sql")).alias("_sql"))
-    sql = F.col("_sql")
+    return stage.select(id_col, text.unquote_identifiers(F.col("_sql")).alias("_sql"), *extra)
+
+
+def _reference_keys(
+    sql: Column,
+    rules: tuple[Rule, ...],
+    dialect: str,
+    default_schema: str | None,
+    excluded: tuple[str, ...],
+    only_safe: bool = False,
+) -> Column:
+    """Distinct ``role|skip_catalog|name`` texts of a cleaned text."""
     # What all matches of a text share is bound to one lambda variable. A plain column would be
     # inlined into the inner lambdas and computed again for every match.
     shared = F.struct(
@@ -129,17 +191,30 @@ def extract_refs(
         # As plain text, references are told apart by a hash set, not pair by pair.
         return F.array_distinct(F.transform(refs, lambda r: F.concat_ws("|", r["role"], r["skip"].cast("string"), r["name"])))
 
-    keys = F.flatten(F.transform(F.array(shared), text_keys))
-    stage = stage.select(id_col, keys.alias("_keys"))
+    return F.flatten(F.transform(F.array(shared), text_keys))
+
+
+def _prefer_created(keys: Column) -> Column:
+    """Keys without the plain ones of targets that are also created."""
     created = F.transform(
-        F.filter("_keys", lambda k: k.startswith("target|true|")), lambda k: F.concat(F.lit("target|false|"), F.substr(k, F.lit(13)))
+        F.filter(keys, lambda k: k.startswith("target|true|")), lambda k: F.concat(F.lit("target|false|"), F.substr(k, F.lit(13)))
     )
+    return F.array_except(keys, created)
+
+
+def _explode_keys(stage: DataFrame, keys: Column, id_col: str) -> DataFrame:
+    """One row per key.
+
+    ``keys`` is exploded as an expression: from a plain column the optimizer derives a size
+    filter, pushes it below the projection and thereby runs the whole extraction again.
+    """
     part = lambda i: F.split_part("_key", F.lit("|"), F.lit(i))
-    return stage.select(id_col, F.explode(F.array_except("_keys", created)).alias("_key")).select(
+    return stage.select(id_col, F.explode(keys).alias("_key")).select(
         id_col,
         part(1).alias("role"),
         F.translate(part(3), text.INNER_BLANK, " ").alias("name"),
         (part(2) == "true").alias("skip_catalog"),
+        (part(2) == "hint").alias("from_hint"),
     )
 
 

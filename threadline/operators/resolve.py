@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadline.operators.extract import extract_refs
+from threadline.operators.extract import extract_refs, hint_rows, read_references
 from threadline.operators.rules import DEFAULT_RULES, Rule
 from threadline.sources.contracts import FUNCTION_TYPES
 
-# Hint comment patterns, read from the uncleaned text.
-HINT_MARK = r"(?i)@LINEAGE_(?:IN|OUT)PUTS:"
-HINT_INPUTS = r"(?imd)--\s*@LINEAGE_INPUTS:\s*(.+?)(?:\n|$)"
-HINT_OUTPUTS = r"(?imd)--\s*@LINEAGE_OUTPUTS:\s*(.+?)(?:\n|$)"
-
-
 def _kind_of_type(object_type: Column) -> Column:
     return (
         F.when(object_type.isin("Table", "View"), "table")
@@ -27,12 +21,16 @@ def _kind_of_role(role: Column) -> Column:
     return F.when(role == "sp_call", "procedure").when(role == "function", "function").otherwise("table")
 
 
-def catalog_names(objects: DataFrame) -> DataFrame:
-    """One row per (kind, lower-cased full name): the smallest object id and its spelling."""
+def catalog_names(objects: DataFrame, with_hints: bool = False) -> DataFrame:
+    """One row per (kind, lower-cased full name): the smallest object id and its spelling.
+
+    Hints may name tables, views and procedures alike; these have the extra kind ``hint``.
+    """
     full = F.concat_ws(".", "schema_name", "object_name")
+    own = _kind_of_type(F.col("object_type"))
+    kinds = F.array(own, F.when(own.isin("table", "procedure"), "hint")) if with_hints else F.array(own)
     return (
-        objects.select(_kind_of_type(F.col("object_type")).alias("kind"), "object_id", full.alias("full_name"))
-        .where("kind IS NOT NULL")
+        objects.select(F.explode(F.array_compact(kinds)).alias("kind"), "object_id", full.alias("full_name"))
         .groupBy("kind", F.lower("full_name").alias("name_key"))
         .agg(F.min(F.struct("object_id", "full_name")).alias("hit"))
         .select("kind", "name_key", F.col("hit.object_id").alias("ref_id"), F.col("hit.full_name").alias("full_name"))
@@ -81,43 +79,15 @@ def lookup_names(names_df: DataFrame, objects: DataFrame, default_schema: str =
     )
 
 
-def _hint_names(sql: Column, pattern: str) -> Column:
-    lists = F.regexp_extract_all(sql, F.lit(pattern), F.lit(1))
-    items = F.flatten(F.transform(lists, lambda h: F.split(h, ",")))
-
-    # Blanks around names and dots go with the brackets; more than two parts are no name.
-    bare = F.transform(items, lambda item: F.regexp_replace(F.translate(item, "[]", ""), r"^\s+|\s+$|\s*(\.)\s*", "$1"))
-    named = F.filter(bare, lambda item: (item != "") & ~item.rlike(r"\..*\."))
-    return F.array_distinct(F.transform(named, lambda item: F.when(F.contains(item, F.lit(".")), item).otherwise(F.concat(F.lit("dbo."), item))))
-
-
 def extract_hints(definitions: DataFrame, id_col: str = "object_id", text_col: str = "definition") -> DataFrame:
     """Names in hint comments of the raw text: id, role, name."""
-    sql = F.col(text_col)
-
-    def rows(pattern: str, role: str) -> Column:
-        return F.transform(
-            _hint_names(sql, pattern), lambda n: F.struct(F.lit(role).alias("role"), n.alias("name"))
-        )
-
-    return definitions.where(sql.rlike(HINT_MARK)).select(
-        id_col, F.explode(F.concat(rows(HINT_INPUTS, "source"), rows(HINT_OUTPUTS, "target"))).alias("h")
-    ).select(id_col, "h.role", "h.name")
-
-
-def _hint_catalog(objects: DataFrame) -> DataFrame:
-    full = F.concat_ws(".", "schema_name", "object_name")
-    return (
-        objects.where(F.col("object_type").isin("Table", "View", "Stored Procedure"))
-        .groupBy(F.lower(full).alias("name_key"))
-        .agg(F.min(F.struct("object_id", full.alias("full_name"))).alias("hit"))
-        .select("name_key", F.col("hit.object_id").alias("ref_id"), F.col("hit.full_name").alias("full_name"))
-    )
+    return definitions.select(id_col, F.explode(hint_rows(F.col(text_col))).alias("h")).select(id_col, "h.role", "h.name")
 
 
 def check_hints(hints: DataFrame, objects: DataFrame) -> DataFrame:
     """All hints with the catalog object they name, NULL when unknown."""
-    return hints.withColumn("name_key", F.lower("name")).join(_hint_catalog(objects), "name_key", "left").drop("name_key")
+    catalog = catalog_names(objects, with_hints=True).where("kind = 'hint'").drop("kind")
+    return hints.withColumn("name_key", F.lower("name")).join(catalog, "name_key", "left").drop("name_key")
 
 
 def validate_hints(hints: DataFrame, objects: DataFrame, id_col: str = "object_id") -> DataFrame:
@@ -196,9 +166,30 @@ def resolve_definitions(
     keep_created: bool = True,
     default_schema: str | None = "dbo",
 ) -> DataFrame:
-    """Text to validated references, hints merged in."""
-    refs = validate_refs(extract_refs(definitions, rules, dialect, default_schema), objects, keep_created)
-    return merge_hints(refs, validate_hints(extract_hints(definitions), objects), hint_mode)
+    """Text to validated references, hints merged in: the result of :func:`merge_hints`.
+
+    References and hints come from one scan of the texts and meet the catalog in one lookup.
+    """
+    rows = read_references(definitions, rules, dialect, default_schema)
+    kind = F.when(F.col("from_hint"), "hint").otherwise(_kind_of_role(F.col("role")))
+    found = rows.withColumns({"kind": kind, "name_key": F.lower("name")}).join(
+        catalog_names(objects, with_hints=True), ["kind", "name_key"], "left"
+    )
+    known = F.col("ref_id").isNotNull()
+    created = F.col("skip_catalog") & (F.col("role") == "target")
+    kept = found.where((known | created if keep_created else known) & (F.col("from_hint") | ~F.lower("name").startswith("dummy.")))
+    if hint_mode == "replace":
+        # A group holds the references of one text only.
+        per_object = Window.partitionBy("object_id", "role")
+        kept = kept.withColumn("_hinted", F.max("from_hint").over(per_object)).where(F.col("from_hint") | ~F.col("_hinted"))
+    elif hint_mode != "union":
+        raise ValueError(f"unknown mode: {hint_mode}")
+    return kept.groupBy("object_id", "role", F.coalesce("full_name", "name").alias("name")).agg(
+        F.min("ref_id").alias("ref_id"),
+        F.bool_and(~known).alias("name_only"),
+        F.max(~F.col("from_hint")).alias("from_text"),
+        F.max("from_hint").alias("from_hint"),
+    )
 
 
 def parse_diagnostics(refs: DataFrame, resolved: DataFrame, id_col: str = "object_id") -> DataFrame:
@@ -263,12 +254,11 @@ def parse_definitions(
     """
     catalog = objects if catalog is None else catalog
     wanted = objects.where(F.col("object_type").isin(*object_types)).select("object_id", "modify_date")
-    texts = wanted.join(definitions, "object_id", "left").withColumn(
-        "has_text", F.coalesce(F.length("definition") > 0, F.lit(False))
-    )
-    with_text = texts.where("has_text").select("object_id", "definition")
+    # Texts stay where they are: only a flag and the short references are joined.
+    flags = definitions.select("object_id", (F.length("definition") > 0).alias("_text"))
+    texts = wanted.join(flags, "object_id", "left").withColumn("has_text", F.coalesce("_text", F.lit(False)))
     if resolved is None:
-        resolved = resolve_definitions(with_text, catalog, rules, dialect, hint_mode)
+        resolved = resolve_definitions(definitions, catalog, rules, dialect, hint_mode)
     table = F.col("role").isin("source", "target")
     known = F.col("ref_id").isNotNull()
     per_object = resolved.groupBy("object_id").agg(

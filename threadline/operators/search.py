@@ -79,11 +79,11 @@ def _accent_map() -> tuple[str, str]:
     return "".join(plain), "".join(plain.values())
 
 
-def tokens(text: Column, fold_accents: bool = False) -> Column:
-    """Words of a text: runs of a-z after lower-casing, optionally with accents folded first."""
+def pieces(text: Column, fold_accents: bool = False) -> Column:
+    """The text cut at everything but a-z after lower-casing, optionally with accents folded first."""
     if fold_accents:
         text = F.translate(text, *_accent_map())
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: t != "")
+    return F.split(F.lower(text), "[^a-z]+")
 
 
 def stem(terms: Column | str) -> Column:
@@ -144,13 +144,15 @@ def build_index(
     fold_accents: bool = False,
 ) -> TextIndex:
     """Index the joined text columns of every document, whole texts."""
-    words = F.flatten(F.array(*[F.coalesce(tokens(F.col(c), fold_accents), F.array().cast("array<string>")) for c in text_cols]))
-    if stop_words:
-        words = F.filter(words, lambda t: ~t.isin(*stop_words))
-    base = docs.select(F.col(id_col).alias("id"), words.alias("words"))
-    length = F.size("words").cast("bigint")
+    none = F.array().cast("array<string>")
+    cut = F.flatten(F.array(*[F.coalesce(pieces(F.col(c), fold_accents), none) for c in text_cols]))
+    base = docs.select(F.col(id_col).alias("id"), cut.alias("pieces"))
+    # Exploding an expression, not a column, keeps the optimizer from deriving a size filter
+    # that would cut every text twice.
+    words = F.filter("pieces", lambda w: (w != "") & ~w.isin(*stop_words) if stop_words else w != "")
+    length = F.size(words).cast("bigint")
     lengths = base.select("id", length.alias("length"))
-    term_rows = base.select("id", length.alias("length"), F.explode("words").alias("term"))
+    term_rows = base.select("id", length.alias("length"), F.explode(words).alias("term"))
     # All words of a document are in one task, so counting merges them before the shuffle.
     postings = term_rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
     if stemmed:
