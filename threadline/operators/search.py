@@ -150,9 +150,10 @@ def build_index(
     # Exploding an expression, not a column, keeps the optimizer from deriving a size filter
     # that would cut every text twice.
     words = F.filter("pieces", lambda w: (w != "") & ~w.isin(*stop_words) if stop_words else w != "")
-    length = F.size(words).cast("bigint")
-    lengths = base.select("id", length.alias("length"))
-    term_rows = base.select("id", length.alias("length"), F.explode(words).alias("term"))
+    # The length is fixed below the explode; next to it, it would be computed per word.
+    sized = base.select("id", F.size(words).cast("bigint").alias("length"), "pieces")
+    lengths = sized.select("id", "length")
+    term_rows = sized.select("id", "length", F.explode(words).alias("term"))
     # All words of a document are in one task, so counting merges them before the shuffle.
     postings = term_rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
     if stemmed:
