@@ -21,7 +21,7 @@ from threadline import build_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 HEADLINE = (
     "D9_build_nodes",
@@ -65,6 +65,7 @@ def main() -> None:
             checks.QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
         timings[name] = round(statistics.median(runs), 3)
+        print(name, timings[name], file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

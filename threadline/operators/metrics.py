@@ -18,10 +18,7 @@ def _scope() -> Column:
 
 
 def parse_metrics(objects: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Parse counts and rates, one row per object type and one for ALL.
-
-    Without objects there is still an ALL row of zeros.
-    """
+    """Parse counts and rates, one row per object type and one for ALL."""
     state = metadata.select("object_id", "parse_success", "primary_source")
     counts = (
         objects.select("object_id", "object_type")
