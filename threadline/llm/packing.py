@@ -9,8 +9,10 @@ open, so the waste does not grow with the number of rows in it.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import public_tokenizers
@@ -26,32 +28,68 @@ END = 1
 LENGTH = 4096
 #: Pieces in a shard, about: the waste of a shard is a few sequences.
 SHARD_PIECES = 1 << 16
-#: Words whose ids a task remembers.
-CACHE_WORDS = 500_000
+#: Words whose ids a process remembers.
+CACHE_WORDS = 400_000
+#: Signs that no contraction of the tokenizer's pattern begins with.
+SIGNS = ".,;:!?#$%&*|-()"
 
 
 class Encoder(dict):
     """Ids of white-space separated words as bytes; no match of the tokenizer's pattern crosses white space.
 
     The tokenizer composes characters and lower-cases them one by one before it matches, and neither
-    step reaches across white space, so the ids of a text are those of its words in order.
+    step reaches across white space, so the ids of a text are those of its words in order. Letters
+    before trailing signs are a match of their own, so both parts are looked up. New words of letters
+    are encoded together: each is one match, and the last id of a match is one with a word end.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._limit = limit
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self._tokenizer.encode(word, add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
-        if len(self) >= self._limit:
+        vocabulary = self._tokenizer.get_vocab()
+        self._final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        parts = {w: w.rstrip(SIGNS) for w in words}
+        cores = {c for c in parts.values() if c.isalpha() and c not in self}
+        plain = [c for c in cores if c.isascii() or normalize("NFC", c).lower().isalpha()]
+        for first in range(0, len(plain), 2000):
+            some = plain[first : first + 2000]
+            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self._final[ids]) + 1
+            if len(ends) == len(some):
+                data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.update((w, data[a:b]) for w, a, b in zip(some, at, at[1:], strict=False))
+            else:
+                self.update((w, self._one(w)) for w in some)
+        for word, core in parts.items():
+            if word not in self:
+                tail = word[len(core) :]
+                if core in self and tail:
+                    if tail not in self:
+                        self[tail] = self._one(tail)
+                    self[word] = self[core] + self[tail]
+                else:
+                    self[word] = self._one(word)
+
+    def ids(self, batch: list[str]) -> list[bytes]:
+        """Ids of every text."""
+        if len(self) > self._limit:
             self.clear()
-        self[word] = out
-        return out
+        words = [text.split() for text in batch]
+        self._learn(set().union(*words).difference(self))
+        return [b"".join(map(self.__getitem__, own)) for own in words]
+
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each Python process, so that what it has learned serves all tasks that it runs."""
+    return Encoder(path)
 
 
 def pieces(
@@ -72,12 +110,12 @@ def pieces(
     width = 4 * length
 
     def start():
-        encoder = Encoder(path)
+        coder = encoder(path)
 
         def each(batch):
             row, number, at, parts = [], [], [], []
-            for i, text in enumerate(texts(batch, text_column)):
-                ids = encoder.ids(text) + ending
+            for i, own in enumerate(coder.ids(texts(batch, text_column))):
+                ids = own + ending
                 for k, a in enumerate(range(0, len(ids), width)):
                     row.append(i)
                     number.append(k)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.llm import bpe, minhash, packing
-from threadline.llm.common import table
+from threadline.llm import bpe, html, langid, minhash, packing, quality, rules, toxicity, warc
+from threadline.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,5 +28,53 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op3_minhash": op3_minhash, "op7_packing": op7_packing}
-ORACLE: dict[str, str] = {}
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_bpe": op1_bpe,
+    "op2_langid": op2_langid,
+    "op3_minhash": op3_minhash,
+    "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
+    "op6_html": op6_html,
+    "op7_packing": op7_packing,
+    "op8_rules": op8_rules,
+    "op10_quality": op10_quality,
+}
+ORACLE: dict[str, str] = {
+    "op4_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+q AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM q)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
+FROM f""",
+}
