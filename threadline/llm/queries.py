@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.llm import bpe, html, langid, minhash, packing, quality, rules, toxicity, warc
+from threadline.llm import ann, bpe, html, langid, minhash, packing, quality, rules, toxicity, warc
 from threadline.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,11 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op6_html": op6_html,
     "op7_packing": op7_packing,
     "op8_rules": op8_rules,
+    "op9_ann": op9_ann,
     "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {
