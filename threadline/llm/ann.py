@@ -27,7 +27,7 @@ QUERY_BLOCK = 2048
 #: Links of a node in upper layers; twice as many in the lowest.
 LINKS = 12
 EF_BUILD = 64
-EF_SEARCH = 128
+EF_SEARCH = 256
 BATCH = 512
 #: Nodes of a beam that are expanded at a time.
 EXPAND = 4

@@ -57,6 +57,19 @@ def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
+    """The rows, with all their columns, for which the function of a batch gives true."""
+    prepare(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = start()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(np.asarray(each(batch), bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadline.llm.common import WordTable, bounded_sample, fold, map_batches, mix64, row_sums, split_words, texts
+from threadline.llm.common import WordTable, bounded_sample, filter_batches, fold, map_batches, mix64, row_sums, split_words, texts
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
@@ -151,12 +151,8 @@ def fit(
     return train([(r[0], r[1]) for r in sample])
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id_column, lang_pred, score, accepted`` for every row.
-
-    A null text or one without a letter is ``und`` with score 0 and not accepted. So is any text
-    if the model knows no language. The score is the calibrated probability of the language.
-    """
+def _predictor(docs: DataFrame, model: LanguageModel, text_column: str):
+    """For each task, a function from batches to languages, scores and whether they are accepted."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table(), model.bias, model.temperature, model.threshold))
 
     def start():
@@ -168,27 +164,44 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
 
         words_of = WordTable(describe)
 
-        def each(batch):
+        def predict(batch):
             words, counts = split_words(batch, text_column)
             ids = words_of.ids(words)
+            known = np.array([bool(_LETTER.search(t)) for t in texts(batch, text_column)]) & bool(languages)
+            if not languages:
+                return [UNDETERMINED] * len(counts), np.zeros(len(counts)), known
             if len(ids):
                 total, grams = row_sums(words_of.values[0][ids], counts), row_sums(words_of.values[1][ids], counts)
             else:
                 total, grams = np.zeros((len(counts), len(languages))), np.zeros(len(counts))
-            letters = np.array([bool(_LETTER.search(t)) for t in texts(batch, text_column)])
-            known = letters & bool(languages)
-            if languages:
-                chance = softmax((total / np.maximum(grams, 1)[:, None] + bias) / temperature)
-                best = chance.argmax(axis=1)
-                score = np.where(known, chance.max(axis=1), 0.0)
-                names = [languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
-            else:
-                score, names = np.zeros(len(counts)), [UNDETERMINED] * len(counts)
+            chance = softmax((total / np.maximum(grams, 1)[:, None] + bias) / temperature)
+            score = np.where(known, chance.max(axis=1), 0.0)
+            names = [languages[b] if k else UNDETERMINED for b, k in zip(chance.argmax(axis=1), known, strict=True)]
+            return names, score, known & (score >= threshold)
+
+        return predict
+
+    return start
+
+
+def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``id_column, lang_pred, score, accepted`` for every row.
+
+    A null text or one without a letter is ``und`` with score 0 and not accepted. So is any text
+    if the model knows no language. The score is the calibrated probability of the language.
+    """
+    task = _predictor(docs, model, text_column)
+
+    def start():
+        predict = task()
+
+        def each(batch):
+            names, score, accepted = predict(batch)
             return {
                 id_column: batch.column(id_column),
                 "lang_pred": pa.array(names, pa.string()),
                 "score": pa.array(score, pa.float64()),
-                "accepted": pa.array(known & (score >= threshold), pa.bool_()),
+                "accepted": pa.array(accepted, pa.bool_()),
             }
 
         return each
@@ -197,3 +210,14 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
     return map_batches(
         docs.select(id_column, text_column), start, f"`{id_column}` {kind}, lang_pred string, score double, accepted boolean"
     )
+
+
+def accepted(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is accepted."""
+    task = _predictor(docs, model, text_column)
+
+    def start():
+        predict = task()
+        return lambda batch: predict(batch)[2]
+
+    return filter_batches(docs, start)

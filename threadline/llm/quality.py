@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadline.llm.common import WordTable, bounded_sample, fold, held_out, map_batches, mix64, prepare, row_sums, split_words, stage
+from threadline.llm.common import WordTable, bounded_sample, filter_batches, fold, held_out, map_batches, mix64, prepare, row_sums, split_words, stage
 
 ROWS = 1 << 13
 DIMENSIONS = 32
@@ -280,3 +280,15 @@ def score(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_
     kind = docs.schema[id_column].dataType.simpleString()
     scored = map_batches(docs.select(id_column, text_column), start, f"`{id_column}` {kind}, score double, predicted int")
     return scored.select(id_column, held_out(id_column).alias("held_out"), "score", "predicted")
+
+
+def good(docs: DataFrame, model: QualityModel, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, that score at least the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        own = shared.value
+        pool = _pooler(own.vectors, text_column)
+        return lambda batch: own.scores(pool(batch)) >= threshold
+
+    return filter_batches(docs, start)
