@@ -287,7 +287,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """
     lines = _lines(spark, folder)
     entries = _entries(stage(candidates(lines), "warc-candidates"))
-    cut = stage(_cut(lines, entries), "warc-records")
+    # Both uses below read the archives once more; keeping the payloads would cost more disk than that saves.
+    cut = _cut(lines, entries)
     whole = F.col("header").isNotNull() & (F.length("payload") >= F.col("body"))
     # Only records over the edge of a split are put together: at most two rows for each split.
     order = Window.partitionBy("file").orderBy("offset", F.col("header").isNull())
