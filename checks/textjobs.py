@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from checks.base import Catalog, check, with_ctes
 from threadline.functions import names, text
 from threadline.operators import extract, graph, resolve, rules
+from threadline.plans.derived_catalog import VIEW, _id, part_name, part_schema
 
 def _texts(expression: str) -> str:
     return with_ctes("definitions", f"SELECT object_id, {expression} AS sql_text FROM definitions")
@@ -26,7 +27,7 @@ TO_UPPER = rules.Rule(name="exec", steps=((r"\bEXEC\s+(\w+)\.", r"EXECUTE [\1]."
 TWO_STEPS = rules.Rule(
     name="two", steps=((r"\bCOMMIT\s+TRANSACTION\b", "COMMIT"), ("(unclosed", ""), (r"#(\w+)", r"tempdb.\g<1>"))
 )
-COMMENTS_SQL = r"regexp_replace(definition, '--[^\r\n]*|/\*(?s:.*?)\*/', '', 'g')"
+COMMENTS_SQL = r"regexp_replace(definition, '(''[^'']*'')|--[^\r\n]*|/\*(?s:.*?)\*/', '\1', 'g')"
 BODY_SQL = (
     r"regexp_replace(regexp_replace(definition, '(?is)^.*?CREATE\s+PROC(?:EDURE)?\s+\[[^\]]+\]\.\[[^\]]+\].*?AS\s+BEGIN', ''), '(?i)\s*END\s*$', '')"
 )
@@ -71,7 +72,7 @@ PLAIN_SQL = rf"regexp_replace({COMMENTS_SQL}, '(?i)\bDELETE\s+FROM\b', 'DELETE',
 def _rule_check(name: str, rule_name: str) -> None:
     rule = next(r for r in rules.DEFAULT_RULES if r.name == rule_name)
     pattern = "(?ims)" + rule.pattern
-    group = rule.groups[0]
+    group = rule.chosen_groups[0]
     if len(rule.groups) == 2:
         found = (
             f"list_transform(list_zip(regexp_extract_all(t, '{pattern}', {rule.groups[0]}), regexp_extract_all(t, '{pattern}', {rule.groups[1]})), "
@@ -93,12 +94,16 @@ def _rule_check(name: str, rule_name: str) -> None:
 
 _rule_check("C11_sources", "extract_sources_ansi")
 _rule_check("C12_targets", "extract_targets_ansi")
+_rule_check("C12_output_targets", "extract_targets_output_into")
 _rule_check("C13_apply_sources", "extract_sources_tsql_apply")
 _rule_check("C14_procedure_calls", "extract_sp_calls_tsql")
 _rule_check("C15_created_tables", "extract_targets_tsql")
 
 # What the generated texts say, straight from the generating rows (names as written in the text).
-EXPECTED = """expected AS (
+EXPECTED = f"""expected AS (
+  SELECT {_id('s_suppkey', VIEW)} AS object_id, 'source' AS role, {part_schema('s_suppkey')} || '.' || {part_name('s_suppkey')} AS name, false AS created FROM supplier
+  UNION SELECT object_id, 'source', 'dbo.RegionMaster0', false FROM proc_facts
+  UNION
   SELECT object_id, 'source' AS role, s1 || '.' || n1 AS name, false AS created FROM proc_facts
   UNION SELECT object_id, 'source', cust_schema || '.' || cust_name, false FROM proc_facts
   UNION SELECT object_id, 'source', 'dbo.fn' || nation_key, false FROM proc_facts
@@ -107,8 +112,8 @@ EXPECTED = """expected AS (
   UNION SELECT object_id, 'source', s2 || '.' || n2, false FROM proc_facts WHERE n_lines = 5
   UNION SELECT object_id, 'target', lower(s2) || '.' || n2, false FROM proc_facts
   UNION SELECT object_id, 'target', 'dbo.RegionMaster' || region_key, false FROM proc_facts WHERE n_lines >= 6
-  UNION SELECT object_id, 'target', s1 || '.' || n1, false FROM proc_facts WHERE n_lines IN (2, 3)
-  UNION SELECT object_id, 'target', cust_schema || '.' || cust_name, false FROM proc_facts WHERE n_lines = 2
+  UNION SELECT object_id, 'target', s1 || '.' || n1, false FROM proc_facts WHERE n_lines IN (2, 3, 4)
+  UNION SELECT object_id, 'target', cust_schema || '.' || cust_name, false FROM proc_facts WHERE n_lines IN (2, 4)
   UNION SELECT object_id, 'target', 'dbo.NewT' || CAST(o_orderkey AS VARCHAR), true FROM proc_facts WHERE n_lines = 5
   UNION SELECT object_id, 'sp_call', called, false FROM proc_facts WHERE called IS NOT NULL)"""
 CATALOG_NAMES = """names AS (SELECT CASE WHEN object_type IN ('Table', 'View') THEN 'table' WHEN object_type = 'Stored Procedure' THEN 'procedure' ELSE 'function' END AS kind,
@@ -130,22 +135,30 @@ PARSED_EDGES = """parsed_edges AS (SELECT DISTINCT CASE WHEN role IN ('source',
 REFRESH_EDGES = (
     *RESOLVED,
     PARSED_EDGES,
-    """refresh_edges AS (SELECT source_id, target_id, owner_id FROM parsed_edges
+    """refresh_edges AS (SELECT source_id, target_id, owner_id FROM parsed_edges WHERE owner_id IN (SELECT object_id FROM proc_facts)
   UNION SELECT referenced_object_id, referencing_object_id, referencing_object_id FROM dependencies
   WHERE referenced_object_id IS NOT NULL AND referencing_object_id IN (SELECT object_id FROM objects WHERE object_type = 'View'))""",
 )
 
 
-def _proc_texts(c: Catalog):
-    return c.definitions.join(c.objects.where("object_type = 'Stored Procedure'").select("object_id"), "object_id", "left_semi")
-
-
 @check(
     "C16_run_rules",
     with_ctes("objects proc_facts", "SELECT object_id, role, name, max(created) AS skip_catalog FROM expected GROUP BY 1, 2, 3", EXPECTED),
 )
 def run_rules(c):
-    return extract.extract_refs(_proc_texts(c))
+    return extract.extract_refs(c.definitions)
+
+
+@check(
+    "C8_C16_first_transaction",
+    with_ctes(
+        "objects proc_facts",
+        "SELECT object_id, role, name, max(created) AS skip_catalog FROM expected WHERE name <> 'dbo.RegionMaster0' OR object_id IN (SELECT object_id FROM proc_facts WHERE n_lines >= 6 AND region_key = '0') GROUP BY 1, 2, 3",
+        EXPECTED,
+    ),
+)
+def first_transaction(c):
+    return extract.extract_refs(c.definitions, first_transaction=True)
 
 
 @check(
@@ -175,7 +188,7 @@ def resolve_aliases(c):
     update_rule = tuple(r for r in rules.DEFAULT_RULES if r.rule_type == "cleaning") + (
         rules.Rule(name="updates", rule_type="extraction", extraction_target="target", pattern=r"\b(UPDATE)\s+([^\s,;()]+)"),
     )
-    return extract.extract_refs(_proc_texts(c), update_rule).select("object_id", "name")
+    return extract.extract_refs(c.definitions, update_rule).select("object_id", "name")
 
 
 @check(
@@ -230,7 +243,7 @@ def _valid_check(name: str, roles: tuple[str, ...]) -> None:
 
     @check(name, sql)
     def run(c: Catalog):
-        refs = extract.extract_refs(_proc_texts(c)).where(F.col("role").isin(*roles))
+        refs = extract.extract_refs(c.definitions).where(F.col("role").isin(*roles))
         return resolve.validate_refs(refs, c.objects).withColumn("ref_id", F.coalesce("ref_id", F.lit(-1)))
 
 
@@ -244,7 +257,7 @@ _valid_check("C24_validate_functions", ("function",))
     with_ctes("objects proc_facts", "SELECT DISTINCT object_id, role, name, coalesce(ref_id, -1) AS ref_id FROM looked_up", *RESOLVED[:3]),
 )
 def resolve_ids(c):
-    return resolve.resolve_ids(extract.extract_refs(_proc_texts(c)), c.objects).select(
+    return resolve.resolve_ids(extract.extract_refs(c.definitions), c.objects).select(
         "object_id", "role", "name", F.coalesce("ref_id", F.lit(-1)).alias("ref_id")
     )
 
@@ -276,7 +289,7 @@ def validate_hints(c):
 
 
 def _merged(c: Catalog, mode: str):
-    texts = _proc_texts(c)
+    texts = c.definitions
     refs = resolve.validate_refs(extract.extract_refs(texts), c.objects)
     return resolve.merge_hints(refs, resolve.validate_hints(resolve.extract_hints(texts), c.objects), mode)
 
@@ -315,7 +328,7 @@ def merge_hints_replace(c):
     ),
 )
 def resolve_definitions(c):
-    return resolve.resolve_definitions(_proc_texts(c), c.objects).withColumn("ref_id", F.coalesce("ref_id", F.lit(-1)))
+    return resolve.resolve_definitions(c.definitions, c.objects).withColumn("ref_id", F.coalesce("ref_id", F.lit(-1)))
 
 
 @check(
@@ -328,7 +341,7 @@ def resolve_definitions(c):
     ),
 )
 def resolve_replacing(c):
-    return resolve.resolve_definitions(_proc_texts(c), c.objects, hint_mode="replace").select("object_id", "role", "name", "from_hint")
+    return resolve.resolve_definitions(c.definitions, c.objects, hint_mode="replace").select("object_id", "role", "name", "from_hint")
 
 
 @check(
@@ -351,7 +364,7 @@ def hint_stats(c):
     ),
 )
 def self_references(c):
-    return resolve.self_references(resolve.resolve_definitions(_proc_texts(c), c.objects))
+    return resolve.self_references(resolve.resolve_definitions(c.definitions, c.objects))
 
 
 @check(
@@ -372,7 +385,7 @@ def self_references(c):
     ),
 )
 def parse_diagnostics(c):
-    texts = _proc_texts(c)
+    texts = c.definitions
     refs = resolve.resolve_ids(extract.extract_refs(texts), c.objects)
     return resolve.parse_diagnostics(refs, resolve.resolve_definitions(texts, c.objects))
 
@@ -448,4 +461,4 @@ def validate_with_logs(c):
     with_ctes("objects proc_facts", "SELECT source_id, target_id, owner_id FROM parsed_edges", *RESOLVED, PARSED_EDGES),
 )
 def parsed_edges(c):
-    return graph.parsed_edges(resolve.resolve_definitions(_proc_texts(c), c.objects)).select("source_id", "target_id", "owner_id")
+    return graph.parsed_edges(resolve.resolve_definitions(c.definitions, c.objects)).select("source_id", "target_id", "owner_id")

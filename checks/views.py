@@ -69,8 +69,9 @@ def trace_all_levels(c):
         NODES_CTE,
         ALL_ALLOWED,
         USABLE,
-        _walk("ahead", f"SELECT id, 0 AS depth FROM allowed WHERE id = {START}", "usable", "source_id", "target_id", 6),
-        _walk("back", f"SELECT id, 0 AS depth FROM allowed WHERE id = {END}", "usable", "target_id", "source_id", 6),
+        f"onward AS (SELECT source_id, target_id FROM usable WHERE target_id <> {START} AND source_id <> {END})",
+        _walk("ahead", f"SELECT id, 0 AS depth FROM allowed WHERE id = {START}", "onward", "source_id", "target_id", 6),
+        _walk("back", f"SELECT id, 0 AS depth FROM allowed WHERE id = {END}", "onward", "target_id", "source_id", 6),
     ),
 )
 def path_nodes(c):
@@ -204,11 +205,12 @@ def top_nodes(c):
     "E10_visible_edges",
     with_ctes(
         "objects lineage_edges",
-        """SELECT a.source_id, a.target_id, b.source_id IS NOT NULL AS is_bidirectional FROM shown a LEFT JOIN shown b ON b.source_id = a.target_id AND b.target_id = a.source_id
-        WHERE b.source_id IS NULL OR a.source_id < a.target_id""",
+        """SELECT a.source_id, a.target_id, b.source_id IS NOT NULL AND a.source_id <> a.target_id AS is_bidirectional
+        FROM shown a LEFT JOIN shown b ON b.source_id = a.target_id AND b.target_id = a.source_id
+        WHERE b.source_id IS NULL OR a.source_id <= a.target_id""",
         NODES_CTE,
-        VISIBLE,
-        "shown AS (SELECT source_id, target_id FROM lineage_edges WHERE source_id IN (SELECT id FROM visible) AND target_id IN (SELECT id FROM visible))",
+        VISIBLE.replace("visible AS (", "visible AS MATERIALIZED ("),
+        "shown AS MATERIALIZED (SELECT source_id, target_id FROM lineage_edges WHERE source_id IN (SELECT id FROM visible) AND target_id IN (SELECT id FROM visible))",
     ),
 )
 def visible_edges(c):

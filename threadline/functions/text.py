@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 STATEMENT_KEYWORDS = "DECLARE|INSERT|UPDATE|DELETE|MERGE|TRUNCATE"
 
 # Text patterns of procedure headers, comments and terminal colours.
-COMMENT = r"--[^\r\n]*|/\*(?s:.*?)\*/"
+# A string literal is matched first and kept; possessive, so that Java does not recurse.
+COMMENT = r"('[^']*+')|--[^\r\n]*|/\*(?s:.*?)\*/"
 ANSI_COLOUR = r"\x1b\[[0-9;]+m|\[4m|\[0m"
 PROC_FRAME = r"(?is)^.*?CREATE\s+PROC(?:EDURE)?\s+\[[^\]]+\]\.\[[^\]]+\].*?AS\s+BEGIN(.*?)(?:\s*END\s*)?$"
 
 
 def strip_comments(sql: Column) -> Column:
-    return F.regexp_replace(sql, COMMENT, "")
+    """Text without comments; what looks like one inside a string literal stays."""
+    return F.regexp_replace(sql, COMMENT, "$1")
 
 
 def strip_ansi(sql: Column) -> Column:
@@ -66,21 +68,30 @@ def simplify_select(sql: Column) -> Column:
     return F.array_join(short, "")
 
 
-def normalise_sql(sql: Column, simplify: bool = True) -> Column:
-    """The cleaning steps applied before extraction, in order."""
-    text = until_commit(split_statements(proc_body(strip_ansi(sql))))
-    text = squeeze_ws(text)
+def normalise_sql(sql: Column, simplify: bool = True, first_transaction: bool = False) -> Column:
+    """The cleaning steps applied before extraction, in order.
+
+    ``first_transaction`` drops all that follows the first COMMIT TRANSACTION.
+    """
+    text = split_statements(proc_body(strip_ansi(sql)))
+    text = squeeze_ws(until_commit(text) if first_transaction else text)
     return F.trim(simplify_select(text)) if simplify else text
 
 
 # A character that no pattern takes for white space; stands for blanks inside brackets.
 INNER_BLANK = "\u00a0"
+# A character that no pattern takes for the end of a name; follows reserved words that were quoted.
+QUOTED = "\u2060"
 
 
-def unquote_identifiers(sql: Column) -> Column:
+def unquote_identifiers(sql: Column, reserved: tuple[str, ...] = ()) -> Column:
     """Text without brackets and double quotes; blanks inside brackets are kept as ``INNER_BLANK``.
 
-    Identifiers are at most 128 characters long, which bounds the look-ahead.
+    Quoted ``reserved`` words are names; they get the mark ``QUOTED``. Identifiers are at most 128
+    characters long, which bounds the look-ahead.
     """
+    if reserved:
+        quoted = rf"(?i)(?:\[({'|'.join(reserved)})\]|\"({'|'.join(reserved)})\")"
+        sql = F.regexp_replace(sql, quoted, "$1$2" + QUOTED)
     kept = F.regexp_replace(sql, r"[ \t](?=[^\[\]]{0,128}\])", INNER_BLANK)
     return F.translate(F.when(sql.rlike(r"\[[^\[\]\s]*[ \t]"), kept).otherwise(sql), '[]"', "")

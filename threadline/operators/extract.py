@@ -22,6 +22,11 @@ RESERVED = (
     "set", "statistics", "table", "then", "top", "union", "using", "values", "when", "where", "with",
 )
 
+# Between the fields of a reference written as text, and how created and plain targets begin.
+SEPARATOR = "\x1f"
+CREATED = f"target{SEPARATOR}true{SEPARATOR}"
+PLAIN = f"target{SEPARATOR}false{SEPARATOR}"
+
 # Patterns of names that live only inside one procedure, and of table aliases.
 CTE = r"(?i)\bWITH\s+(\w+)\s+AS\s*\("
 NEXT_CTE = r"(?i),\s*(\w+)\s+AS\s*\("
@@ -71,16 +76,23 @@ def non_persistent(sql: Column) -> Column:
 def rule_matches(sql: Column, rule: Rule) -> Column:
     """Raw identifiers a rule finds, in text order."""
     pattern = java_pattern(rule.pattern)
-    found = _all(sql, pattern, rule.groups[0])
-    for group in rule.groups[1:]:
+    first, *others = rule.chosen_groups
+    found = _all(sql, pattern, first)
+    for group in others:
         found = F.zip_with(found, _all(sql, pattern, group), lambda a, b: F.when(a != "", a).otherwise(b))
     return found
 
 
-def clean_text(sql: Column, rules: tuple[Rule, ...] = DEFAULT_RULES, dialect: str = "tsql", simplify: bool = True) -> Column:
+def clean_text(
+    sql: Column,
+    rules: tuple[Rule, ...] = DEFAULT_RULES,
+    dialect: str = "tsql",
+    simplify: bool = True,
+    first_transaction: bool = False,
+) -> Column:
     for rule in active(rules, dialect, "cleaning"):
         sql = apply_rule(sql, rule)
-    return text.normalise_sql(sql, simplify)
+    return text.normalise_sql(sql, simplify, first_transaction)
 
 
 def raw_references(
@@ -121,13 +133,14 @@ def extract_refs(
     simplify: bool = True,
     id_col: str = "object_id",
     text_col: str = "definition",
+    first_transaction: bool = False,
 ) -> DataFrame:
     """Distinct references per text: id, role, name (``schema.name``), skip_catalog.
 
     ``skip_catalog`` is true when a rule that creates tables found the name. An alias that is a
-    reserved word counts as no alias.
+    reserved word counts as no alias. ``first_transaction`` reads no further than the first commit.
     """
-    stage = _cleaned(definitions, rules, dialect, simplify, id_col, text_col).select(
+    stage = _cleaned(definitions, rules, dialect, simplify, id_col, text_col, first_transaction=first_transaction).select(
         id_col, _reference_keys(F.col("_sql"), rules, dialect, default_schema, excluded, only_safe).alias("_keys")
     )
     return _explode_keys(stage, _prefer_created(F.col("_keys")), id_col).drop("from_hint")
@@ -143,7 +156,7 @@ def read_references(
     text_col: str = "definition",
 ) -> DataFrame:
     """References and hints of every text in one scan: the columns of :func:`extract_refs` and from_hint."""
-    hints = F.transform(hint_rows(F.col(text_col)), lambda h: F.concat_ws("|", h["role"], F.lit("hint"), h["name"]))
+    hints = F.transform(hint_rows(F.col(text_col)), lambda h: F.concat_ws(SEPARATOR, h["role"], F.lit("hint"), h["name"]))
     stage = _cleaned(definitions, rules, dialect, True, id_col, text_col, hints.alias("_hints")).select(
         id_col, _reference_keys(F.col("_sql"), rules, dialect, default_schema, excluded).alias("_keys"), "_hints"
     )
@@ -151,13 +164,20 @@ def read_references(
 
 
 def _cleaned(
-    definitions: DataFrame, rules: tuple[Rule, ...], dialect: str, simplify: bool, id_col: str, text_col: str, *more: Column
+    definitions: DataFrame,
+    rules: tuple[Rule, ...],
+    dialect: str,
+    simplify: bool,
+    id_col: str,
+    text_col: str,
+    *more: Column,
+    first_transaction: bool = False,
 ) -> DataFrame:
     extra = ["_hints"] if more else []
     stage = definitions.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col), clean_text(F.col(text_col), rules, dialect, simplify).alias("_sql"), *more
+        F.col(id_col), clean_text(F.col(text_col), rules, dialect, simplify, first_transaction).alias("_sql"), *more
     )
-    return stage.select(id_col, text.unquote_identifiers(F.col("_sql")).alias("_sql"), *extra)
+    return stage.select(id_col, text.unquote_identifiers(F.col("_sql"), RESERVED).alias("_sql"), *extra)
 
 
 def _reference_keys(
@@ -168,7 +188,7 @@ def _reference_keys(
     excluded: tuple[str, ...],
     only_safe: bool = False,
 ) -> Column:
-    """Distinct ``role|skip_catalog|name`` texts of a cleaned text."""
+    """Distinct texts of role, skip_catalog and name of a cleaned text."""
     # What all matches of a text share is bound to one lambda variable. A plain column would be
     # inlined into the inner lambdas and computed again for every match.
     shared = F.struct(
@@ -184,12 +204,12 @@ def _reference_keys(
             lambda r: r["name"].isNotNull()
             & ~r["schema"].isin(*[x.lower() for x in excluded])
             & ~(r["table"].startswith("#") | r["table"].startswith("@"))
-            & ~F.array_contains(shared["local"], r["table"]),
+            & ~(r["bare"] & F.array_contains(shared["local"], r["table"])),  # only a bare name can mean a CTE
         )
         if only_safe:
             refs = F.filter(refs, lambda r: names.safe_identifier(r["name"]))
         # As plain text, references are told apart by a hash set, not pair by pair.
-        return F.array_distinct(F.transform(refs, lambda r: F.concat_ws("|", r["role"], r["skip"].cast("string"), r["name"])))
+        return F.array_distinct(F.transform(refs, lambda r: F.concat_ws(SEPARATOR, r["role"], r["skip"].cast("string"), r["name"])))
 
     return F.flatten(F.transform(F.array(shared), text_keys))
 
@@ -197,7 +217,7 @@ def _reference_keys(
 def _prefer_created(keys: Column) -> Column:
     """Keys without the plain ones of targets that are also created."""
     created = F.transform(
-        F.filter(keys, lambda k: k.startswith("target|true|")), lambda k: F.concat(F.lit("target|false|"), F.substr(k, F.lit(13)))
+        F.filter(keys, lambda k: k.startswith(CREATED)), lambda k: F.concat(F.lit(PLAIN), F.substr(k, F.lit(len(CREATED) + 1)))
     )
     return F.array_except(keys, created)
 
@@ -208,11 +228,12 @@ def _explode_keys(stage: DataFrame, keys: Column, id_col: str) -> DataFrame:
     ``keys`` is exploded as an expression: from a plain column the optimizer derives a size
     filter, pushes it below the projection and thereby runs the whole extraction again.
     """
-    part = lambda i: F.split_part("_key", F.lit("|"), F.lit(i))
+    # The name is all that follows the second separator, whatever it holds.
+    part = lambda i: F.element_at(F.split("_key", SEPARATOR, 3), i)
     return stage.select(id_col, F.explode(keys).alias("_key")).select(
         id_col,
         part(1).alias("role"),
-        F.translate(part(3), text.INNER_BLANK, " ").alias("name"),
+        F.translate(part(3), text.INNER_BLANK + text.QUOTED, " ").alias("name"),
         (part(2) == "true").alias("skip_catalog"),
         (part(2) == "hint").alias("from_hint"),
     )
@@ -245,11 +266,15 @@ def _qualify(shared: Column, default_schema: str | None) -> Column:
             *base(r), F.when(r["at"] > 0, F.element_at(shared["aliased"], r["at"])).otherwise(r["raw"]).alias("real")
         ),
     )
-    named = F.transform(real, lambda r: F.struct(*base(r), names.qualified(r["real"], default_schema).alias("name")))
+    named = F.transform(
+        real,
+        lambda r: F.struct(*base(r), (~F.contains(r["real"], F.lit("."))).alias("bare"), names.qualified(r["real"], default_schema).alias("name")),
+    )
     return F.transform(
         named,
         lambda r: F.struct(
             *base(r),
+            r["bare"].alias("bare"),
             r["name"].alias("name"),
             F.lower(F.substring_index(r["name"], ".", 1)).alias("schema"),
             F.lower(F.substring_index(r["name"], ".", -1)).alias("table"),

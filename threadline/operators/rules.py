@@ -38,11 +38,16 @@ class Rule:
     priority: int = 100
     steps: tuple[tuple[str, str], ...] = ()
     pattern: str = ""
-    groups: tuple[int, ...] = (2,)
+    groups: tuple[int, ...] = ()  # the last group if none is named
     extraction_target: str | None = None
     skip_catalog_validation: bool = False
     cases: tuple[RuleCase, ...] = field(default_factory=tuple)
 
+    @property
+    def chosen_groups(self) -> tuple[int, ...]:
+        """Groups that hold the identifier; the whole match for a pattern without groups."""
+        return self.groups or (re.compile(self.pattern).groups,)
+
     def applies_to(self, dialect: str) -> bool:
         return self.dialect in ("generic", dialect)
 
@@ -55,6 +60,8 @@ class Rule:
                 found.append("pattern is missing")
             elif not _compiles(self.pattern):
                 found.append("pattern is not a valid regex")
+            elif re.compile(self.pattern).groups < max(self.chosen_groups):
+                found.append("pattern has fewer groups than are asked for")
         elif self.rule_type == "cleaning":
             if not self.steps:
                 found.append("pattern and replacement are missing")
@@ -103,10 +110,11 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         description="Line and block comments",
         category="preprocessing",
         priority=1,
-        steps=((r"--[^\r\n]*|/\*.*?\*/", ""),),
+        steps=((r"('[^']*+')|--[^\r\n]*|/\*.*?\*/", r"\1"),),
         cases=(
             RuleCase("line", "SELECT 1 -- FROM a", "SELECT 1 "),
             RuleCase("block", "SELECT 1 /* FROM\nb */ FROM c", "SELECT 1  FROM c"),
+            RuleCase("literal", "SELECT '--x' FROM a -- b", "SELECT '--x' FROM a "),
         ),
     ),
     Rule(
@@ -136,6 +144,16 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         extraction_target="target",
         pattern=r"\b(INSERT(?:\s+INTO)?|UPDATE|MERGE(?:\s+INTO)?|DELETE)\s+([^\s,;()]+)",
     ),
+    Rule(
+        name="extract_targets_output_into",
+        rule_type="extraction",
+        dialect="tsql",
+        description="Tables that an OUTPUT clause writes to",
+        category="extraction",
+        priority=6,
+        extraction_target="target",
+        pattern=r"\b(OUTPUT)\b[^;]*?\bINTO\s+([^\s,;()]+)",
+    ),
     Rule(
         name="extract_sources_tsql_apply",
         rule_type="extraction",
@@ -203,7 +221,9 @@ def _as_rule(data: dict) -> Rule:
     steps: tuple[tuple[str, str], ...] = ()
     if kind == "cleaning" and pattern:
         if isinstance(pattern, list):
-            steps = tuple(zip(pattern, replacement))
+            if not isinstance(replacement, list) or len(replacement) != len(pattern):
+                raise ValueError("pattern and replacement must have the same number of steps")
+            steps = tuple(zip(pattern, replacement, strict=True))
         else:
             steps = ((pattern.strip(), replacement),)
     options = data.get("extraction_options") or {}
@@ -217,7 +237,7 @@ def _as_rule(data: dict) -> Rule:
         priority=int(data.get("priority", 100)),
         steps=steps,
         pattern=pattern.strip() if kind == "extraction" and isinstance(pattern, str) else "",
-        groups=tuple(data.get("groups", (2,))),
+        groups=tuple(data.get("groups", ())),
         extraction_target=data.get("extraction_target"),
         skip_catalog_validation=bool(options.get("skip_catalog_validation", data.get("skip_catalog_validation", False))),
         cases=tuple(

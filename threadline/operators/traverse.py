@@ -114,13 +114,16 @@ def path_nodes(
 ) -> DataFrame:
     """(id, from_start, to_end) of the nodes on routes from start to end.
 
-    Exact: what the start reaches and what reaches the end, with minimal distances; nodes whose
-    shortest route is longer than ``max_depth`` are left out. The filter applies to every node
-    but the start.
+    A route neither returns to the start nor goes on behind the end. Found are the nodes that the
+    start reaches and that reach the end, with minimal distances; nodes whose shortest route is
+    longer than ``max_depth`` are left out. A node whose ways to and from it share a node, so that
+    it is on no route free of repetition, may still be among them (:func:`paths` lists the routes).
+    The filter applies to every node but the start.
     """
     start, end = F.lit(request.start), F.lit(request.end)
     allowed = nodes.where(request.condition() | (F.col("id") == start))
-    usable = _oriented(_allowed_edges(allowed, edges, "path-edges"), direction)
+    whole = _oriented(node_edges(edges.select("source_id", "target_id").distinct(), allowed), direction)
+    usable = write_stage(whole.where((F.col("target_id") != start) & (F.col("source_id") != end)), "path-edges")
     ahead = _walk(usable, allowed.where(F.col("id") == start), {"downstream": max_depth}, "path-ahead")
     goal = ahead.where(F.col("id") == end)
     # Walking back from the end only through what the start reaches keeps the second pass small.

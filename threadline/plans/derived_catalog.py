@@ -168,6 +168,7 @@ SELECT object_id, 'CREATE PROCEDURE [' || schema_name || '].[' || object_name ||
   CASE WHEN n_lines = 3 THEN 'MERGE INTO ' || s1 || '.' || n1 || ' AS tgt USING ' || cust_schema || '.' || cust_name ||
        ' AS src ON tgt.k = src.k WHEN MATCHED THEN UPDATE SET tgt.v = 1; ' ELSE '' END ||
   CASE WHEN n_lines = 2 THEN 'DELETE FROM ' || s1 || '.' || n1 || ' WHERE 1 = 0; TRUNCATE TABLE ' || cust_schema || '.' || cust_name || '; ' ELSE '' END ||
+  CASE WHEN n_lines = 4 THEN 'DELETE ' || s1 || '.' || n1 || ' OUTPUT deleted.* INTO ' || cust_schema || '.' || cust_name || ' WHERE 1 = 0; ' ELSE '' END ||
   'COMMIT TRANSACTION; SELECT z FROM dbo.RegionMaster0 END' AS definition
 FROM proc_facts
 UNION ALL

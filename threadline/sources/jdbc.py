@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from threadline.functions import names
+from threadline.sources.contracts import SCHEMAS, conform
 from threadline.sources.snapshot import SYSTEM_SCHEMAS
 
 
@@ -85,10 +88,17 @@ def read_catalog_jdbc(
     partitions: int = 1,
     **properties: str,
 ) -> dict[str, DataFrame]:
-    """Lazy DataFrames of all catalog queries; big ones are split when ``bounds`` are given."""
+    """Lazy snapshot tables of all catalog queries; big ones are split when ``bounds`` are given."""
     tables = {}
     for kind, query in (queries or catalog_queries()).items():
         column = SPLIT_ON.get(kind) if bounds else None
         options = jdbc_options(url, query, column, bounds, partitions, **properties)
-        tables[kind] = spark.read.format("jdbc").options(**options).load()
+        tables[kind] = in_contract_shape(kind, spark.read.format("jdbc").options(**options).load())
     return tables
+
+
+def in_contract_shape(kind: str, rows: DataFrame) -> DataFrame:
+    """Rows of a catalog query as a snapshot table: type codes become type names."""
+    if "type_code" in rows.columns:
+        rows = rows.withColumn("object_type", names.object_type_name(F.col("type_code"))).drop("type_code")
+    return conform(rows, kind) if kind in SCHEMAS else rows

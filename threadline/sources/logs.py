@@ -19,9 +19,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 def log_lines(
     spark: SparkSession, path: str, n: int = LAST_LINES, level: str | None = None, text: str | None = None
 ) -> DataFrame:
-    """The last ``n`` lines, newest last, then filtered by level and text."""
-    # File, block and row number within the task give the order of lines without a global sort.
-    order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    """The last ``n`` lines, newest last, then filtered by level and text.
+
+    Files follow each other by the time they were last written, so rotated files come before the
+    current one; files written at the same time follow by path.
+    """
+    # Time, file, block and row number within the task give the order of lines without a global sort.
+    order = F.struct(
+        "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")
+    )
     lines = spark.read.text(path).select(order.alias("pos"), "value")
     return filter_lines(lines, n, level, text)
 

@@ -35,12 +35,13 @@ def list_children(spark: SparkSession, folder: str) -> list[str]:
     return sorted(p for p in names_found if not p.rsplit("/", 1)[-1].startswith(("_", ".")))
 
 
-def detect_snapshot(spark: SparkSession, folder: str) -> tuple[dict[str, str], DataFrame]:
+def detect_snapshot(spark: SparkSession, folder: str) -> tuple[dict[str, list[str]], DataFrame]:
     """Paths by table kind, recognised from column names, and contract messages.
 
-    Only schemas are read. A file without columns is recognised by its name.
+    Only schemas are read. A file without columns is recognised by its name. Several files of one
+    kind belong together; all of them are listed.
     """
-    paths: dict[str, str] = {}
+    paths: dict[str, list[str]] = {}
     found: list[str | None] = []
     for path in list_children(spark, folder):
         columns = spark.read.parquet(path).columns
@@ -50,16 +51,25 @@ def detect_snapshot(spark: SparkSession, folder: str) -> tuple[dict[str, str], D
             kind = next((k for k in (*REQUIRED_KINDS, *OPTIONAL_KINDS) if k in stem), None)
         found.append(kind)
         if kind is not None:
-            paths[kind] = path
+            paths.setdefault(kind, []).append(path)
     return paths, validate_kinds(spark, found)
 
 
-def load_snapshot(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    """The five snapshot tables in contract shape; absent optional tables are empty."""
+def load_snapshot(spark: SparkSession, paths: dict[str, str | list[str]]) -> dict[str, DataFrame]:
+    """The five snapshot tables in contract shape; absent optional tables are empty.
+
+    Each file is brought into shape by itself, so files of a kind may differ in optional columns.
+    """
     missing = [k for k in REQUIRED_KINDS if k not in paths]
     if missing:
         raise ValueError(f"snapshot lacks required tables: {', '.join(missing)}")
-    tables = {k: conform(spark.read.parquet(paths[k]), k) if k in paths else empty(spark, k) for k in (*REQUIRED_KINDS, *OPTIONAL_KINDS)}
+
+    def read(kind: str) -> DataFrame:
+        files = paths.get(kind, [])
+        parts = [conform(spark.read.parquet(p), kind) for p in ([files] if isinstance(files, str) else files)]
+        return reduce(DataFrame.unionByName, parts) if parts else empty(spark, kind)
+
+    tables = {kind: read(kind) for kind in (*REQUIRED_KINDS, *OPTIONAL_KINDS)}
     tables["table_columns"] = attach_object_id(tables["table_columns"], tables["objects"])
     return tables
 
@@ -164,12 +174,12 @@ def union_definitions(*sources: DataFrame) -> DataFrame:
 def write_snapshot(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
     """Each table to ``folder/<kind>`` as Parquet (snappy).
 
-    Empty optional tables are skipped; the dependency table is written even if empty, so that
-    its schema survives.
+    Empty optional tables are skipped; required tables are written even if empty, so that the
+    snapshot can be loaded.
     """
     paths = {}
     for kind, df in tables.items():
-        if kind != "dependencies" and df.isEmpty():
+        if kind in OPTIONAL_KINDS and df.isEmpty():
             continue
         fields = [c for c in SCHEMAS[kind].names if c in df.columns] if kind in SCHEMAS else df.columns
         paths[kind] = f"{folder.rstrip('/')}/{kind}"
