@@ -21,7 +21,7 @@ from threadline import build_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "2"))
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 HEADLINE = (
     "D9_build_nodes",
@@ -31,6 +31,8 @@ HEADLINE = (
     "B1_objects_to_parse",
     "B3_snapshot_diff",
     "B6_merge_edges",
+    "B_full_refresh_edges",
+    "B_incremental_refresh_edges",
     "D7_bidirectional_pairs",
     "E1_trace",
     "E1_trace_all_levels",

@@ -8,18 +8,15 @@ from checks.base import MODEL_SQL, NODES_CTE, check, joined, with_ctes
 from threadline.functions import names
 from threadline.operators import graph
 
-# Low enough that the region tables and large views are cut into parts in this data.
-MAX_LIST = 400
-
 HALVES = """halves AS (SELECT target_id AS id, 'in' AS direction, source_id AS other FROM lineage_edges UNION ALL SELECT source_id, 'out', target_id FROM lineage_edges)"""
-PARTS = f"""parts AS (SELECT id, CAST(CASE WHEN count(*) > {MAX_LIST} THEN ceil(count(*) / {MAX_LIST}) ELSE 1 END AS BIGINT) AS parts FROM halves GROUP BY id)"""
-LISTS = """lists AS (SELECT h.id, CASE WHEN p.parts > 1 THEN CAST('0x' || substr(md5(CAST(h.other AS VARCHAR)), 1, 8) AS BIGINT) % p.parts ELSE 0 END AS part, h.direction, h.other
-  FROM halves h JOIN parts p ON p.id = h.id)"""
-LISTED = """listed AS (SELECT id, part, coalesce(string_agg(DISTINCT CAST(other AS VARCHAR), ',' ORDER BY CAST(other AS VARCHAR)) FILTER (direction = 'in'), '') AS inputs,
-  coalesce(string_agg(DISTINCT CAST(other AS VARCHAR), ',' ORDER BY CAST(other AS VARCHAR)) FILTER (direction = 'out'), '') AS outputs FROM lists GROUP BY 1, 2)"""
-TWO_WAY = """two_way AS (SELECT id, part, string_agg(CAST(other AS VARCHAR), ',' ORDER BY CAST(other AS VARCHAR)) AS bidirectional_with FROM (
-  SELECT id, part, other FROM lists WHERE other <> id GROUP BY 1, 2, 3 HAVING count(DISTINCT direction) = 2) GROUP BY 1, 2)"""
-ADJACENCY = (HALVES, PARTS, LISTS, LISTED, TWO_WAY)
+NEIGHBOURS = """neighbours AS (SELECT id, direction, other, id <> other AND count(*) OVER (PARTITION BY id, other) = 2 AS two_way FROM (SELECT DISTINCT * FROM halves))"""
+COUNTED = """counted AS (SELECT id, count(*) FILTER (direction = 'in') AS input_count, count(*) FILTER (direction = 'out') AS output_count,
+  count(*) FILTER (direction = 'in' AND two_way) AS two_way_count FROM neighbours GROUP BY 1)"""
+LISTED = """listed AS (SELECT id, coalesce(string_agg(CAST(other AS VARCHAR), ',' ORDER BY CAST(other AS VARCHAR)) FILTER (direction = 'in'), '') AS inputs,
+  coalesce(string_agg(CAST(other AS VARCHAR), ',' ORDER BY CAST(other AS VARCHAR)) FILTER (direction = 'out'), '') AS outputs,
+  coalesce(string_agg(CAST(other AS VARCHAR), ',' ORDER BY CAST(other AS VARCHAR)) FILTER (direction = 'in' AND two_way), '') AS bidirectional_with FROM neighbours GROUP BY 1)"""
+# Parts that the lists of every node are cut into where lists are asked for.
+PARTS = 16
 
 
 def _text_list(name: str):
@@ -46,31 +43,44 @@ def native_edges(c):
     return graph.native_edges(c.dependencies)
 
 
+@check("D4_D8_neighbours", with_ctes("lineage_edges", "SELECT id, direction, other, two_way FROM neighbours", HALVES, NEIGHBOURS))
+def neighbours(c):
+    return graph.neighbours(c.edges)
+
+
 @check(
     "D4_D8_adjacency",
     with_ctes(
         "lineage_edges",
-        "SELECT l.id, l.part, l.inputs, l.outputs, coalesce(t.bidirectional_with, '') AS bidirectional_with FROM listed l LEFT JOIN two_way t ON t.id = l.id AND t.part = l.part",
-        *ADJACENCY,
+        """SELECT id, len(string_split(inputs, ',')) * CAST(inputs <> '' AS INTEGER) AS inputs, len(string_split(outputs, ',')) * CAST(outputs <> '' AS INTEGER) AS outputs,
+        len(string_split(bidirectional_with, ',')) * CAST(bidirectional_with <> '' AS INTEGER) AS bidirectional_with, true AS sorted FROM listed""",
+        HALVES,
+        NEIGHBOURS,
+        LISTED,
     ),
 )
 def adjacency(c):
-    lists = graph.adjacency(c.edges, MAX_LIST)
-    return lists.select("id", "part", *[_text_list(x) for x in ("inputs", "outputs", "bidirectional_with")])
+    lists = graph.adjacency(c.edges, PARTS)
+    in_order = F.lit(True)
+    for name in ("inputs", "outputs", "bidirectional_with"):
+        in_order = in_order & (F.array_sort(name) == F.col(name))
+    size = lambda name: F.sum(F.size(name)).alias(name)
+    return lists.groupBy("id").agg(size("inputs"), size("outputs"), size("bidirectional_with"), F.bool_and(in_order).alias("sorted"))
 
 
 @check(
     "D5_D6_metadata_rows",
     with_ctes(
         "objects lineage_edges",
-        """SELECT o.object_id, coalesce(l.part, 0) AS part, coalesce(l.inputs, '') AS inputs, coalesce(l.outputs, '') AS outputs, 'metadata' AS primary_source
-        FROM objects o LEFT JOIN listed l ON l.id = o.object_id WHERE o.object_type IN ('Table', 'View')""",
-        *ADJACENCY[:4],
+        """SELECT o.object_id, coalesce(n.input_count, 0) AS input_count, coalesce(n.output_count, 0) AS output_count, 'metadata' AS primary_source
+        FROM objects o LEFT JOIN counted n ON n.id = o.object_id WHERE o.object_type IN ('Table', 'View')""",
+        HALVES,
+        NEIGHBOURS,
+        COUNTED,
     ),
 )
 def metadata_rows(c):
-    rows = graph.metadata_rows(c.objects, c.edges, MAX_LIST)
-    return rows.select("object_id", "part", _text_list("inputs"), _text_list("outputs"), "primary_source")
+    return graph.metadata_rows(c.objects, c.edges)
 
 
 @check(
@@ -89,25 +99,28 @@ def bidirectional_pairs(c):
     "D9_build_nodes",
     with_ctes(
         "objects lineage_edges lineage_metadata",
-        """SELECT o.object_id AS id, o.object_name AS name, o.schema_name AS "schema", o.object_type, coalesce(l.part, 0) AS part,
-          coalesce(l.inputs, '') AS inputs, coalesce(l.outputs, '') AS outputs, coalesce(t.bidirectional_with, '') AS bidirectional_with,
+        """SELECT o.object_id AS id, o.object_name AS name, o.schema_name AS "schema", o.object_type,
+          coalesce(n.input_count, 0) AS input_count, coalesce(n.output_count, 0) AS output_count, coalesce(n.two_way_count, 0) AS two_way_count,
           CASE WHEN m.object_id IS NOT NULL THEN coalesce(m.primary_source, 'unknown') WHEN o.object_type = 'Stored Procedure' THEN 'unparsed' ELSE 'metadata' END AS primary_source,
           CASE WHEN m.object_id IS NOT NULL THEN coalesce(m.parse_success, true) WHEN o.object_type = 'Stored Procedure' THEN NULL ELSE true END AS parse_success,
           m.parse_failure_reason, coalesce(m.expected_count, -1) AS expected_count, coalesce(m.found_count, -1) AS found_count
-        FROM objects o LEFT JOIN listed l ON l.id = o.object_id LEFT JOIN two_way t ON t.id = l.id AND t.part = l.part
+        FROM objects o LEFT JOIN counted n ON n.id = o.object_id
         LEFT JOIN lineage_metadata m ON m.object_id = o.object_id WHERE o.object_type IN ('Table', 'View', 'Stored Procedure')""",
-        *ADJACENCY,
+        HALVES,
+        NEIGHBOURS,
+        COUNTED,
     ),
 )
 def build_nodes(c):
-    nodes = graph.build_nodes(c.objects, c.edges, c.metadata, MAX_LIST)
+    nodes = graph.build_nodes(c.objects, c.edges, c.metadata)
     return nodes.select(
         "id",
         "name",
         "schema",
         "object_type",
-        "part",
-        *[_text_list(x) for x in ("inputs", "outputs", "bidirectional_with")],
+        "input_count",
+        "output_count",
+        "two_way_count",
         "provenance.primary_source",
         "provenance.parse_success",
         "provenance.parse_failure_reason",
@@ -129,10 +142,10 @@ DESCRIPTION_SQL = """CASE WHEN o.object_type <> 'Stored Procedure' THEN 'Parse S
         f"""SELECT CAST(o.object_id AS VARCHAR) AS id, o.object_name AS name, o.schema_name AS "schema", o.object_type,
           {DESCRIPTION_SQL} AS description, {MODEL_SQL.replace('object_', 'o.object_')} AS data_model_type,
           CASE WHEN o.object_type = 'Stored Procedure' THEN 'square' ELSE 'circle' END AS node_symbol,
-          coalesce(i.refs, '') AS inputs, coalesce(u.refs, '') AS outputs
+          coalesce(i.refs, 0) AS input_count, coalesce(u.refs, 0) AS output_count
         FROM objects o LEFT JOIN lineage_metadata m ON m.object_id = o.object_id
-        LEFT JOIN (SELECT target_id AS id, string_agg(DISTINCT source_id::VARCHAR, ',' ORDER BY source_id::VARCHAR) AS refs FROM lineage_edges WHERE source_id IN (SELECT id FROM nodes) GROUP BY 1) i ON i.id = o.object_id
-        LEFT JOIN (SELECT source_id AS id, string_agg(DISTINCT target_id::VARCHAR, ',' ORDER BY target_id::VARCHAR) AS refs FROM lineage_edges WHERE target_id IN (SELECT id FROM nodes) GROUP BY 1) u ON u.id = o.object_id
+        LEFT JOIN (SELECT target_id AS id, count(DISTINCT source_id) AS refs FROM lineage_edges WHERE source_id IN (SELECT id FROM nodes) GROUP BY 1) i ON i.id = o.object_id
+        LEFT JOIN (SELECT source_id AS id, count(DISTINCT target_id) AS refs FROM lineage_edges WHERE target_id IN (SELECT id FROM nodes) GROUP BY 1) u ON u.id = o.object_id
         WHERE o.object_type IN ('Table', 'View', 'Stored Procedure')""",
         NODES_CTE,
     ),
@@ -140,10 +153,25 @@ DESCRIPTION_SQL = """CASE WHEN o.object_type <> 'Stored Procedure' THEN 'Parse S
 def frontend_nodes(c):
     nodes = graph.frontend_nodes(c.objects, c.edges, c.metadata)
     return nodes.select(
-        "id", "name", "schema", "object_type", "description", "data_model_type", "node_symbol", _text_list("inputs"), _text_list("outputs")
+        "id", "name", "schema", "object_type", "description", "data_model_type", "node_symbol", "input_count", "output_count"
     )
 
 
+@check(
+    "D10_frontend_neighbours",
+    with_ctes(
+        "objects lineage_edges",
+        """SELECT CAST(id AS VARCHAR) AS id, direction, CAST(other AS VARCHAR) AS other, two_way FROM neighbours
+        WHERE id IN (SELECT id FROM nodes) AND other IN (SELECT id FROM nodes)""",
+        NODES_CTE,
+        HALVES,
+        NEIGHBOURS,
+    ),
+)
+def frontend_neighbours(c):
+    return graph.frontend_neighbours(c.objects, c.edges)
+
+
 @check(
     "D11_node_symbol",
     with_ctes(
@@ -181,7 +209,7 @@ def degrees(c):
     ),
 )
 def edges_from_nodes(c):
-    return graph.edges_from_nodes(graph.build_nodes(c.objects, c.edges, c.metadata, MAX_LIST))
+    return graph.edges_from_nodes(graph.build_nodes(c.objects, c.edges, c.metadata), graph.neighbours(c.edges))
 
 
 @check(

@@ -150,36 +150,24 @@ raw_refs AS (
 
 
 def _raw_nodes(c: Catalog):
+    """Node rows as an import reads them, the lists of every node cut into 16 parts."""
     kind = F.col("source_id") % 10
     text = lambda name: F.col(name).cast("string")
     inputs = c.edges.where((kind != 1) | (F.col("target_id") % 10 == 1)).select(
-        text("target_id").alias("id"), F.lit("inputs").alias("side"), text("source_id").alias("ref")
+        text("target_id").alias("id"), F.lit("in").alias("direction"), text("source_id").alias("other")
     )
-    outputs = c.edges.where(kind == 1).select(text("source_id").alias("id"), F.lit("outputs").alias("side"), text("target_id").alias("ref"))
+    outputs = c.edges.where(kind == 1).select(text("source_id").alias("id"), F.lit("out").alias("direction"), text("target_id").alias("other"))
     gone = c.metadata.where("NOT parse_success").select(
-        text("object_id").alias("id"), F.lit("inputs").alias("side"), F.concat(F.lit("gone-"), text("object_id")).alias("ref")
+        text("object_id").alias("id"), F.lit("in").alias("direction"), F.concat(F.lit("gone-"), text("object_id")).alias("other")
     )
-    # An imported node holds its lists in one row; the derived ones are as long as a node has edges.
-    lists = (
-        inputs.union(outputs)
-        .union(gone)
-        .groupBy("id")
-        .agg(
-            F.collect_set(F.when(F.col("side") == "inputs", F.col("ref"))).alias("inputs"),
-            F.collect_set(F.when(F.col("side") == "outputs", F.col("ref"))).alias("outputs"),
-        )
-    )
-    none = F.array().cast("array<string>")
-    return (
-        c.objects.select(
-            text("object_id").alias("id"),
-            F.when(F.col("object_type") != "View", F.col("object_name")).alias("name"),
-            F.when(F.col("schema_name") != "STAGING_MACHINERY", F.col("schema_name")).alias("schema"),
-            "object_type",
-        )
-        .join(lists, "id", "left")
-        .withColumns({"inputs": F.coalesce("inputs", none), "outputs": F.coalesce("outputs", none)})
+    refs = inputs.union(outputs).union(gone).distinct().withColumn("two_way", F.lit(False))
+    nodes = c.objects.select(
+        text("object_id").alias("id"),
+        F.when(F.col("object_type") != "View", F.col("object_name")).alias("name"),
+        F.when(F.col("schema_name") != "STAGING_MACHINERY", F.col("schema_name")).alias("schema"),
+        "object_type",
     )
+    return graph.with_lists(nodes, refs, 16)
 
 
 @check(
@@ -194,10 +182,19 @@ def _raw_nodes(c: Catalog):
 )
 def nodes_json_round_trip(c):
     folder = scratch_dir(c.spark, "nodes-json")
-    nodes_json.write_nodes_json(graph.frontend_nodes(c.objects, c.edges, c.metadata), folder)
-    back = nodes_json.read_nodes_json(c.spark, folder)
-    return back.groupBy("id", "name", "schema", "object_type").agg(
-        F.sum(F.size("inputs")).alias("input_count"), F.sum(F.size("outputs")).alias("output_count")
+    _export(c, folder)
+    nodes, found, _ = nodes_json.import_nodes(nodes_json.read_nodes_json(c.spark, folder))
+    way = F.col("direction")
+    counts = found.groupBy("id").agg(F.count_if(way == "in").alias("input_count"), F.count_if(way == "out").alias("output_count"))
+    return nodes.join(counts, "id", "left").select(
+        "id", "name", "schema", "object_type", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("input_count", "output_count")]
+    )
+
+
+def _export(c: Catalog, folder: str) -> None:
+    """All nodes in 16 parts each, so that no list of a hub is in one row."""
+    nodes_json.write_nodes_json(
+        graph.frontend_nodes(c.objects, c.edges, c.metadata), graph.frontend_neighbours(c.objects, c.edges), folder, parts=16
     )
 
 
@@ -224,7 +221,32 @@ def dedupe_last(c):
     ),
 )
 def validate_nodes(c):
-    return nodes_json.validate_nodes(_raw_nodes(c))
+    return nodes_json.validate_nodes(_raw_nodes(c)).distinct()
+
+
+@check(
+    "A11_A16_import_nodes",
+    with_ctes(
+        "objects lineage_edges lineage_metadata",
+        """SELECT r.id, r.name, r."schema", r.object_type, count(s.source_id) FILTER (s.target_id = r.id) AS input_count, count(s.source_id) FILTER (s.source_id = r.id) AS output_count
+        FROM raw_nodes r LEFT JOIN (SELECT source_id, target_id, target_id AS at FROM sides UNION ALL SELECT source_id, target_id, source_id FROM sides WHERE source_id <> target_id) s ON s.at = r.id
+        GROUP BY 1, 2, 3, 4""",
+        RAW_NODES,
+        """sides AS (SELECT DISTINCT CASE direction WHEN 'input' THEN ref ELSE id END AS source_id, CASE direction WHEN 'input' THEN id ELSE ref END AS target_id
+        FROM raw_refs WHERE ref IN (SELECT id FROM raw_nodes) AND id IN (SELECT id FROM raw_nodes))""",
+    ),
+)
+def import_nodes(c):
+    """An older copy of every node without lists stands before it in the import."""
+    raw = _raw_nodes(c).withColumn("pos", F.lit(2))
+    none = F.array().cast("array<string>")
+    older = raw.withColumns({"name": F.lit("old"), "inputs": none, "outputs": none, "pos": F.lit(1)})
+    nodes, found, _ = nodes_json.import_nodes(older.unionByName(raw))
+    way = F.col("direction")
+    counts = found.groupBy("id").agg(F.count_if(way == "in").alias("input_count"), F.count_if(way == "out").alias("output_count"))
+    return nodes.join(counts, "id", "left").select(
+        "id", "name", "schema", "object_type", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("input_count", "output_count")]
+    )
 
 
 @check(

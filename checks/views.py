@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import NODES_CTE, Catalog, check, joined, node_table, with_ctes
+from threadline.session import scratch_dir
 from threadline.operators import filters, search, traverse
 from threadline.operators.traverse import TraceRequest
 from threadline.sources import logs, snapshot
@@ -391,12 +392,28 @@ def search_all_terms(c):
     return search.search(_document_index(c), QUERY, k=None, mode="all")
 
 
+def _stored(c: Catalog, query: str, **options) -> search.TextIndex:
+    folder = scratch_dir(c.spark, "index")
+    _document_index(c, **options).write(folder, buckets=16)
+    return search.TextIndex.load(c.spark, folder, query)
+
+
+@check("F5_index_round_trip", _over_documents("SELECT id, score FROM ranked", _ranked(HIT)))
+def index_round_trip(c):
+    return search.search(_stored(c, QUERY), QUERY, k=None)
+
+
+@check("F8_search_all_stop_words", _over_documents("SELECT id FROM ranked WHERE terms = 2", _ranked("p.term IN ('ention', 'than')")))
+def search_all_stop_words(c):
+    return search.search(_stored(c, QUERY, stop_words=["the", "and"]), QUERY, k=None, mode="all").select("id")
+
+
 @check("F8_search_prefix", _over_documents("SELECT id, score FROM ranked", _ranked("starts_with(p.term, 'entio') OR starts_with(p.term, 'thanth')")))
 def search_prefix(c):
     return search.search(_document_index(c), "entio thanth", k=None, mode="prefix")
 
 
-@check("F8_search_phrase", "SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'than the')")
+@check("F8_search_phrase", "SELECT doc_id AS id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z])than[^a-z]+the([^a-z]|$)')")
 def search_phrase(c):
     return search.search_phrase(c.documents, "Than The", "doc_id", "text")
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threadline.functions import text
-from threadline.operators import extract, resolve
+from threadline.operators import extract, resolve, rules
 
 TABLES = [
     "dbo.SourceTable", "dbo.TargetTable", "dbo.Customers", "CONSUMPTION_FINANCE.Orders", "dbo.Orders", "dbo.Products",
@@ -72,7 +72,10 @@ CASES = {
         {"dbo.t2"},
     ),
     "comments": ("SELECT 1 -- FROM dbo.Orders\n/* JOIN dbo.Products\n */ FROM dbo.Customers", {"dbo.Customers"}, set()),
-    "after commit": ("BEGIN TRANSACTION; DELETE dbo.t1; COMMIT TRANSACTION; SELECT * FROM dbo.Orders", set(), {"dbo.t1"}),
+    "after commit": ("BEGIN TRANSACTION; DELETE dbo.t1; COMMIT TRANSACTION; SELECT * FROM dbo.Orders", {"dbo.Orders"}, {"dbo.t1"}),
+    "marks in literals": ("SELECT '--x', '/*' AS s FROM dbo.Orders -- FROM dbo.t1\n; SELECT '*/' FROM dbo.t3", {"dbo.Orders", "dbo.t3"}, set()),
+    "output into": ("DELETE dbo.t1 OUTPUT deleted.* INTO dbo.t2 WHERE a = 1; SELECT 1 FROM dbo.t3", {"dbo.t3"}, {"dbo.t1", "dbo.t2"}),
+    "qualified table named like a cte": ("WITH Orders AS (SELECT a FROM dbo.Orders) SELECT a FROM Orders", {"dbo.Orders"}, set()),
 }
 
 
@@ -199,3 +202,23 @@ def test_simplify_select_matches_plain_rule(make):
         assert got == [_simplified(t) for t in texts]
 
     run()
+
+
+def test_quoted_reserved_words_and_bars_are_names(make):
+    texts = make("object_id long, definition string", (1, "SELECT a FROM [Order] JOIN dbo.[Values] v ON 1 = 1; SELECT b FROM [dbo].[a|b]"))
+    names = {r["name"] for r in extract.extract_refs(texts).collect()}
+    assert names == {"dbo.Order", "dbo.Values", "dbo.a|b"}
+
+
+def test_first_transaction_only_on_request(make):
+    texts = make("object_id long, definition string", (1, "DELETE dbo.t1; COMMIT TRANSACTION; SELECT a FROM dbo.t2"))
+    assert {r["name"] for r in extract.extract_refs(texts).collect()} == {"dbo.t1", "dbo.t2"}
+    assert {r["name"] for r in extract.extract_refs(texts, first_transaction=True).collect()} == {"dbo.t1"}
+
+
+def test_rules_with_one_group(make):
+    rule = rules.Rule(name="one", rule_type="extraction", extraction_target="source", pattern=r"\bREADS\s+(\S+)")
+    texts = make("object_id long, definition string", (1, "READS dbo.t1"))
+    assert rule.problems() == []
+    assert [r["name"] for r in extract.extract_refs(texts, (rule,)).collect()] == ["dbo.t1"]
+    assert rules.Rule(name="two", rule_type="extraction", extraction_target="source", pattern="(a)", groups=(2,)).problems()

@@ -6,9 +6,11 @@ from collections import deque
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from threadline.operators import filters, graph, metrics, state, traverse
 from threadline.operators.traverse import TraceRequest
+from threadline.sources import nodes_json
 
 NODE = "id long, name string, schema string, object_type string, data_model_type string"
 
@@ -83,13 +85,33 @@ def test_random_graphs_match_plain_search(make):
     run()
 
 
-def test_hub_lists_are_cut_but_whole(make):
+def test_lists_are_cut_alike_and_whole(make):
     pairs = [(0, i) for i in range(1, 501)] + [(i, 0) for i in range(1, 501, 5)] + [(0, 0)]
-    lists = graph.adjacency(_edges(make, *pairs), max_list=50).where("id = 0").collect()
-    assert len(lists) > 8
+    edges = _edges(make, *pairs)
+    lists = graph.adjacency(edges, parts=10).where("id = 0").collect()
+    assert len(lists) == 10
     assert max(len(r["outputs"]) for r in lists) < 120
     assert sorted(x for r in lists for x in r["outputs"]) == sorted([*range(1, 501), 0])
     assert sorted(x for r in lists for x in r["bidirectional_with"]) == list(range(1, 501, 5))
+    whole = graph.adjacency(edges, parts=1).where("id = 0").collect()
+    assert [len(r["outputs"]) for r in whole] == [501]
+
+
+def test_a_hub_survives_export_and_import(make, spark, tmp_path):
+    edges = _edges(make, *[(0, i) for i in range(1, 51)], *[(i, 0) for i in range(40, 60)])
+    nodes = _nodes(make, range(60)).withColumn("id", F.col("id").cast("string"))
+    text = [F.col(c).cast("string").alias(c) for c in ("id", "other")]
+    found = graph.neighbours(edges).select(text[0], "direction", text[1], "two_way")
+    for parts in (1, 7):
+        nodes_json.write_nodes_json(nodes, found, f"{tmp_path}/{parts}", parts=parts)
+        back, links, _ = nodes_json.import_nodes(nodes_json.read_nodes_json(spark, f"{tmp_path}/{parts}"))
+        assert back.count() == 60
+        assert _set(links, "id", "direction", "other") == _set(found, "id", "direction", "other")
+
+
+def test_path_nodes_stop_at_start_and_end(make):
+    nodes, edges = _nodes(make, [1, 2, 4, 5]), _edges(make, (1, 4), (4, 5), (5, 4), (1, 2), (2, 1))
+    assert _set(traverse.path_nodes(nodes, edges, TraceRequest(1, 4)), "id") == {(1,), (4,)}
 
 
 def test_self_loop_is_no_pair(make):

@@ -9,7 +9,7 @@ from threadline.operators import rules
 
 def test_default_cases_pass(spark):
     assert rules.run_rule_cases(spark).where("NOT passed").count() == 0
-    assert rules.run_rule_cases(spark).count() == 3
+    assert rules.run_rule_cases(spark).count() == 4
 
 
 def test_python_notation_is_translated(make):

@@ -114,7 +114,8 @@ def test_nodes_json(spark, tmp_path):
     edges, fixes = nodes_json.symmetrise(named)
     assert [tuple(r) for r in edges.collect()] == [("1", "2")]
     assert [tuple(r) for r in fixes.collect()] == [("2", "input", "1")]
-    nodes_json.write_nodes_json(named, str(tmp_path / "out"))
+    found = named.select("id").limit(0).selectExpr("id", "'in' AS direction", "id AS other", "true AS two_way")
+    nodes_json.write_nodes_json(nodes_json.node_attributes(named), found, str(tmp_path / "out"))
     assert "ddl_text" not in spark.read.json(str(tmp_path / "out")).columns
 
 
@@ -159,7 +160,7 @@ def test_search_index(spark, make, tmp_path):
     index.write(str(tmp_path / "ix"), buckets=4)
     terms = search.query_terms("Customers CAFÉ", index)
     assert terms == ["cafe", "custom"]
-    loaded = search.TextIndex.load(spark, str(tmp_path / "ix"), terms, stemmed=True, fold_accents=True, buckets=4)
+    loaded = search.TextIndex.load(spark, str(tmp_path / "ix"), "Customers CAFÉ")
     rows = [tuple(r) for r in search.search(loaded, "Customers CAFÉ").collect()]
     assert [r[0] for r in rows] == [1, 2]
     assert rows == [tuple(r) for r in search.search(index, "Customers CAFÉ").collect()]
@@ -181,3 +182,35 @@ def test_scratch_needs_a_shared_folder_on_clusters(spark):
     with pytest.raises(RuntimeError):
         scratch_dir(Fake(), "x")
     assert "/x-" in scratch_dir(spark, "x")
+
+
+def test_all_files_of_a_kind_are_read_and_empty_tables_come_back(spark, make, tmp_path):
+    objects = make("object_id long, schema_name string, object_name string, object_type string", (1, "a", "x", "Table"), (2, "a", "y", "View"))
+    tables = {
+        "objects": objects,
+        "definitions": make("object_id long, definition string"),
+        "dependencies": make(
+            "referencing_object_id long, referenced_object_id long, referenced_schema_name string, referenced_entity_name string"
+        ),
+    }
+    snapshot.write_snapshot(tables, str(tmp_path))
+    objects.where("object_id = 2").withColumn("object_id", F.lit(3).cast("long")).write.parquet(str(tmp_path / "objects-more"))
+    paths, _ = snapshot.detect_snapshot(spark, str(tmp_path))
+    loaded = snapshot.load_snapshot(spark, paths)
+    assert sorted(r["object_id"] for r in loaded["objects"].collect()) == [1, 2, 3]
+    assert loaded["definitions"].count() == 0
+
+
+def test_log_lines_follow_the_time_of_their_files(spark, tmp_path):
+    import os
+
+    for name, line, at in (("app.log.1", "old", 1000), ("app.log", "new", 2000)):
+        (tmp_path / name).write_text(f"2024 INFO {line}\n")
+        os.utime(tmp_path / name, (at, at))
+    lines = [r["value"] for r in logs.log_lines(spark, str(tmp_path / "app.log*"), 10).collect()]
+    assert lines == ["2024 INFO old", "2024 INFO new"]
+
+
+def test_catalog_scan_is_in_contract_shape(make):
+    rows = jdbc.in_contract_shape("objects", make("object_id long, schema_name string, object_name string, type_code string", (1, "a", "t", "U")))
+    assert rows.first()["object_type"] == "Table"

@@ -1,8 +1,9 @@
-"""Edges, adjacency lists, nodes.
+"""Edges, neighbours, nodes.
 
-Neighbour lists of hub objects can hold a large share of all edges, so no operator here builds
-one list per object in one group. Lists are cut into parts of about ``max_list`` entries by a
-hash of the neighbour; an object below the limit has exactly one part (``part`` = 0).
+Nodes are one row each at every size of the graph. Neighbours are rows of their own
+(:func:`neighbours`), so a hub that holds a large share of all edges is never gathered in one
+group. Lists (:func:`adjacency`) are made on request, in a number of parts that the caller names
+and that holds for every node alike.
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 from threadline.functions import names
 from threadline.sources.contracts import NODE_TYPES
 
-MAX_LIST = 10_000
-
 
 def native_edges(dependencies: DataFrame) -> DataFrame:
     """All native dependencies with both ids known."""
@@ -77,38 +76,52 @@ def half_edges(edges: DataFrame) -> DataFrame:
     ).select("h.id", "h.direction", "h.other")
 
 
-def list_part(other: Column, parts: Column) -> Column:
-    """Part of a neighbour in the list of an object with ``parts`` parts (hash, so parts are even)."""
-    hashed = F.conv(F.substring(F.md5(other.cast("string")), 1, 8), 16, 10).cast("bigint")
-    return F.when(parts > 1, F.pmod(hashed, parts)).otherwise(F.lit(0).cast("bigint"))
-
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(id, direction, other, two_way): every neighbour of every edge end once per direction.
 
-def hub_parts(halves: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
-    """(id, parts) of the ids with more than ``max_list`` half edges; at most edges / max_list rows."""
-    return (
-        halves.groupBy("id")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > max_list)
-        .select("id", F.ceil(F.col("n") / F.lit(max_list)).cast("bigint").alias("parts"))
+    ``two_way`` says that edges lead both ways between two different nodes. One aggregation on the
+    pair of ids finds it, so no self join is needed and no key is hot.
+    """
+    sides = half_edges(edges).groupBy("id", "other").agg(
+        F.bool_or(F.col("direction") == "in").alias("_in"), F.bool_or(F.col("direction") == "out").alias("_out")
     )
+    found = F.array_compact(F.array(F.when(F.col("_in"), "in"), F.when(F.col("_out"), "out")))
+    two_way = F.col("_in") & F.col("_out") & (F.col("id") != F.col("other"))
+    return sides.select("id", F.explode(found).alias("direction"), "other", two_way.alias("two_way"))
 
 
-def adjacency(edges: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
+def adjacency(edges: DataFrame, parts: int) -> DataFrame:
     """(id, part, inputs, outputs, bidirectional_with): sorted neighbour ids of every edge end.
 
-    One shuffle on (id, part). A neighbour in both lists of a part is a two-way partner, so no
-    self join is needed; both directions of a neighbour share a part.
+    The lists of every node are cut into ``parts`` by a hash of the neighbour, both directions of
+    one neighbour into the same part; a part without neighbours has no row. One part gives whole
+    lists and is for graphs whose largest node fits into a task.
     """
-    halves = half_edges(edges)
-    parted = halves.join(hub_parts(halves, max_list), "id", "left").withColumn(
-        "part", list_part(F.col("other"), F.coalesce("parts", F.lit(1)))
+    return _lists(neighbours(edges), parts)
+
+
+def _lists(found: DataFrame, parts: int) -> DataFrame:
+    if parts < 1:
+        raise ValueError("parts must be at least 1")
+    part = F.pmod(F.xxhash64("other"), F.lit(parts)).alias("part")
+    pick = lambda when: F.sort_array(F.collect_list(F.when(when, F.col("other"))))
+    return found.groupBy("id", part).agg(
+        pick(F.col("direction") == "in").alias("inputs"),
+        pick(F.col("direction") == "out").alias("outputs"),
+        pick((F.col("direction") == "in") & F.col("two_way")).alias("bidirectional_with"),
     )
-    lists = parted.groupBy("id", "part").agg(
-        F.sort_array(F.collect_set(F.when(F.col("direction") == "in", F.col("other")))).alias("inputs"),
-        F.sort_array(F.collect_set(F.when(F.col("direction") == "out", F.col("other")))).alias("outputs"),
+
+
+def with_lists(nodes: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """Nodes with the lists of their neighbours, ``parts`` rows each (``part`` from 0), for formats that need lists.
+
+    ``found``: neighbours as from :func:`neighbours`, with ids as in ``nodes``.
+    """
+    none = F.array().cast(f"array<{found.schema['other'].dataType.simpleString()}>")
+    rows = nodes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return rows.join(_lists(found, parts), ["id", "part"], "left").select(
+        *nodes.columns, "part", *[F.coalesce(c, none).alias(c) for c in ("inputs", "outputs", "bidirectional_with")]
     )
-    both = F.array_except(F.array_intersect("inputs", "outputs"), F.array("id"))
-    return lists.select("id", "part", "inputs", "outputs", both.alias("bidirectional_with"))
 
 
 def bidirectional_pairs(edges: DataFrame) -> DataFrame:
@@ -130,58 +143,64 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def metadata_rows(objects: DataFrame, edges: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
-    """Tables and views with their writers (inputs) and readers (outputs); empty lists when unused."""
+def metadata_rows(objects: DataFrame, edges: DataFrame) -> DataFrame:
+    """Tables and views with the numbers of their writers (inputs) and readers (outputs)."""
     wanted = objects.where(F.col("object_type").isin("Table", "View")).select("object_id")
-    lists = adjacency(edges, max_list).withColumnRenamed("id", "object_id")
-    none = F.array().cast("array<bigint>")
-    return wanted.join(lists, "object_id", "left").select(
-        "object_id",
-        F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
-        F.coalesce("inputs", none).alias("inputs"),
-        F.coalesce("outputs", none).alias("outputs"),
-        F.lit("metadata").alias("primary_source"),
+    counted = neighbour_counts(edges).withColumnRenamed("id", "object_id")
+    return wanted.join(counted, "object_id", "left").select(
+        "object_id", *_counts("input_count", "output_count"), F.lit("metadata").alias("primary_source")
+    )
+
+
+def neighbour_counts(edges: DataFrame) -> DataFrame:
+    """(id, input_count, output_count, two_way_count): distinct neighbours of every edge end."""
+    way = F.col("direction")
+    return neighbours(edges).groupBy("id").agg(
+        F.count_if(way == "in").alias("input_count"),
+        F.count_if(way == "out").alias("output_count"),
+        F.count_if((way == "in") & F.col("two_way")).alias("two_way_count"),
     )
 
 
+def _counts(*columns: str) -> list[Column]:
+    return [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in columns]
+
+
 def build_nodes(
     objects: DataFrame,
     edges: DataFrame,
     metadata: DataFrame,
-    max_list: int = MAX_LIST,
     object_types: tuple[str, ...] = NODE_TYPES,
 ) -> DataFrame:
-    """Nodes with input, output and two-way lists and provenance.
+    """Nodes with the numbers of their inputs, outputs and two-way partners, and provenance.
 
-    One row per node and list part. Objects without state are ``metadata`` (tables, views) or
+    One row per node; :func:`neighbours` has who they are. Objects without state are ``metadata`` (tables, views) or
     ``unparsed`` (procedures, success unknown).
     """
     nodes = objects.where(F.col("object_type").isin(*object_types)).select(
         F.col("object_id").alias("id"), F.col("object_name").alias("name"), F.col("schema_name").alias("schema"), "object_type"
     )
-    fields = ["parse_failure_reason", "expected_count", "found_count"]
+    fields = {"parse_failure_reason": "string", "expected_count": "int", "found_count": "int"}
     state = metadata.select(
         F.col("object_id").alias("id"),
         F.lit(True).alias("_known"),
         F.coalesce("primary_source", F.lit("unknown")).alias("_source"),
         F.col("parse_success").alias("_ok"),
-        *[(F.col(f) if f in metadata.columns else F.lit(None).cast("string")).alias(f"_{f}") for f in fields],
+        *[(F.col(f) if f in metadata.columns else F.lit(None)).cast(kind).alias(f"_{f}") for f, kind in fields.items()],
     )
     data_object = F.col("object_type").isin("Table", "View")
     known = F.col("_known").isNotNull()
     source = F.when(known, F.col("_source")).when(data_object, "metadata").otherwise("unparsed")
     success = F.when(known, F.coalesce("_ok", F.lit(True))).when(data_object, F.lit(True))
-    none = F.array().cast("array<bigint>")
     return (
         nodes.join(state, "id", "left")
-        .join(adjacency(edges, max_list), "id", "left")
+        .join(neighbour_counts(edges), "id", "left")
         .select(
             "id",
             "name",
             "schema",
             "object_type",
-            F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
-            *[F.coalesce(c, none).alias(c) for c in ("inputs", "outputs", "bidirectional_with")],
+            *_counts("input_count", "output_count", "two_way_count"),
             F.struct(
                 source.alias("primary_source"), success.alias("parse_success"), *[F.col(f"_{f}").alias(f) for f in fields]
             ).alias("provenance"),
@@ -228,24 +247,21 @@ def frontend_nodes(
     edges: DataFrame,
     metadata: DataFrame,
     ddl: DataFrame | None = None,
-    max_list: int = MAX_LIST,
     model_rules=names.MODEL_RULES,
 ) -> DataFrame:
-    """Nodes for display: string ids, no reference outside the node set, lists in numeric order.
+    """Nodes for display, one row each: string ids, neighbours outside the node set not counted.
 
-    ``ddl`` (object_id, ddl_text) adds the text; without it the column is absent.
+    :func:`frontend_neighbours` has the neighbours. ``ddl`` (object_id, ddl_text) adds the text; without it the column is absent.
     """
     shown = objects.where(F.col("object_type").isin(*NODE_TYPES))
     inner = node_edges(edges, shown, "object_id")
-    nodes = build_nodes(shown, inner, metadata, max_list)
-    text = lambda c: F.transform(c, lambda x: x.cast("string")).alias(c)
+    nodes = build_nodes(shown, inner, metadata)
     p = "provenance."
     out = nodes.select(
         F.col("id").cast("string").alias("id"),
         "name",
         "schema",
         "object_type",
-        "part",
         node_description(
             F.col("object_type"),
             F.col(p + "parse_success"),
@@ -255,9 +271,9 @@ def frontend_nodes(
         ).alias("description"),
         names.classify_model(F.col("name"), F.col("object_type"), model_rules).alias("data_model_type"),
         names.node_symbol(F.col("object_type")).alias("node_symbol"),
-        text("inputs"),
-        text("outputs"),
-        text("bidirectional_with"),
+        "input_count",
+        "output_count",
+        "two_way_count",
         F.col(p + "parse_success").alias("parse_success"),
     )
     if ddl is None:
@@ -266,15 +282,22 @@ def frontend_nodes(
     return out.join(texts, "id", "left")
 
 
-def edges_from_nodes(nodes: DataFrame) -> DataFrame:
-    """Edges the lists of nodes imply, each once, both ends being nodes."""
-    listed = nodes.select(
-        "id", F.explode(F.concat(
-            F.transform("inputs", lambda x: F.struct(x.alias("source_id"), F.col("id").alias("target_id"))),
-            F.transform("outputs", lambda x: F.struct(F.col("id").alias("source_id"), x.alias("target_id"))),
-        )).alias("e"),
-    ).select("e.source_id", "e.target_id").distinct()
-    return node_edges(listed, nodes.select("id").distinct())
+def frontend_neighbours(objects: DataFrame, edges: DataFrame) -> DataFrame:
+    """Neighbours of the displayed nodes with string ids: (id, direction, other, two_way)."""
+    shown = objects.where(F.col("object_type").isin(*NODE_TYPES))
+    found = neighbours(node_edges(edges, shown, "object_id"))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return found.select(text("id"), "direction", text("other"), "two_way")
+
+
+def edges_from_nodes(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges that the neighbours of nodes imply, each once, both ends being nodes."""
+    inward = F.col("direction") == "in"
+    listed = found.select(
+        F.when(inward, F.col("other")).otherwise(F.col("id")).alias("source_id"),
+        F.when(inward, F.col("id")).otherwise(F.col("other")).alias("target_id"),
+    ).distinct()
+    return node_edges(listed, nodes)
 
 
 def facets(nodes: DataFrame, text: str | None = None) -> DataFrame:

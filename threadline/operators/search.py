@@ -97,38 +97,55 @@ def stem(terms: Column | str) -> Column:
 class TextIndex:
     """Postings (term, id, tf, length) and document lengths (id, length) of a text collection.
 
-    Postings repeat the document length, so ranking needs no lookup per hit.
+    Postings repeat the document length, so ranking needs no lookup per hit. How the texts were cut
+    into terms belongs to the index and is stored with it, so that queries are cut alike.
     """
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, stemmed: bool, fold_accents: bool):
+    def __init__(
+        self, postings: DataFrame, lengths: DataFrame, stemmed: bool, fold_accents: bool, stop_words: tuple[str, ...] = ()
+    ):
         self.postings = postings
         self.lengths = lengths
         self.stemmed = stemmed
         self.fold_accents = fold_accents
+        self.stop_words = tuple(stop_words)
 
     def document_frequencies(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
     def write(self, folder: str, buckets: int = 64) -> None:
         """Persist the index with postings partitioned by a hash of the term, so that a query
-        reads only the folders of its own terms."""
+        reads only the folders of its own terms. Buckets are evened out by size, so the postings
+        of a frequent term are spread over as many files as their size asks for."""
+        spark = self.postings.sparkSession
         keyed = self.postings.withColumn("bucket", term_bucket(F.col("term"), buckets))
-        # The doc hash spreads a frequent term over several files instead of one task.
-        spread = F.pmod(F.xxhash64("id"), F.lit(8))
-        keyed.repartition("bucket", spread).write.partitionBy("bucket").parquet(f"{folder}/postings")
+        keyed.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{folder}/postings")
         self.lengths.write.parquet(f"{folder}/lengths")
+        settings = (self.stemmed, self.fold_accents, list(self.stop_words), buckets)
+        spark.createDataFrame([settings], SETTINGS).coalesce(1).write.parquet(f"{folder}/settings")
 
     @staticmethod
-    def load(spark: SparkSession, folder: str, terms: list[str] | None = None, stemmed: bool = False, fold_accents: bool = False, buckets: int = 64) -> TextIndex:
-        """A written index; with ``terms`` only the folders that can hold them are read."""
-        postings = spark.read.parquet(f"{folder}/postings")
-        if terms is not None:
-            wanted = [term_bucket(F.lit(t), buckets) for t in terms]
+    def load(spark: SparkSession, folder: str, query: str | None = None) -> TextIndex:
+        """A written index; with a ``query`` only the folders that can hold its words are read."""
+        own = spark.read.schema(SETTINGS).parquet(f"{folder}/settings").first()
+        index = TextIndex(
+            spark.read.parquet(f"{folder}/postings"),
+            spark.read.parquet(f"{folder}/lengths"),
+            own["stemmed"],
+            own["fold_accents"],
+            tuple(own["stop_words"]),
+        )
+        if query is not None:
+            terms = query_terms(query, index)
             hit = F.lit(False)
-            for bucket in wanted:
-                hit = hit | (F.col("bucket") == bucket)
-            postings = postings.where(hit & F.col("term").isin(*terms))
-        return TextIndex(postings.drop("bucket"), spark.read.parquet(f"{folder}/lengths"), stemmed, fold_accents)
+            for term in terms:
+                hit = hit | (F.col("bucket") == term_bucket(F.lit(term), own["buckets"]))
+            index.postings = index.postings.where(hit & F.col("term").isin(*terms) if terms else F.lit(False))
+        index.postings = index.postings.drop("bucket")
+        return index
+
+
+SETTINGS = "stemmed boolean, fold_accents boolean, stop_words array<string>, buckets int"
 
 
 def term_bucket(term: Column, buckets: int) -> Column:
@@ -159,14 +176,15 @@ def build_index(
     if stemmed:
         stems = postings.withColumn("term", stem("term"))
         postings = stems.groupBy("id", "term").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
-    return TextIndex(postings.select("term", "id", "tf", "length"), lengths, stemmed, fold_accents)
+    return TextIndex(postings.select("term", "id", "tf", "length"), lengths, stemmed, fold_accents, tuple(stop_words or ()))
 
 
 def query_terms(query: str, index: TextIndex) -> list[str]:
+    """The words of a query as the index has them; its stop words count for nothing."""
     text = query.lower()
     if index.fold_accents:
         text = text.translate(str.maketrans(*_accent_map()))
-    words = [w for w in re.split("[^a-z]+", text) if w]
+    words = [w for w in re.split("[^a-z]+", text) if w and w not in index.stop_words]
     return sorted({stemming.porter_stem(w) if index.stemmed else w for w in words})
 
 
@@ -212,8 +230,12 @@ def search(
 
 
 def search_phrase(docs: DataFrame, phrase: str, id_col: str, text_col: str) -> DataFrame:
-    """Documents whose text contains the phrase, ignoring case."""
-    return docs.where(F.contains(F.lower(text_col), F.lit(phrase.lower()))).select(F.col(id_col).alias("id"))
+    """Documents that have the words of the phrase one after another, whatever stands between them but letters."""
+    words = [w for w in re.split("[^a-z]+", phrase.lower()) if w]
+    if not words:
+        return docs.limit(0).select(F.col(id_col).alias("id"))
+    pattern = "(?<![a-z])" + "[^a-z]+".join(words) + "(?![a-z])"
+    return docs.where(F.lower(text_col).rlike(pattern)).select(F.col(id_col).alias("id"))
 
 
 def with_snippets(hits: DataFrame, docs: DataFrame, id_col: str, text_col: str, chars: int = SNIPPET_CHARS) -> DataFrame:

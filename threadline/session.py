@@ -33,15 +33,18 @@ def build_session(app_name: str = "threadline", master: str | None = None, **ext
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder every executor can reach.
 
-    The cluster names the shared root in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a temporary folder.
+    The cluster names the shared root in ``spark.checkpoint.dir``. Only a session within one
+    process may fall back to a temporary folder.
     """
     app_id = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = _local_roots.setdefault(app_id, tempfile.mkdtemp(prefix="threadline-"))
+        if app_id not in _local_roots:
+            _local_roots[app_id] = tempfile.mkdtemp(prefix="threadline-")
+        root = _local_roots[app_id]
     return f"{root.rstrip('/')}/{app_id}/{label}-{uuid.uuid4().hex}"
 
 
