@@ -75,6 +75,22 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {
+    "op3_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS own FROM w),
+sizes AS (SELECT doc_id, CAST(len(own) AS BIGINT) AS n FROM sets),
+items AS MATERIALIZED (SELECT doc_id, unnest(own) AS item FROM sets),
+shared AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS at, doc_id AS start FROM sizes UNION SELECT l.b, r.start FROM reach r JOIN links l ON l.a = r.at),
+lowest AS (SELECT at AS doc_id, min(start) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN lowest USING (doc_id)""",
     "op4_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 q AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
