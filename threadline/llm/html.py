@@ -40,6 +40,12 @@ LABELLED = (
     (3, 1.0, 1, 0.0, 2, 0.0, 1, 0, 1, 0, 1),
     (10, 0.6, 3, 0.0, 3, 0.0, 1, 0, 1, 0, 1),
     (4, 1.0, 3, 1.0, 3, 1.0, 1, 0, 1, 0, 1),
+    (3, 0.3, 0, 0.0, 2, 1.0, 1, 0, 1, 0, 1),
+    (1, 0.0, 2, 1.0, 2, 1.0, 1, 0, 1, 0, 1),
+    (5, 0.0, 2, 1.0, 3, 0.9, 1, 0, 1, 0, 1),
+    (2, 0.0, 2, 1.0, 2, 1.0, 1, 0, 0, 0, 1),
+    (3, 0.0, 0, 0.0, 2, 1.0, 1, 0, 0, 1, 1),
+    (2, 0.0, 2, 1.0, 2, 1.0, 1, 0, 0, 1, 1),
     (25, 0.3, 50, 0.0, 40, 0.0, 1, 0, 0, 0, 1),
     (9, 0.6, 50, 0.0, 40, 0.0, 1, 0, 0, 0, 1),
     (9, 0.6, 3, 0.0, 4, 0.0, 1, 0, 0, 0, 1),
