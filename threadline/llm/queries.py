@@ -88,8 +88,8 @@ shared AS MATERIALIZED (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS MATERIALIZED (
   SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
-reach AS (SELECT doc_id AS at, doc_id AS start FROM sizes UNION SELECT l.b, r.start FROM reach r JOIN links l ON l.a = r.at),
-lowest AS (SELECT at AS doc_id, min(start) AS component_id FROM reach GROUP BY 1)
+reach AS (SELECT doc_id AS node, doc_id AS start FROM sizes UNION SELECT l.b, r.start FROM reach r JOIN links l ON l.a = r.node),
+lowest AS (SELECT node AS doc_id, min(start) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN lowest USING (doc_id)""",
     "op4_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
