@@ -9,6 +9,8 @@ from threadline.operators import state
 from threadline.plans.derived_catalog import PROC, VIEW
 from threadline.plans.refresh import nodes_of, read_state, refresh, write_state
 from threadline.session import scratch_dir
+from threadline.sources.snapshot import write_snapshot
+from threadline.streaming.refresh import latest_version, stream_refresh
 
 DUE = "m.object_id IS NULL OR o.modify_date > m.last_parsed_modify_date OR m.parse_success = FALSE"
 
@@ -263,3 +265,13 @@ def incremental_metadata(c):
 def incremental_nodes(c):
     current, snapshot = _incremental(c)
     return nodes_of(snapshot, current).select("id", "name", "input_count", "output_count")
+
+
+@check("S1_refresh_stream", with_ctes("objects dependencies proc_facts", "SELECT source_id, target_id, owner_id FROM refresh_edges", *REFRESH_EDGES))
+def refresh_stream(c):
+    """The snapshot is announced, read by the stream and written as a state version."""
+    folder = scratch_dir(c.spark, "stream")
+    write_snapshot(_snapshot(c), f"{folder}/snapshot")
+    c.spark.createDataFrame([(f"{folder}/snapshot",)], "snapshot string").coalesce(1).write.json(f"{folder}/control")
+    stream_refresh(c.spark, f"{folder}/control", f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
+    return read_state(c.spark, latest_version(c.spark, f"{folder}/state")).edges.select("source_id", "target_id", "owner_id")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import NODES_CTE, Catalog, check, joined, node_table, with_ctes
-from threadline.session import scratch_dir
-from threadline.operators import filters, search, traverse
+from threadline.operators import filters, search, traverse, view
 from threadline.operators.traverse import TraceRequest
+from threadline.session import scratch_dir
 from threadline.sources import logs, snapshot
 
 START, END = 2, 12  # the tables of the first two parts
@@ -471,3 +471,29 @@ def log_lines(c):
     return logs.filter_lines(lines, 1000, "warning", "TBL1")
 
 
+
+
+@check(
+    "E3_E10_visible_graph",
+    with_ctes(
+        "objects lineage_edges",
+        """SELECT a.source_id, a.target_id, b.source_id IS NOT NULL AND a.source_id <> a.target_id AS is_bidirectional
+        FROM shown a LEFT JOIN shown b ON b.source_id = a.target_id AND b.target_id = a.source_id WHERE b.source_id IS NULL OR a.source_id <= a.target_id""",
+        NODES_CTE,
+        """linked AS MATERIALIZED (SELECT * FROM nodes WHERE id IN (SELECT unnest([source_id, target_id]) FROM lineage_edges
+          WHERE source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes)))""",
+        """kept AS MATERIALIZED (SELECT * FROM linked WHERE "schema" IN ('CONSUMPTION_FINANCE', 'CONSUMPTION_SALES', 'STAGING_HR', 'STAGING_BUILDING') AND lower(name) NOT LIKE 'cust1%')""",
+        """between AS MATERIALIZED (SELECT source_id, target_id FROM lineage_edges WHERE source_id IN (SELECT id FROM kept) AND target_id IN (SELECT id FROM kept))""",
+        """both_ways AS MATERIALIZED (SELECT source_id AS a, target_id AS b FROM between UNION SELECT target_id, source_id FROM between)""",
+        """reached AS (SELECT id FROM kept WHERE "schema" = 'CONSUMPTION_FINANCE' UNION SELECT e.b FROM reached r JOIN both_ways e ON e.a = r.id)""",
+        """best AS MATERIALIZED (SELECT id FROM kept WHERE id IN (SELECT id FROM reached)
+          ORDER BY CASE object_type WHEN 'Stored Procedure' THEN 1 WHEN 'Function' THEN 2 ELSE 3 END, id LIMIT 500)""",
+        "shown AS MATERIALIZED (SELECT source_id, target_id FROM between WHERE source_id IN (SELECT id FROM best) AND target_id IN (SELECT id FROM best))",
+    ),
+)
+def visible_graph(c):
+    schemas = ["CONSUMPTION_FINANCE", "CONSUMPTION_SALES", "STAGING_HR", "STAGING_BUILDING"]
+    _, edges = view.visible_graph(
+        c.nodes, c.edges, schemas=schemas, exclude=["Cust1*"], focus_schemas=["CONSUMPTION_FINANCE"], k=500
+    )
+    return edges

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadline.operators.extract import extract_refs, hint_rows, read_references
 from threadline.operators.rules import DEFAULT_RULES, Rule
+from threadline.session import write_stage
 from threadline.sources.contracts import FUNCTION_TYPES
 
 def _kind_of_type(object_type: Column) -> Column:
@@ -333,9 +334,13 @@ def failure_reason(
 
 def distinct_commands(logs: DataFrame) -> DataFrame:
     """Distinct data-moving statements of a query log."""
-    return logs.where(
-        F.col("command_text").rlike(r"(?i)^\s*(SELECT|INSERT|UPDATE|DELETE|MERGE|TRUNCATE|WITH|EXEC|EXECUTE)\b")
-    ).select("command_text").distinct()
+    return _commands(logs).select("command_text")
+
+
+def _commands(logs: DataFrame) -> DataFrame:
+    """(command_id, command_text) of the distinct statements; a 128-bit hash stands for the text in keys."""
+    moving = logs.where(F.col("command_text").rlike(r"(?i)^\s*(SELECT|INSERT|UPDATE|DELETE|MERGE|TRUNCATE|WITH|EXEC|EXECUTE)\b"))
+    return moving.groupBy(F.md5("command_text").alias("command_id")).agg(F.any_value("command_text").alias("command_text"))
 
 
 def validate_with_logs(logs: DataFrame, edges: DataFrame, objects: DataFrame) -> DataFrame:
@@ -343,9 +348,9 @@ def validate_with_logs(logs: DataFrame, edges: DataFrame, objects: DataFrame) ->
 
     A read is confirmed when some edge leaves the table, a write when some edge enters it.
     """
-    commands = distinct_commands(logs)
-    refs = extract_refs(commands, id_col="command_text", text_col="command_text")
-    found = validate_refs(refs, objects, keep_created=False, id_col="command_text").where(
+    commands = write_stage(_commands(logs), "commands")
+    refs = extract_refs(commands, id_col="command_id", text_col="command_text")
+    found = validate_refs(refs, objects, keep_created=False, id_col="command_id").where(
         F.col("role").isin("source", "target")
     )
     ends = edges.select(
@@ -356,6 +361,7 @@ def validate_with_logs(logs: DataFrame, edges: DataFrame, objects: DataFrame) ->
             )
         ).alias("e")
     ).select("e.role", "e.ref_id").distinct().withColumn("confirmed", F.lit(True))
-    return found.join(ends, ["role", "ref_id"], "left").select(
+    confirmed = found.join(ends, ["role", "ref_id"], "left")
+    return confirmed.join(commands, "command_id").select(
         "command_text", "role", "name", "ref_id", F.coalesce("confirmed", F.lit(False)).alias("confirmed")
     )

@@ -39,10 +39,13 @@ class TraceRequest:
         return facet_condition(self.schemas, None, self.model_types) & ~names.matches_any(F.col("name"), self.exclude)
 
 
-def _walk(edges: DataFrame, seeds: DataFrame, limits: dict[str, int | None], label: str) -> DataFrame:
+def _walk(
+    edges: DataFrame, seeds: DataFrame, limits: dict[str, int | None], label: str, allowed: DataFrame | None = None
+) -> DataFrame:
     """(id, direction, depth) of everything reachable from the seeds, depth minimal.
 
-    ``edges`` (source_id, target_id) must already be restricted to allowed ids; ``seeds`` is (id).
+    ``edges`` (source_id, target_id) must already be restricted to allowed ids, or ``allowed`` (id)
+    is given and the ids that a level reaches are held against it. ``seeds`` is (id).
     ``downstream`` walks source → target, ``upstream`` the other way, ``any`` ignores the
     direction of edges. All directions advance together, one job per level.
     """
@@ -66,6 +69,8 @@ def _walk(edges: DataFrame, seeds: DataFrame, limits: dict[str, int | None], lab
             .select("id", "direction")
             .distinct()
         )
+        if allowed is not None:
+            reached = reached.join(allowed, "id", "left_semi")
         level += 1
         count = write_counted(reached.join(seen, ["id", "direction"], "left_anti"), f"{root}/depth={level}")
     return spark.read.schema(with_depth).parquet(root)
@@ -101,12 +106,16 @@ def trace(nodes: DataFrame, edges: DataFrame, request: TraceRequest) -> DataFram
     """(id, direction, depth) of a level trace, both directions.
 
     A node that fails the filter is neither reported nor passed through; if the start fails,
-    the result is empty.
+    the result is empty. A trace of a given number of levels reads the edges where they are and
+    tests the few ids it reaches; one without limit first writes the edges between allowed nodes,
+    since it may need most of them many times.
     """
     allowed = nodes.where(request.condition())
-    usable = _allowed_edges(allowed, edges, "trace-edges")
     seeds = allowed.where(F.col("id") == F.lit(request.start)).select("id")
-    return _walk(usable, seeds, {"upstream": request.upstream, "downstream": request.downstream}, "trace")
+    limits = {"upstream": request.upstream, "downstream": request.downstream}
+    if None in limits.values():
+        return _walk(_allowed_edges(allowed, edges, "trace-edges"), seeds, limits, "trace")
+    return _walk(edges.select("source_id", "target_id"), seeds, limits, "trace", allowed.select("id"))
 
 
 def path_nodes(
