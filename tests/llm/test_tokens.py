@@ -116,7 +116,7 @@ def test_each_item_goes_where_the_sum_of_squares_is_smallest():
 def test_sequences_hold_the_ids(spark, docs):
     table = docs((1, "a b c"), (2, "d e"), (3, None))
     cut = packing.pieces(table)
-    rows = packing.sequences(cut, packing.pack(packing.checksums(cut))).collect()
+    rows = packing.sequences(cut, packing.pack(packing.pieces(table, checksum=True))).collect()
     plain = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     want = sorted([*plain.encode(t, add_special_tokens=False).ids, 1] for t in ("a b c", "d e", ""))
     got = []

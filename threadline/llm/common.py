@@ -6,6 +6,7 @@ called, have no effect. A null text counts as empty unless an operator says othe
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,8 +18,9 @@ from threadline.session import write_stage
 
 #: The white space of the word pattern ``[^\x20\x09-\x0D]+``; ``bytes.split()`` cuts at the same bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch: bounds the Python memory of a task with long texts.
+#: Rows and bytes of one Arrow batch: bound the memory of a task with long texts.
 BATCH_ROWS = "1000"
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,7 @@ def prepare(spark: SparkSession) -> None:
     """Settings the operators rely on; all can be changed at run time."""
     for key, value in {
         "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS,
+        "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     }.items():
         if spark.conf.get(key, None) != value:
@@ -53,10 +56,18 @@ def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa
             if batch.num_rows:
                 out = each(batch)
                 yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
+        del each
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give the memory of a task back: Python processes outlive their tasks, and many kinds of task share one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def filter_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
     """The rows, with all their columns, for which the function of a batch gives true."""
     prepare(df.sparkSession)
@@ -66,6 +77,8 @@ def filter_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch],
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(np.asarray(each(batch), bool)))
+        del each
+        release()
 
     return df.mapInArrow(run, df.schema)
 
@@ -93,7 +106,7 @@ class WordTable(dict):
     The table is emptied when it has passed ``limit`` words, so its memory is bounded.
     """
 
-    def __init__(self, describe: Callable[[list], tuple[np.ndarray, ...]], limit: int = 400_000):
+    def __init__(self, describe: Callable[[list], tuple[np.ndarray, ...]], limit: int = 200_000):
         super().__init__()
         self._describe = describe
         self._limit = limit

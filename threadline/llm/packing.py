@@ -29,7 +29,7 @@ LENGTH = 4096
 #: Pieces in a shard, about: the waste of a shard is a few sequences.
 SHARD_PIECES = 1 << 16
 #: Words whose ids a process remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Signs that no contraction of the tokenizer's pattern begins with.
 SIGNS = ".,;:!?#$%&*|-()"
 
@@ -99,10 +99,12 @@ def pieces(
     path: str | None = None,
     end: int = END,
     length: int = LENGTH,
+    checksum: bool = False,
 ) -> DataFrame:
     """``id_column, piece, start, length, ids``: the pieces of every document, ``end`` included.
 
-    A null or empty text is the end token alone, so every row gives at least one piece. Rows with
+    With ``checksum`` the last column is ``ids_crc32``, the unsigned CRC-32 of the ids as bytes, and
+    no ids leave the task. A null or empty text is the end token alone, so every row gives at least one piece. Rows with
     equal or null ids are documents of their own.
     """
     path = path or public_tokenizers.path(VOCABULARY)
@@ -126,32 +128,17 @@ def pieces(
                 "piece": pa.array(number, pa.int32()),
                 "start": long_array(np.array(at)),
                 "length": long_array(np.array([len(p) // 4 for p in parts])),
-                "ids": pa.array(parts, pa.binary()),
-            }
+            } | ({"ids_crc32": pa.array(map(zlib.crc32, parts), pa.int64())} if checksum else {"ids": pa.array(parts, pa.binary())})
 
         return each
 
     kind = docs.schema[id_column].dataType.simpleString()
+    last = "ids_crc32 long" if checksum else "ids binary"
     return map_batches(
-        docs.select(id_column, text_column), start, f"`{id_column}` {kind}, piece int, start long, length long, ids binary"
+        docs.select(id_column, text_column), start, f"`{id_column}` {kind}, piece int, start long, length long, {last}"
     )
 
 
-def checksums(cut: DataFrame) -> DataFrame:
-    """The pieces with ``ids_crc32`` in place of ``ids``."""
-    kept = [c for c in cut.columns if c != "ids"]
-
-    def start():
-        def each(batch):
-            sums = [zlib.crc32(x) for x in batch.column("ids").to_pylist()]
-            return {c: batch.column(c) for c in kept} | {"ids_crc32": pa.array(sums, pa.int64())}
-
-        return each
-
-    schema = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in kept)
-    return map_batches(cut, start, f"{schema}, ids_crc32 long")
-
-
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of every item, longest items first.
 
@@ -214,7 +201,7 @@ def pack_documents(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None, length: int = LENGTH
 ) -> DataFrame:
     """``id_column, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
-    cut = stage(checksums(pieces(docs, id_column, text_column, path, END, length)), "pieces")
+    cut = stage(pieces(docs, id_column, text_column, path, END, length, checksum=True), "pieces")
     return pack(cut, id_column, length)
 
 
