@@ -230,14 +230,13 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
 def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS, links: int = LINKS, copies: int | None = None) -> DataFrame:
     """``dims, shard, graph, exact, ids, id_counts``: one row for each shard.
 
-    Vectors of different length are in different shards. ``copies``: so many of the smallest ids of
+    The number of shards follows from the number of rows; vectors of different length are in
+    different shards. ``copies``: so many of the smallest ids of
     equal vectors are stored (all by default); more than a query asks for are never returned.
     """
     prepare(rows.sparkSession)
-    sizes = rows.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("long").alias("shards"))
-    dealt = rows.join(F.broadcast(sizes), "dims").select(
-        "dims", F.pmod(F.xxhash64(F.lit("shard"), "vec_id"), F.col("shards")).alias("shard"), "vec_id", "vector"
-    )
+    shards = max(1, -(-rows.count() // shard_rows))
+    dealt = rows.select("dims", F.pmod(F.xxhash64(F.lit("shard"), "vec_id"), F.lit(shards)).alias("shard"), "vec_id", "vector")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pa.Table.from_batches(list(batches)).sort_by("vec_id")
@@ -278,10 +277,8 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF
     Ties go to the smaller id; a query's own id is left out; with fewer candidates all are returned.
     """
     prepare(queries.sparkSession)
-    sizes = queries.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
-    asked = queries.join(F.broadcast(sizes), "dims").select(
-        "dims", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.col("blocks")).alias("block"), "vec_id", "vector"
-    )
+    count = max(1, -(-queries.count() // block))
+    asked = queries.select("dims", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(count)).alias("block"), "vec_id", "vector")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pa.Table.from_batches(list(batches)).sort_by("vec_id")
@@ -298,8 +295,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF
 
     blocks = stage(asked.groupBy("dims", "block").applyInArrow(packed, "dims int, block long, query_ids binary, query_vectors binary"), "ann-queries")
     pairs = (
-        index.join(F.broadcast(sizes), "dims")
-        .select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "graph", "exact", "ids", "id_counts")
+        index.select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"), "graph", "exact", "ids", "id_counts")
         .join(blocks, ["dims", "block"])
         .select("dims", "graph", "exact", "ids", "id_counts", "query_ids", "query_vectors")
     )

@@ -21,6 +21,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of one Arrow batch: bound the memory of a task with long texts.
 BATCH_ROWS = "1000"
 BATCH_BYTES = "8m"
+#: Languages or labels that a sample is drawn from at most.
+MAX_STRATA = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -186,13 +188,14 @@ def held_out(id_column: str | Column) -> Column:
 
 
 def bounded_sample(rows: DataFrame, strata: str, per_stratum: int, key: str) -> DataFrame:
-    """About ``per_stratum`` rows of each stratum, picked by a hash of the key.
+    """About ``per_stratum`` rows of each of the ``MAX_STRATA`` largest strata, picked by a hash of the key.
 
     Only the number of rows of each stratum is counted over the whole table; the picked rows are a
     fixed set for fixed data, whatever its partitions. The result never has more than
     ``2 * per_stratum`` rows per stratum on average, and all rows of rare strata.
     """
-    counts = {r[0]: r[1] for r in rows.where(F.col(strata).isNotNull()).groupBy(strata).count().collect()}
+    sizes = rows.where(F.col(strata).isNotNull()).groupBy(strata).count().orderBy(F.desc("count"), strata).limit(MAX_STRATA)
+    counts = {r[0]: r[1] for r in sizes.collect()}
     if not counts:
         return rows.limit(0)
     share = F.lit(0.0)
