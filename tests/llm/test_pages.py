@@ -32,6 +32,13 @@ PAGES = {
     "link in text": ("<article><p>x <a href=y>link</a> z</p><p><a href=y>all link</a></p></article>", "x link z\nall link"),
     "inner furniture": ("<main><article><p>one</p><aside>side</aside><div class=share>Share</div><p>two</p></article></main>", "one\ntwo"),
     "no article": ("<div class=menu><a href=a>A</a></div><p>Some words here.</p><p>No.</p><div class=footer>F</div>", "Some words here.\nNo."),
+    "teasers": (
+        "<article><header class=entry-header><h1 class='post-header'>T</h1></header><p class=text>one</p></article>"
+        "<aside><article><p>other story</p></article></aside><footer><p class='content text'>small print</p></footer>",
+        "T\none",
+    ),
+    "whole page in a form": ("<form id=f><nav><a href=x>m</a></nav><article><p>one two</p></article></form>", "one two"),
+    "comments as articles": ("<article><p>one</p></article><div id=comments><article><p>so true</p></article></div>", "one"),
     "less than": ("<article><p>1 < 2 and 3 > 2</p></article>", "1 < 2 and 3 > 2"),
 }
 

@@ -118,12 +118,14 @@ CONTENT_TAGS = frozenset(["article", "main"])
 #: Words in class, id or role that tell page furniture, and content.
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner adsense menu nav navbar "
-    "navigation breadcrumb breadcrumbs pagination pager sidebar sidebars aside widget widgets rail footer foot colophon copyright header "
+    "navigation breadcrumb breadcrumbs pagination pager sidebar sidebars aside widget widgets rail footer foot colophon copyright "
     "masthead topbar logo branding cookie cookies consent gdpr notice notices notification alert disclaimer legal popup modal overlay "
     "comment comments commentlist reply replies respond discussion disqus share sharing social related recommended recommendations "
     "newsletter subscribe subscription signup login search form contentinfo complementary dialog toolbar skip hidden".split()
 )
-CONTENT_WORDS = frozenset("article content main post entry story body text".split())
+CONTENT_WORDS = frozenset("article content main post entry story".split())
+#: Parts that hold no article if they are closed where they should be.
+UNLIKELY_PARENTS = frozenset("nav header form menu fieldset head".split())
 
 _ATTRIBUTE = re.compile(r"""(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
@@ -142,8 +144,8 @@ class Block:
 
 @functools.lru_cache(maxsize=4096)
 def _hint(attributes: str) -> int:
-    """1 for content, -1 for furniture, 0 for neither, by class, id, role and hiding."""
-    furniture = content = False
+    """By class, id, role and hiding: 1 for content, -1 for furniture, -2 for a header, 0 for none of these."""
+    furniture = content = header = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -153,8 +155,9 @@ def _hint(attributes: str) -> int:
         elif name in ("class", "id", "role"):
             found = {w.lower() for w in _WORDS.findall(value)}
             furniture |= bool(found & FURNITURE_WORDS)
+            header |= "header" in found
             content |= bool(found & CONTENT_WORDS)
-    return -1 if furniture else int(content)
+    return -1 if furniture else -2 if header else int(content)
 
 
 def blocks(page: str) -> list[Block]:
@@ -245,14 +248,22 @@ def blocks(page: str) -> list[Block]:
 
 
 def _telling(tag: str, attributes: str, stack: list[tuple[str, int]]) -> int:
+    """1 for content, -1 for furniture, 0 for what its surroundings are.
+
+    An article inside page furniture is a teaser or a comment, unless it stands in a menu, header or
+    form: those were not closed, or wrap the page. A header inside an article belongs to it.
+    """
     if tag in ("html", "body"):
         return 0
     hint = _hint(attributes) if attributes else 0
-    if hint < 0 or tag in FURNITURE_TAGS:
+    around = next(((t, s) for t, s in reversed(stack) if s), ("", 0))
+    if hint == -1 or tag in FURNITURE_TAGS:
         return -1
-    if tag == "header":
-        return 0 if any(t in CONTENT_TAGS for t, _ in stack) else -1
-    return 1 if tag in CONTENT_TAGS or hint > 0 else 0
+    if tag == "header" or hint == -2:
+        return 0 if around[1] > 0 or tag in PROSE else -1
+    if tag in CONTENT_TAGS:
+        return -1 if around[1] < 0 and around[0] not in UNLIKELY_PARENTS else 1
+    return 1 if hint > 0 and around[1] >= 0 else 0
 
 
 def features(found: list[Block]) -> np.ndarray:
