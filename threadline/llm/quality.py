@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadline.llm.common import WordTable, bounded_sample, filter_batches, fold, held_out, map_batches, mix64, prepare, row_sums, split_words, stage
+from threadline.llm.common import WordTable, bounded_sample, filter_batches, fold, held_out, map_batches, prepare, row_sums, split_words, stage
 
 ROWS = 1 << 13
 DIMENSIONS = 32
@@ -36,7 +37,6 @@ THRESHOLD = 0.7
 # A word stands for up to three terms: its letters, its other characters, and how it is written.
 _SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
 _NOT_SIGNS = bytes(b for b in range(256) if b not in _SIGNS)
-_SHAPES = 6
 
 
 def word_terms(words: list[bytes], rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
@@ -50,21 +50,10 @@ def word_terms(words: list[bytes], rows: int = ROWS) -> tuple[np.ndarray, np.nda
         text = word.decode(errors="replace")
         signs = word.translate(None, _NOT_SIGNS)
         upper = text.isupper() and len(text) > 1
-        core[i] = _hash(word.translate(None, _SIGNS).lower())
-        shape[i] = _hash(b"%s|%d|%d" % (bytes(sorted(set(signs)))[:3], upper, min(len(text) // 4, 3)))
+        core[i] = xxhash.xxh3_64_intdigest(word.translate(None, _SIGNS).lower(), 5)
+        shape[i] = xxhash.xxh3_64_intdigest(b"%s|%d|%d" % (bytes(sorted(set(signs)))[:3], upper, min(len(text) // 4, 3)))
     half = np.uint64(rows // 2)
-    return (mix64(core) % half).astype(np.int64), (half + mix64(shape) % np.uint64(rows // 2 - 2)).astype(np.int64)
-
-
-def _hash(data: bytes) -> int:
-    return int.from_bytes(data[:8].ljust(8, b"\0"), "little") ^ (hash_tail(data[8:]) if len(data) > 8 else 0)
-
-
-def hash_tail(data: bytes) -> int:
-    value = 0xCBF29CE484222325
-    for b in data:
-        value = ((value ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return value
+    return (core % half).astype(np.int64), (half + shape % np.uint64(rows // 2 - 2)).astype(np.int64)
 
 
 def index_vectors(rows: int = ROWS, dimensions: int = DIMENSIONS) -> np.ndarray:
