@@ -79,11 +79,12 @@ ORACLE: dict[str, str] = {
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-sets AS (
+sets AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
     WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS own FROM w),
-sizes AS (SELECT doc_id, CAST(len(own) AS BIGINT) AS n FROM sets),
-items AS MATERIALIZED (SELECT doc_id, unnest(own) AS item FROM sets),
+sizes AS MATERIALIZED (SELECT doc_id, CAST(len(own) AS BIGINT) AS n FROM sets),
+every AS MATERIALIZED (SELECT doc_id, unnest(list_transform(own, lambda x: hash(x))) AS item FROM sets),
+items AS MATERIALIZED (SELECT doc_id, item FROM every WHERE item IN (SELECT item FROM every GROUP BY item HAVING count(*) > 1)),
 shared AS MATERIALIZED (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS MATERIALIZED (
