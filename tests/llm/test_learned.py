@@ -185,6 +185,26 @@ def test_severity_rises_with_the_number_of_insults(spark, docs):
     assert toxicity.fit(docs(*rows), labels.limit(0)).weights.any() == False  # noqa: E712
 
 
+def test_words_of_few_toxic_texts_count(spark, docs):
+    """Ten insults of eight texts each, some of them in no text of the sample that is learned from."""
+    rng = np.random.default_rng(6)
+    words, insults = [f"w{i}" for i in range(200)], [f"{c}{c}{c}" for c in "bcdfghjklm"]
+    rows = [(i, " ".join([*rng.choice(words, 60), *([insults[i // 8]] * 2 if i < 80 else [])])) for i in range(640)]
+    labels = spark.createDataFrame([(i, int(i < 80)) for i in range(640)], "doc_id long, toxic int")
+    found = {r["doc_id"]: r for r in toxicity.severity(docs(*rows), toxicity.fit(docs(*rows), labels, per_label=40)).collect()}
+    own = [found[i]["toxic"] for i in range(80) if found[i]["held_out"]]
+    assert len(own) > 10 and np.mean(own) > 0.9
+    assert np.mean([found[i]["toxic"] for i in range(80, 640)]) < 0.02
+
+
+def test_toxicity_recall_on_more_rows(spark):
+    docs_, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.severity(docs_, toxicity.fit(docs_, labels)).withColumnRenamed("toxic", "flag").toPandas()
+    own = found[found.held_out].merge(labels.toPandas()).merge(docs_.select("doc_id", "lang").toPandas())
+    assert own.flag[own.toxic == 0].mean() < 0.02
+    assert own.flag[own.toxic == 1].mean() > 0.9 and own[own.toxic == 1].groupby("lang").flag.mean().min() > 0.7
+
+
 def test_samples_are_bounded_and_fixed(spark):
     rows = spark.range(5000).selectExpr("id", "CASE WHEN id < 4900 THEN 'a' ELSE 'b' END AS kind")
     one = sorted(r["id"] for r in bounded_sample(rows, "kind", 300, "id").collect())

@@ -5,12 +5,15 @@ ordered thresholds cut it: P(grade > k) = sigmoid(w.x - threshold_k). The expect
 sum of these probabilities.
 
 The features of a text are hashed words and word beginnings, each with the logarithm of one plus the
-number of times the word occurs. The labels say only whether a text is toxic; the grade of a toxic
-text is the third that it falls into by how often it uses words that clean texts do not use.
+number of times the word occurs. All labelled texts that are not held out are counted to tell which
+features toxic texts use and clean ones do not, and how strongly; these odds are where the weights
+start, so that features too rare for the sample count as well. The labels say only whether a text is
+toxic; the grade of a toxic text is the third that it falls into by how often it uses such features.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,18 +22,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadline.llm.common import WordTable, bounded_sample, fold, held_out, map_batches, mix64, row_sums, split_words, stage
+from threadline.llm.common import WordTable, bounded_sample, fold, held_out, long_array, map_batches, mix64, prepare, release, row_sums, split_words, stage
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 22
 BEGINNINGS = (4, 5, 6, 7)
 GRADES = 3
 #: Labelled texts learned from, about, of each label; longer texts are not learned from.
 PER_LABEL = 1500
 LONGEST = 100_000
 #: A feature tells toxic texts from clean ones if it is so many times as frequent there and the log
-#: likelihood ratio against equal frequencies is at least this (chance: one in a million).
+#: likelihood ratio against equal frequencies is at least this (chance: one in ten thousand). Counted
+#: over all labelled texts, four toxic texts are enough if one text in nine is toxic.
 TIMES = 10
-EVIDENCE = 24.0
+EVIDENCE = 15.0
+#: Share of its log odds that the weight of a feature starts with.
+START = 0.25
+#: One of so many clean texts of the sample is kept aside and neither counted nor learned from.
+ASIDE = 5
 #: Share of the clean texts kept aside that may pass for toxic.
 FALSE_ALARMS = 0.005
 
@@ -50,6 +58,10 @@ def word_features(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarra
     return (out,)
 
 
+def word_features_of(buckets: int) -> Callable[[list[bytes]], tuple[np.ndarray]]:
+    return lambda words: word_features(words, buckets)
+
+
 def _word_counts(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of each text, how often they occur, and how many there are in each text."""
     kinds, times, sizes, at = [], [], np.zeros(len(counts), np.int64), 0
@@ -73,16 +85,66 @@ class SeverityModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -50, 50)))
 
 
-def telling_features(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """Whether each feature tells toxic texts from clean ones."""
-    seen = np.zeros((2, buckets))
-    for (features, _), label in zip(docs, toxic, strict=True):
-        seen[int(label), np.unique(features)] += 1
-    texts_of = np.array([max((toxic == 0).sum(), 1), max((toxic == 1).sum(), 1)], float)[:, None]
-    expected = seen.sum(axis=0) * texts_of / texts_of.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * np.nansum(np.where(seen > 0, seen * np.log(seen / expected), 0), axis=0)
-    return (seen[1] / texts_of[1] >= TIMES * seen[0] / texts_of[0]) & (ratio >= EVIDENCE)
+@dataclass
+class Telling:
+    """The features that tell toxic texts from clean ones, ascending, and the log of their odds."""
+
+    features: np.ndarray
+    odds: np.ndarray
+
+
+def telling_features(rows: DataFrame, buckets: int = BUCKETS) -> Telling:
+    """Features counted over all ``rows`` (label, text): the number of texts of each label with each.
+
+    Tasks give the counts of their texts, so no text has to fit the driver; what reaches it are
+    features that tell, at most one for each bucket.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen, total = WordTable(word_features_of(buckets)), np.zeros((2, buckets), np.int32), [0, 0]
+        for batch in batches:
+            words, counts = split_words(batch, "text")
+            ids, at = table.ids(words), 0
+            for n, label in zip(counts, batch.column("label").to_pylist(), strict=True):
+                if n:
+                    own = np.unique(table.values[0][np.unique(ids[at : at + n])])
+                    seen[label, own[own >= 0]] += 1
+                total[label] += 1
+                at += n
+        found = np.flatnonzero(seen[1] | seen[0])
+        for first in range(0, len(found) + 1, 1 << 16):
+            part = found[first : first + (1 << 16)]
+            rest = ([-1], *([n] for n in total)) if first == 0 else ((), (), ())
+            columns = [np.concatenate([x, y]) for x, y in zip(rest, (part, seen[0, part], seen[1, part]), strict=True)]
+            yield pa.RecordBatch.from_arrays([long_array(c) for c in columns], ["feature", "clean", "toxic"])
+        del table, seen
+        release()
+
+    prepare(rows.sparkSession)
+    tally = stage(
+        rows.select("label", "text")
+        .mapInArrow(count, "feature long, clean long, toxic long")
+        .groupBy("feature")
+        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        .where("toxic > 0 OR feature < 0"),
+        "evidence",
+    )
+    whole = tally.where("feature < 0").first()
+    if not whole or not whole["clean"] or not whole["toxic"]:
+        return Telling(np.zeros(0, np.int64), np.zeros(0))
+    clean, toxic = float(whole["clean"]), float(whole["toxic"])
+    both = (F.col("clean") + F.col("toxic")) / (clean + toxic)
+    ratio = 2 * (
+        F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * clean))).otherwise(0.0)
+        + F.col("toxic") * F.log(F.col("toxic") / (both * toxic))
+    )
+    found = (
+        tally.where((F.col("feature") >= 0) & (F.col("toxic") / toxic >= TIMES * F.col("clean") / clean) & (ratio >= EVIDENCE))
+        .toPandas()
+        .sort_values("feature")
+    )
+    odds = np.log((found.toxic.to_numpy() + 0.5) / (toxic + 1)) - np.log((found.clean.to_numpy() + 0.5) / (clean + 1))
+    return Telling(found.feature.to_numpy(np.int64), odds.astype(float))
 
 
 def grades(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
@@ -92,21 +154,22 @@ def grades(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.n
     return np.where(toxic == 1, 1 + (use > cuts[0]).astype(int) + (use > cuts[1]), 0)
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, buckets: int = BUCKETS, epochs: int = 40, rate: float = 0.3, l1: float = 5e-5) -> SeverityModel:
-    """Adagrad on the likelihood of the grades, weights drawn towards zero.
+def train(
+    docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, aside: np.ndarray, telling: Telling, buckets: int = BUCKETS,
+    epochs: int = 40, rate: float = 0.3, l1: float = 5e-5,
+) -> SeverityModel:
+    """Adagrad on the likelihood of the grades, weights drawn towards zero, from the odds of ``telling``.
 
-    Every fifth text is kept aside and sets the probability above which a text counts as toxic.
-    Without toxic or without clean texts every text gets the same low or high score.
+    ``docs`` hold telling features only. The texts ``aside`` set the probability above which a text
+    counts as toxic. Without toxic or without clean texts every text gets the same low or high score.
     """
     weights, thresholds = np.zeros(buckets), np.array([0.5, 1.5, 2.5])
     if len(set(toxic.tolist())) < 2:
         return SeverityModel(weights, thresholds + (3 if not toxic.any() else -6))
+    weights[telling.features] = START * telling.odds
     size, size_t = np.full(buckets, 1e-6), np.full(GRADES, 1e-6)
     rng = np.random.default_rng(3)
-    order = rng.permutation(len(docs))
-    aside, learn = order[::5], np.array([i for k, i in enumerate(order) if k % 5], int)
-    telling = telling_features([docs[i] for i in learn], toxic[learn], buckets)
-    kept = [(f[telling[f]], v[telling[f]]) for f, v in docs]
+    kept, learn = docs, np.flatnonzero(~aside)
     grade = grades(kept, toxic)
     for _ in range(epochs):
         for i in rng.permutation(learn):
@@ -135,14 +198,16 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, buckets:
                 np.add.at(weights, features, rate * step / np.sqrt(size[features]))
                 weights[features] = np.sign(weights[features]) * np.maximum(np.abs(weights[features]) - l1, 0)
     model = SeverityModel(weights, thresholds)
-    clean = np.array([weights[docs[i][0]] @ docs[i][1] for i in aside if not toxic[i]])
+    clean = np.array([weights[docs[i][0]] @ docs[i][1] for i in np.flatnonzero(aside)])
     if len(clean):
         model.cut = float(min(0.5, 1.1 * np.quantile(model.exceed(clean)[:, 0], 1 - FALSE_ALARMS)))
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", per_label: int = PER_LABEL) -> SeverityModel:
-    """Learn from about ``per_label`` texts of each label; labels of held-out rows are never read.
+    """Count features in all labelled texts, learn from about ``per_label`` of each label.
+
+    Labels of held-out rows are never read.
 
     An id with different labels is left out, repeated labels count once, null labels are ignored.
     """
@@ -154,12 +219,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         .select("id", "label"),
         "labels",
     )
-    sample = bounded_sample(known, "label", per_label, "id")
-    rows = (
-        docs.where(F.length(text_column) <= LONGEST)
-        .select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-        .join(F.broadcast(sample), "id")
-    )
+    aside = (F.col("label") == 0) & (F.pmod(F.xxhash64(F.lit("aside"), F.col("id")), F.lit(ASIDE)) == 0)
+    sample = stage(bounded_sample(known, "label", per_label, "id").withColumn("aside", aside), "sample")
+    usable = docs.where((F.length(text_column) <= LONGEST) & (fold(id_column) != 2)).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    counted = known.join(F.broadcast(sample.where("aside").select("id")), "id", "left_anti")
+    # Labels grow with the texts: a merge at every size, so that the work stays in proportion.
+    telling = telling_features(usable.join(counted.hint("merge"), "id"))
+    rows = usable.join(F.broadcast(sample), "id")
+    shared = docs.sparkSession.sparkContext.broadcast(telling.features)
 
     def start():
         table = WordTable(word_features)
@@ -172,22 +239,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
                 kinds, times = np.unique(ids[at : at + n], return_counts=True)
                 at += n
                 own = table.values[0][kinds] if len(kinds) else np.zeros((0, 1 + len(BEGINNINGS)), np.int64)
-                there = own >= 0
+                there = np.isin(own, shared.value)
                 features.append(own[there].astype("<i4").tobytes())
                 values.append(np.broadcast_to(np.log1p(times)[:, None], own.shape)[there].astype("<f4").tobytes())
             return {
                 "id": batch.column("id").cast(pa.int64()),
                 "label": batch.column("label"),
+                "aside": batch.column("aside"),
                 "features": pa.array(features, pa.binary()),
                 "counts": pa.array(values, pa.binary()),
             }
 
         return each
 
-    found = map_batches(rows, start, "id long, label int, features binary, counts binary").collect()
-    found = sorted(found, key=lambda r: (r[0], bytes(r[2])))
-    own = [(np.frombuffer(r[2], "<i4").astype(np.int64), np.frombuffer(r[3], "<f4").astype(float)) for r in found]
-    return train(own, np.array([r[1] for r in found], int))
+    found = map_batches(rows, start, "id long, label int, aside boolean, features binary, counts binary").collect()
+    found = sorted(found, key=lambda r: (r[0], bytes(r[3])))
+    own = [(np.frombuffer(r[3], "<i4").astype(np.int64), np.frombuffer(r[4], "<f4").astype(float)) for r in found]
+    return train(own, np.array([r[1] for r in found], int), np.array([r[2] for r in found], bool), telling)
 
 
 def severity(docs: DataFrame, model: SeverityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
