@@ -66,6 +66,24 @@ def test_word_ids_are_those_of_the_library():
     run()
 
 
+def test_separators_are_tokens(docs):
+    plain = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    coder = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    own = [f"{a}{chr(c)}{b}" for c in [*range(0x1A, 0x22), 0x85, 0xA0, 0x2028] for a, b in (("a", "b"), ("", ""), ("x. ", " É"), ("don", "'t,"))]
+    texts = [*own, " ".join(own), "\x1c" * 5000]
+    for text, ids in zip(texts, coder.ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    (row,) = packing.pieces(docs((1, "a\x1cb"))).collect()
+    assert np.frombuffer(row["ids"], "<u4").tolist() == [320, 472, 321, 1] and row["length"] == 4
+
+
+def test_known_words_change_no_ids():
+    plain = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    coder = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    for text in ("d' İ", "d'. İ.", "word", "word, word!"):
+        assert np.frombuffer(coder.ids([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_is_whole_and_tight(spark, docs):
     plain = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     rows = [(i, t) for i, t in enumerate(TEXTS) if t is None or len(t) < 200_000] + [(100 + i, "some words here " * (37 * i % 900)) for i in range(60)]

@@ -10,6 +10,7 @@ open, so the waste does not grow with the number of rows in it.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 from unicodedata import normalize
@@ -32,6 +33,14 @@ SHARD_PIECES = 1 << 16
 CACHE_WORDS = 250_000
 #: Signs that no contraction of the tokenizer's pattern begins with.
 SIGNS = ".,;:!?#$%&*|-()"
+#: White space of ``str.split`` that is none to the tokenizer: U+001C to U+001F are tokens.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+_WORD = re.compile(rf"[\S{SEPARATORS}]+")
+
+
+def split(text: str) -> list[str]:
+    """The words between the tokenizer's white space."""
+    return _WORD.findall(text) if any(c in text for c in SEPARATORS) else text.split()
 
 
 class Encoder(dict):
@@ -56,8 +65,9 @@ class Encoder(dict):
 
     def _learn(self, words: set[str]) -> None:
         parts = {w: w.rstrip(SIGNS) for w in words}
-        cores = {c for c in parts.values() if c.isalpha() and c not in self}
-        plain = [c for c in cores if c.isascii() or normalize("NFC", c).lower().isalpha()]
+        # what is left without signs may have become known as a word of its own, with signs inside
+        letters = {c for c in parts.values() if c.isalpha() and (c.isascii() or normalize("NFC", c).lower().isalpha())}
+        plain = [c for c in letters if c not in self]
         for first in range(0, len(plain), 2000):
             some = plain[first : first + 2000]
             ids = np.array(self._tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -70,7 +80,7 @@ class Encoder(dict):
         for word, core in parts.items():
             if word not in self:
                 tail = word[len(core) :]
-                if core in self and tail:
+                if tail and core in letters:
                     if tail not in self:
                         self[tail] = self._one(tail)
                     self[word] = self[core] + self[tail]
@@ -81,7 +91,7 @@ class Encoder(dict):
         """Ids of every text."""
         if len(self) > self._limit:
             self.clear()
-        words = [text.split() for text in batch]
+        words = [split(text) for text in batch]
         self._learn(set().union(*words).difference(self))
         return [b"".join(map(self.__getitem__, own)) for own in words]
 
