@@ -43,6 +43,30 @@ PAGES = {
 }
 
 
+WRAPPED = [
+    "<article class='post no-comments'>{}</article>", "<main class='content has-sidebar'>{}</main>",
+    *(f"<article class='{c}'>{{}}</article>" for c in ("ad-free", "form", "related", "notice")),
+    "<div class='layout has-sidebar'><article>{}</article></div>", "<div class='layout sidebar-right'><article>{}</article></div>",
+    "<div class='content has-sidebar'>{}</div>", "<div id=page class=modal-open><div class='site-notice'><main>{}</main></div></div>",
+    "<form id=f class='search-form'><article class=entry>{}</article></form>",
+]
+TEASED = [
+    "<div class=related><article>{}</article></div>", "<section id='comments'><div class='comment-list'><article>{}</article></div></section>",
+    "<aside class='no-border'><article>{}</article></aside>", "<article><p>one</p><article class='comment'>{}</article></article>",
+    "<div class='site-footer'><p>{}</p></div>", "<div style='display: none'><article>{}</article></div>", "<article hidden>{}</article>",
+]
+
+
+@pytest.mark.parametrize("around", WRAPPED)
+def test_articles_win_over_class_words(around):
+    assert html.main_text("<nav><a href=x>m</a></nav>" + around.format("<h1>A</h1><p>two words</p>") + "<footer>f</footer>") == "A\ntwo words"
+
+
+@pytest.mark.parametrize("around", TEASED)
+def test_teasers_and_comments_stay_out(around):
+    assert "two words" not in html.main_text("<article><p>one</p></article>" + around.format("<p>two words</p>"))
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_main_text(name):
     page, text = PAGES[name]

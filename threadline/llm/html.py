@@ -124,6 +124,13 @@ FURNITURE_WORDS = frozenset(
     "newsletter subscribe subscription signup login search form contentinfo complementary dialog toolbar skip hidden".split()
 )
 CONTENT_WORDS = frozenset("article content main post entry story".split())
+#: Whole words of class, id or role of containers in which an article is a teaser, a comment or small print.
+TEASER_WORDS = FURNITURE_WORDS - frozenset(
+    "menu nav navbar navigation form masthead topbar branding logo search login signup notice notices notification alert legal "
+    "disclaimer modal popup overlay dialog skip toolbar breadcrumb breadcrumbs pagination pager".split()
+)
+#: Parts of a word that say that something is missing, or only what else the page has.
+MODIFIERS = frozenset("no has have with without not non is free less".split())
 #: Parts that hold no article if they are closed where they should be.
 UNLIKELY_PARENTS = frozenset("nav header form menu fieldset head".split())
 
@@ -143,21 +150,38 @@ class Block:
 
 
 @functools.lru_cache(maxsize=4096)
-def _hint(attributes: str) -> int:
-    """By class, id, role and hiding: 1 for content, -1 for furniture, -2 for a header, 0 for none of these."""
-    furniture = content = header = False
+def _hint(attributes: str) -> str:
+    """What class, id, role and hiding say: hidden, teasers, furniture, header, content, or nothing.
+
+    A whole word (``sidebar``) says more than a part of one (``post-sidebar``), and a part beside a
+    modifier (``has-sidebar``, ``ad-free``) says nothing.
+    """
+    whole: set[str] = set()
+    parts: set[str] = set()
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            furniture = True
-        elif name == "style":
-            furniture |= "display:none" in value.replace(" ", "").lower()
-        elif name in ("class", "id", "role"):
-            found = {w.lower() for w in _WORDS.findall(value)}
-            furniture |= bool(found & FURNITURE_WORDS)
-            header |= "header" in found
-            content |= bool(found & CONTENT_WORDS)
-    return -1 if furniture else -2 if header else int(content)
+            return "hidden"
+        if name == "style" and "display:none" in value.replace(" ", "").lower():
+            return "hidden"
+        if name in ("class", "id", "role"):
+            for word in value.split():
+                own = {w.lower() for w in _WORDS.findall(word)}
+                if word.isalpha() and (word.islower() or word.isupper() or word.istitle()):
+                    whole |= own
+                elif not own & MODIFIERS:
+                    parts |= own
+    if whole & TEASER_WORDS:
+        return "teasers"
+    if whole & FURNITURE_WORDS:
+        return "furniture"
+    if "header" in whole:
+        return "header"
+    if whole & CONTENT_WORDS:
+        return "content"
+    if parts & FURNITURE_WORDS:
+        return "furniture"
+    return "header" if "header" in parts else "content" if parts & CONTENT_WORDS else ""
 
 
 def blocks(page: str) -> list[Block]:
@@ -167,7 +191,7 @@ def blocks(page: str) -> list[Block]:
     comment or script that is never closed reaches to the end, and so does a tag cut off at the end.
     """
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open elements: tag, telling (1 content, -1 furniture, 0 neither)
+    stack: list[tuple[str, int]] = []  # open elements: tag, telling (1 content, -1 furniture, -2 furniture with teasers, 0 neither)
     parts: list[tuple[str, bool]] = []
     link, kind, at, size = 0, "", 0, len(page)
 
@@ -248,22 +272,31 @@ def blocks(page: str) -> list[Block]:
 
 
 def _telling(tag: str, attributes: str, stack: list[tuple[str, int]]) -> int:
-    """1 for content, -1 for furniture, 0 for what its surroundings are.
+    """1 for content, -1 for furniture, -2 for furniture whose articles are furniture, 0 for what its surroundings are.
 
-    An article inside page furniture is a teaser or a comment, unless it stands in a menu, header or
-    form: those were not closed, or wrap the page. A header inside an article belongs to it.
+    An article is one whatever its class, unless it is hidden, stands in a part that holds teasers,
+    comments or small print, or is called furniture inside another article. Other furniture was not
+    closed, or wraps the page. A header inside an article belongs to it.
     """
     if tag in ("html", "body"):
         return 0
-    hint = _hint(attributes) if attributes else 0
-    around = next(((t, s) for t, s in reversed(stack) if s), ("", 0))
-    if hint == -1 or tag in FURNITURE_TAGS:
-        return -1
-    if tag == "header" or hint == -2:
-        return 0 if around[1] > 0 or tag in PROSE else -1
+    hint = _hint(attributes) if attributes else ""
+    if hint == "hidden":
+        return -2
     if tag in CONTENT_TAGS:
-        return -1 if around[1] < 0 and around[0] not in UNLIKELY_PARENTS else 1
-    return 1 if hint > 0 and around[1] >= 0 else 0
+        around = next((s for _, s in reversed(stack) if s not in (0, -1)), 0)
+        inside = hint in ("teasers", "furniture") and any(t == "article" for t, _ in stack)
+        return -2 if around < 0 or inside else 1
+    if tag in FURNITURE_TAGS:
+        return -1 if tag in UNLIKELY_PARENTS else -2
+    if hint == "teasers":
+        return -2
+    if hint == "furniture":
+        return -1
+    around = next((s for _, s in reversed(stack) if s), 0)
+    if tag == "header" or hint == "header":
+        return 0 if around > 0 or tag in PROSE else -1
+    return 1 if hint == "content" and around >= 0 else 0
 
 
 def features(found: list[Block]) -> np.ndarray:
