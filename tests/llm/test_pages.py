@@ -67,6 +67,12 @@ def test_teasers_and_comments_stay_out(around):
     assert "two words" not in html.main_text("<article><p>one</p></article>" + around.format("<p>two words</p>"))
 
 
+def test_link_lists_of_an_article_are_its_text():
+    links = "<ul><li><a href=a>First source of it</a></li><li><a href=b>Second</a></li></ul>"
+    page = f"<nav>{links}</nav><article><p>one two</p>{links}<div class=menu>{links}</div></article><footer>{links}</footer>"
+    assert html.main_text(page) == "one two\nFirst source of it\nSecond"
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_main_text(name):
     page, text = PAGES[name]

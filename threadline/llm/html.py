@@ -55,11 +55,11 @@ LABELLED = (
     (7, 0.1, 8, 0.0, 1, 0.0, 1, 0, 0, 1, 1),
     (1, 0.0, 7, 0.0, 30, 0.0, 1, 0, 0, 1, 1),
     (20, 0.4, 7, 0.0, 30, 0.0, 1, 0, 0, 1, 1),
-    # but for lists of links
-    (5, 1.0, 60, 0.0, 4, 1.0, 1, 0, 0, 1, 0),
-    (4, 1.0, 5, 1.0, 6, 1.0, 1, 0, 0, 1, 0),
-    (6, 1.0, 4, 1.0, 3, 0.0, 1, 0, 0, 1, 0),
-    (9, 0.9, 4, 1.0, 3, 1.0, 1, 0, 0, 1, 0),
+    # also its own lists of links: sources, references, chapters
+    (5, 1.0, 60, 0.0, 4, 1.0, 1, 0, 0, 1, 1),
+    (4, 1.0, 5, 1.0, 6, 1.0, 1, 0, 0, 1, 1),
+    (6, 1.0, 4, 1.0, 3, 0.0, 1, 0, 0, 1, 1),
+    (9, 0.9, 4, 1.0, 3, 1.0, 1, 0, 0, 1, 1),
     # menus, headers, footers, sidebars, notices, adverts, forms and comments, however long
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 0),
     (1, 1.0, 1, 1.0, 2, 1.0, 0, 1, 0, 1, 0),
