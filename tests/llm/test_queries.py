@@ -27,6 +27,7 @@ COLUMNS = {
     "op8_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op9_ann": "query_id rank vec_id score",
     "op10_quality": "doc_id held_out score predicted",
+    "op13_licenses": "doc_id n_words n_base first_word last_word base_labels labels score",
 }
 
 

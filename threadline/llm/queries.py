@@ -1,4 +1,4 @@
-"""The registered queries of the operators: op1 to op10 and the pipeline."""
+"""The registered queries of the operators: op1 to op13."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.llm import ann, bpe, html, langid, minhash, packing, quality, rules, toxicity, warc
+from threadline.llm import ann, bpe, collocations, html, langid, lexical, licenses, minhash, packing, quality, rules, toxicity, warc
 from threadline.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=10, covered_percent=50, top=2000)
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labels(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -73,6 +85,9 @@ QUERIES: dict[str, Query] = {
     "op8_rules": op8_rules,
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
+    "op11_search": op11_search,
+    "op12_collocations": op12_collocations,
+    "op13_licenses": op13_licenses,
 }
 ORACLE: dict[str, str] = {
     "op3_minhash": r"""
@@ -100,4 +115,41 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
 FROM f""",
+    "op11_search": r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS place, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+total AS MATERIALIZED (SELECT CAST(count(*) FILTER (len(ws) > 0) AS BIGINT) AS nn, CAST(sum(len(ws)) AS BIGINT) AS ll FROM d),
+wanted AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS MATERIALIZED (SELECT place, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT place, unnest(ws) AS term FROM d)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY 1, 2),
+weights AS MATERIALIZED (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), total),
+impacts AS MATERIALIZED (SELECT place, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(ws) * nn) // ll))) AS part
+  FROM tf JOIN d USING (place) JOIN weights USING (term), total),
+scores AS (SELECT item_id, place, doc_id, CAST(sum(part) AS BIGINT) AS score FROM wanted JOIN impacts USING (term) WHERE doc_id IS NOT NULL GROUP BY 1, 2, 3),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10""",
+    "op12_collocations": r"""
+WITH p AS MATERIALIZED (SELECT lang, row_number() OVER () AS place, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+runs AS MATERIALIZED (SELECT lang, unnest(list_concat(
+      list_transform(range(1, len(ws) + 1), lambda i: ws[i:i]), list_transform(range(1, len(ws)), lambda i: ws[i:i + 1]),
+      list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2]))) AS ws FROM p),
+f AS MATERIALIZED (SELECT lang, ws, CAST(count(*) AS HUGEINT) AS a FROM runs GROUP BY 1, 2),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE len(ws) = 1 GROUP BY 1),
+candidates AS MATERIALIZED (SELECT * FROM f WHERE len(ws) > 1 AND a >= 10),
+cuts AS (SELECT c.lang, c.ws, c.a, k, (SELECT 0) AS z FROM candidates c, (SELECT unnest([1, 2]) AS k) WHERE k < len(c.ws)),
+scored AS (SELECT cuts.lang, cuts.ws, cuts.a, k, x.a AS l, y.a AS r, (1000000 * cuts.a * cuts.a) // (x.a * y.a) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.ws = cuts.ws[1:k] JOIN f y ON y.lang = cuts.lang AND y.ws = cuts.ws[k + 1:len(cuts.ws)]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+inside AS (SELECT lang, ws, max(a) AS a FROM (SELECT lang, ws[1:2] AS ws, a FROM candidates WHERE len(ws) = 3
+  UNION ALL SELECT lang, ws[2:3], a FROM candidates WHERE len(ws) = 3) GROUP BY 1, 2),
+kept AS (SELECT best.*, array_to_string(best.ws, ' ') AS phrase FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.ws = best.ws
+  WHERE 100 * coalesce(inside.a, 0) < 50 * best.a),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a,
+  CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(score AS BIGINT) AS score FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
