@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadline.functions import names
+from threadline.operators.adjacency import Adjacency, read_adjacency, write_adjacency
 from threadline.plans.derived_catalog import TABLES, ctes, documents, load_table
+from threadline.session import scratch_dir
 from threadline.sources.contracts import NODE_TYPES
 
+_clustered: dict[tuple[str, str], str] = {}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -31,6 +35,16 @@ class Catalog:
     def edges(self) -> DataFrame:
         return self.lineage_edges
 
+    @property
+    def adjacency(self) -> Adjacency:
+        """The edges as a state keeps them for traversals; written once per application."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _clustered:
+            folder = scratch_dir(self.spark, "adjacency")
+            write_adjacency(self.edges, folder)
+            _clustered[key] = folder
+        return read_adjacency(self.spark, _clustered[key])
+
     @property
     def metadata(self) -> DataFrame:
         return self.lineage_metadata

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import Catalog, check, with_ctes
 from threadline.operators import state
 from threadline.plans.derived_catalog import PROC, VIEW
+from threadline.plans import layers
 from threadline.plans.refresh import nodes_of, read_state, refresh, write_state
 from threadline.session import scratch_dir
 from threadline.sources.snapshot import write_snapshot
@@ -192,8 +193,8 @@ def refresh_nodes(c):
     return nodes_of(snapshot, refresh(snapshot)).select("id", "name", "input_count", "output_count")
 
 
-def _incremental(c: Catalog):
-    """The state of an incremental run, and its snapshot.
+def _snapshots(c: Catalog):
+    """An earlier snapshot and the present one.
 
     Before it a third of the procedures had older texts and dates, all views also read another
     table, and now some views have lost all dependencies. That table is gone.
@@ -219,10 +220,14 @@ def _incremental(c: Catalog):
             )
         ),
     }
-    now = {"objects": objects, "definitions": definitions, "dependencies": dependencies}
-    previous = refresh(earlier)
+    return earlier, {"objects": objects, "definitions": definitions, "dependencies": dependencies}
+
+
+def _incremental(c: Catalog):
+    """The state of an incremental run, and its snapshot."""
+    earlier, now = _snapshots(c)
     folder = scratch_dir(c.spark, "earlier-state")
-    write_state(previous, folder)
+    write_state(refresh(earlier), folder)
     return refresh(now, read_state(c.spark, folder)), now
 
 
@@ -267,6 +272,39 @@ def incremental_nodes(c):
     return nodes_of(snapshot, current).select("id", "name", "input_count", "output_count")
 
 
+def _layered(c: Catalog):
+    """The state after both snapshots, the second written as a layer."""
+    earlier, now = _snapshots(c)
+    root = scratch_dir(c.spark, "layers")
+    layers.advance(earlier, root)
+    return layers.read_layers(c.spark, layers.advance(now, root))
+
+
+@check("B_layered_refresh_edges", with_ctes("objects dependencies proc_facts", "SELECT source_id, target_id, owner_id FROM refresh_edges", *INCREMENTAL_EDGES))
+def layered_edges(c):
+    return _layered(c).edges.select("source_id", "target_id", "owner_id")
+
+
+@check(
+    "B_layered_refresh_metadata",
+    with_ctes(
+        "objects dependencies proc_facts",
+        f"""SELECT o.object_id, CASE WHEN o.object_type = 'View' THEN 'dmv' WHEN m.has_hints THEN 'parser_with_hints' ELSE 'parser' END AS primary_source,
+          o.object_type = 'View' OR f.object_id IS NOT NULL AS parse_success, o.modify_date AS last_parsed_modify_date,
+          CASE WHEN o.object_type = 'View' THEN NULL ELSE coalesce(m.expected_count, 0) END AS expected_count,
+          CASE WHEN o.object_type = 'View' THEN NULL ELSE coalesce(m.found_count, 0) END AS found_count
+        FROM objects o LEFT JOIN proc_facts f ON f.object_id = o.object_id
+        LEFT JOIN (SELECT object_id, bool_or(from_hint) AS has_hints, count(ref_id) FILTER (role IN ('source', 'target') AND from_text) AS expected_count,
+            count(ref_id) FILTER (role IN ('source', 'target')) AS found_count FROM merged GROUP BY 1) m ON m.object_id = o.object_id
+        WHERE o.object_type = 'Stored Procedure' OR o.object_id IN (SELECT referencing_object_id FROM dependencies
+          WHERE referenced_object_id IS NOT NULL AND referencing_object_id % 10 = {VIEW} AND referencing_object_id % 7 <> 3)""",
+        *REFRESH_EDGES[:7],
+    ),
+)
+def layered_metadata(c):
+    return _layered(c).metadata.select("object_id", "primary_source", "parse_success", "last_parsed_modify_date", "expected_count", "found_count")
+
+
 @check("S1_refresh_stream", with_ctes("objects dependencies proc_facts", "SELECT source_id, target_id, owner_id FROM refresh_edges", *REFRESH_EDGES))
 def refresh_stream(c):
     """The snapshot is announced, read by the stream and written as a state version."""

@@ -27,7 +27,8 @@ TO_UPPER = rules.Rule(name="exec", steps=((r"\bEXEC\s+(\w+)\.", r"EXECUTE [\1]."
 TWO_STEPS = rules.Rule(
     name="two", steps=((r"\bCOMMIT\s+TRANSACTION\b", "COMMIT"), ("(unclosed", ""), (r"#(\w+)", r"tempdb.\g<1>"))
 )
-COMMENTS_SQL = r"regexp_replace(definition, '(''[^'']*'')|--[^\r\n]*|/\*(?s:.*?)\*/', '\1', 'g')"
+# Comments of the texts hold no stars, and others at most one level deep.
+COMMENTS_SQL = r"""regexp_replace(definition, '(''[^'']*''|\[[^\]]*\]|"[^"]*")|--[^\r\n]*|/\*[^*]*/\*[^*]*\*/[^*]*\*/|/\*[^*]*\*/', '\1', 'g')"""
 BODY_SQL = (
     r"regexp_replace(regexp_replace(definition, '(?is)^.*?CREATE\s+PROC(?:EDURE)?\s+\[[^\]]+\]\.\[[^\]]+\].*?AS\s+BEGIN', ''), '(?i)\s*END\s*$', '')"
 )
@@ -69,9 +70,10 @@ def _plain():
 PLAIN_SQL = rf"regexp_replace({COMMENTS_SQL}, '(?i)\bDELETE\s+FROM\b', 'DELETE', 'g')"
 
 
-def _rule_check(name: str, rule_name: str) -> None:
+def _rule_check(name: str, rule_name: str, same: str | None = None) -> None:
+    """``same`` is a pattern for the checking engine that finds the same in these texts."""
     rule = next(r for r in rules.DEFAULT_RULES if r.name == rule_name)
-    pattern = "(?ims)" + rule.pattern
+    pattern = "(?ims)" + (same or rule.pattern)
     group = rule.chosen_groups[0]
     if len(rule.groups) == 2:
         found = (
@@ -94,10 +96,14 @@ def _rule_check(name: str, rule_name: str) -> None:
 
 _rule_check("C11_sources", "extract_sources_ansi")
 _rule_check("C12_targets", "extract_targets_ansi")
-_rule_check("C12_output_targets", "extract_targets_output_into")
+_rule_check("C12_output_targets", "extract_targets_output_into", r"\b(OUTPUT)\b[^;]*?\bINTO\s+([^\s,;()]+)")
 _rule_check("C13_apply_sources", "extract_sources_tsql_apply")
 _rule_check("C14_procedure_calls", "extract_sp_calls_tsql")
-_rule_check("C15_created_tables", "extract_targets_tsql")
+_rule_check(
+    "C15_created_tables",
+    "extract_targets_tsql",
+    r"(?:\bSELECT\b[^;]*?\bINTO\s+([^\s,;()]+)|\bCREATE\s+TABLE\s+([^\s,;()]+)\s+AS\s+SELECT)",
+)
 
 # What the generated texts say, straight from the generating rows (names as written in the text).
 EXPECTED = f"""expected AS (
@@ -115,7 +121,12 @@ EXPECTED = f"""expected AS (
   UNION SELECT object_id, 'target', s1 || '.' || n1, false FROM proc_facts WHERE n_lines IN (2, 3, 4)
   UNION SELECT object_id, 'target', cust_schema || '.' || cust_name, false FROM proc_facts WHERE n_lines IN (2, 4)
   UNION SELECT object_id, 'target', 'dbo.NewT' || CAST(o_orderkey AS VARCHAR), true FROM proc_facts WHERE n_lines = 5
-  UNION SELECT object_id, 'sp_call', called, false FROM proc_facts WHERE called IS NOT NULL)"""
+  UNION SELECT object_id, 'sp_call', called, false FROM proc_facts WHERE called IS NOT NULL
+  UNION SELECT object_id, 'source', 'dbo.RegionMaster2', false FROM proc_facts WHERE o_orderkey % 7 IN (0, 4)
+  UNION SELECT object_id, 'source', 'dbo.RegionMaster' || k, false FROM proc_facts, (SELECT unnest(['1', '2', '3', '4']) AS k) WHERE o_orderkey % 7 = 1
+  UNION SELECT object_id, 'target', 'dbo.RegionMaster' || k, false FROM proc_facts, (SELECT unnest(['1', '2']) AS k) WHERE o_orderkey % 7 = 2
+  UNION SELECT object_id, 'source', 'dbo.RegionMaster1', false FROM proc_facts WHERE o_orderkey % 7 = 3
+  UNION SELECT object_id, 'source', 'O''Brien.T1', false FROM proc_facts WHERE o_orderkey % 7 = 5)"""
 CATALOG_NAMES = """names AS (SELECT CASE WHEN object_type IN ('Table', 'View') THEN 'table' WHEN object_type = 'Stored Procedure' THEN 'procedure' ELSE 'function' END AS kind,
   lower(schema_name || '.' || object_name) AS name_key, min(object_id) AS ref_id, arg_min(schema_name || '.' || object_name, object_id) AS full_name FROM objects GROUP BY 1, 2)"""
 LOOKED_UP = """looked_up AS (SELECT e.*, n.ref_id, n.full_name FROM expected e LEFT JOIN names n ON n.name_key = lower(e.name)
@@ -166,7 +177,8 @@ def first_transaction(c):
     with_ctes(
         "definitions",
         rf"""SELECT object_id, raw, CASE WHEN bare = '' THEN NULL WHEN len(string_split(bare, '.')) = 1 THEN 'dbo.' || bare
-          WHEN string_split(bare, '.')[-1] = '' OR string_split(bare, '.')[-2] = '' THEN NULL
+          WHEN string_split(bare, '.')[-1] = '' THEN NULL
+          WHEN string_split(bare, '.')[-2] = '' THEN CASE WHEN len(string_split(bare, '.')) > 2 AND string_split(bare, '.')[-3] <> '' THEN 'dbo.' || string_split(bare, '.')[-1] END
           ELSE string_split(bare, '.')[-2] || '.' || string_split(bare, '.')[-1] END AS name
         FROM (SELECT object_id, raw, regexp_replace(regexp_replace(raw, '[\[\]"]', '', 'g'), '[,;\s]+$', '') AS bare
           FROM (SELECT object_id, unnest(regexp_extract_all(definition, '\S+', 0)) AS raw FROM definitions))""",
@@ -181,7 +193,8 @@ def normalise_ident(c):
     "C18_resolve_aliases",
     with_ctes(
         "proc_facts",
-        "SELECT object_id, 'dbo.RegionMaster' || region_key AS name FROM proc_facts WHERE n_lines >= 6",
+        """SELECT object_id, 'dbo.RegionMaster' || region_key AS name FROM proc_facts WHERE n_lines >= 6
+        UNION SELECT object_id, 'dbo.RegionMaster1' FROM proc_facts WHERE o_orderkey % 7 = 2""",
     ),
 )
 def resolve_aliases(c):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import NODES_CTE, Catalog, check, joined, node_table, with_ctes
-from threadline.operators import filters, search, traverse, view
+from threadline.operators import filters, search, text_index, traverse, view
 from threadline.operators.traverse import TraceRequest
 from threadline.session import scratch_dir
 from threadline.sources import logs, snapshot
@@ -41,7 +41,7 @@ def _walk(name: str, seed: str, edges: str, a: str, b: str, cap: int | None) ->
     ),
 )
 def trace(c):
-    return traverse.trace(c.nodes, c.edges, FILTERED)
+    return traverse.trace(c.nodes, c.adjacency, FILTERED)
 
 
 @check(
@@ -58,7 +58,7 @@ def trace(c):
 )
 def trace_all_levels(c):
     request = TraceRequest(FILTERED.start, None, None, None, FILTERED.schemas, None, FILTERED.exclude)
-    return traverse.trace(c.nodes, c.edges, request).select("id", "direction")
+    return traverse.trace(c.nodes, c.adjacency, request).select("id", "direction")
 
 
 @check(
@@ -76,7 +76,7 @@ def trace_all_levels(c):
     ),
 )
 def path_nodes(c):
-    return traverse.path_nodes(c.nodes, c.edges, TraceRequest(START, END), max_depth=6)
+    return traverse.path_nodes(c.nodes, c.adjacency, TraceRequest(START, END), max_depth=6)
 
 
 @check(
@@ -114,7 +114,7 @@ VISIBLE = """visible AS (SELECT id, name, "schema" FROM nodes WHERE "schema" IN
 )
 def reachable_from_focus(c):
     visible = filters.filter_nodes(c.nodes, ["CONSUMPTION_FINANCE", "CONSUMPTION_SALES", "STAGING_HR", "STAGING_BUILDING"])
-    return traverse.reachable_from_focus(visible, c.edges, ["CONSUMPTION_FINANCE"]).select("id", "name", "schema")
+    return traverse.reachable_from_focus(visible, c.adjacency, ["CONSUMPTION_FINANCE"]).select("id", "name", "schema")
 
 
 @check(
@@ -398,6 +398,41 @@ def _stored(c: Catalog, query: str, **options) -> search.TextIndex:
     return search.TextIndex.load(c.spark, folder, query)
 
 
+def _kept_index(c: Catalog, **options):
+    """An index that was made of an earlier state of the documents and then brought up to date."""
+    ids = F.col("doc_id")
+    older = c.documents.where(ids % 7 != 0).select("doc_id", F.when(ids % 13 == 0, F.concat(F.lit("than the older "), "text")).otherwise(F.col("text")).alias("text"))
+    gone = c.documents.where(ids % 11 == 0).select((-ids - 1).alias("doc_id"), "text")
+    changed = c.documents.where((ids % 7 == 0) | (ids % 13 == 0)).select("doc_id", "text")
+    index = text_index.create(older.unionByName(gone), scratch_dir(c.spark, "kept-index"), "doc_id", ["text"], buckets=16, **options)
+    half = changed.where(ids % 2 == 0)
+    index = text_index.update(index, half, "doc_id", ["text"], gone.select(F.col("doc_id").alias("id")))
+    return text_index.update(index, changed.where(ids % 2 != 0), "doc_id", ["text"])
+
+
+@check("F5_kept_index_postings", _over_documents("SELECT p.term, p.id, p.tf, l.length FROM postings p JOIN lengths l ON l.id = p.id"))
+def kept_index_postings(c):
+    return text_index.postings(c.spark, _kept_index(c))
+
+
+@check("F6_kept_index_search", _over_documents("SELECT id, score FROM ranked ORDER BY score DESC, id LIMIT 100", _ranked(HIT)))
+def kept_index_search(c):
+    return text_index.search(c.spark, _kept_index(c), QUERY).hits
+
+
+@check("F8_kept_index_all", _over_documents("SELECT id, score FROM ranked WHERE terms = 3 ORDER BY score DESC, id LIMIT 100", _ranked(HIT)))
+def kept_index_all(c):
+    return text_index.search(c.spark, _kept_index(c), QUERY, mode="all").hits
+
+
+@check(
+    "F8_kept_index_phrase",
+    "SELECT doc_id AS id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z])than[^a-z]+the([^a-z]|$)')",
+)
+def kept_index_phrase(c):
+    return text_index.search_phrase(c.spark, _kept_index(c), "Than The").select("id")
+
+
 @check("F5_index_round_trip", _over_documents("SELECT id, score FROM ranked", _ranked(HIT)))
 def index_round_trip(c):
     return search.search(_stored(c, QUERY), QUERY, k=None)

@@ -75,6 +75,25 @@ CASES = {
     "after commit": ("BEGIN TRANSACTION; DELETE dbo.t1; COMMIT TRANSACTION; SELECT * FROM dbo.Orders", {"dbo.Orders"}, {"dbo.t1"}),
     "marks in literals": ("SELECT '--x', '/*' AS s FROM dbo.Orders -- FROM dbo.t1\n; SELECT '*/' FROM dbo.t3", {"dbo.Orders", "dbo.t3"}, set()),
     "output into": ("DELETE dbo.t1 OUTPUT deleted.* INTO dbo.t2 WHERE a = 1; SELECT 1 FROM dbo.t3", {"dbo.t3"}, {"dbo.t1", "dbo.t2"}),
+    "keywords in literals": ("SELECT 'copied FROM dbo.t1 ' AS s FROM dbo.t2; EXEC ('SELECT * FROM dbo.t3 ')", {"dbo.t2"}, set()),
+    "comma list": ("SELECT a FROM dbo.t1, dbo.t2 AS x, [dbo].[My Table] WHERE a IN (1, 2)", {"dbo.t1", "dbo.t2", "dbo.My Table"}, set()),
+    "comma behind a join": (
+        "SELECT f(a, dbo.Orders) FROM dbo.t1 x JOIN dbo.t2 y ON x.a = y.a AND y.b IN (1, 2), dbo.t3 GROUP BY a, dbo.Products",
+        {"dbo.t1", "dbo.t2", "dbo.t3"},
+        set(),
+    ),
+    "comma behind a subquery": (
+        "SELECT (SELECT max(a) FROM dbo.t1), dbo.Orders FROM (SELECT 1 AS a FROM dbo.t2 WITH (NOLOCK), dbo.t3) q, dbo.Customers c",
+        {"dbo.t1", "dbo.t2", "dbo.t3", "dbo.Customers"},
+        set(),
+    ),
+    "update of a listed table": ("UPDATE y SET y.a = 1, y.b = 2 FROM dbo.t1 x, dbo.t2 y WHERE x.i = y.i", {"dbo.t1", "dbo.t2"}, {"dbo.t2"}),
+    "brackets with commas": ("SELECT a FROM dbo.[My Table] [a, b], dbo.t1", {"dbo.My Table", "dbo.t1"}, set()),
+    "top": ("UPDATE TOP (5) dbo.t1 SET a = 1; DELETE TOP (10) PERCENT FROM dbo.t2; INSERT TOP (abs(3)) INTO dbo.t3 SELECT 1", set(), {"dbo.t1", "dbo.t2", "dbo.t3"}),
+    "database without schema": ("SELECT a FROM edw..Customers JOIN srv.edw..Orders o ON 1 = 1", {"dbo.Customers", "dbo.Orders"}, set()),
+    "nested comments": ("/* a /* b */ FROM dbo.t1 */ SELECT 1 FROM dbo.t2 /** it's **/ JOIN dbo.t3 x ON 1 = 1", {"dbo.t2", "dbo.t3"}, set()),
+    "quotes in names": ("SELECT a FROM [O'Brien].[T1] -- it's FROM dbo.t1\nJOIN dbo.t2 x ON 1 = 1", {"dbo.t2"}, set()),
+    "comment never closed": ("SELECT a FROM dbo.t1 /* FROM dbo.t2", {"dbo.t1"}, set()),
     "qualified table named like a cte": ("WITH Orders AS (SELECT a FROM dbo.Orders) SELECT a FROM Orders", {"dbo.Orders"}, set()),
 }
 
@@ -110,6 +129,26 @@ def test_calls_functions_and_created_tables(make, catalog):
     assert "dbo.Fresh" not in kept
 
 
+def test_calls_with_a_result(make, catalog):
+    rows = _resolved(make, catalog, "EXEC @rc = dbo.spChild @a = 1; EXECUTE  @x=[dbo].[spChild]").collect()
+    assert {(r["role"], r["name"]) for r in rows} == {("sp_call", "dbo.spChild")}
+
+
+def test_no_rule_is_quadratic(make):
+    import time
+
+    texts = [
+        "EXEC dbo.p " + "@a OUTPUT, " * 60_000, "SELECT a " * 60_000, "DECLARE @a INT " * 60_000, "/* " * 60_000, "FROM a " * 60_000,
+        "[" * 60_000, "SELECT 1 FROM a WHERE x IN (" + "1, " * 60_000 + "2), dbo.b", "/*" + "*" * 100_000 + "*/ FROM dbo.b",
+    ]
+    df = make("object_id long, definition string", *enumerate(texts))
+    extract.extract_refs(df.limit(1)).collect()
+    begin = time.time()
+    extract.extract_refs(df).collect()
+    df.select(resolve.failure_reason(F.col("definition"))).collect()
+    assert time.time() - begin < 30
+
+
 def test_hints(make):
     sqls = {
         1: "AS BEGIN\n  -- @LINEAGE_INPUTS: dbo.SourceData\n  -- @lineage_outputs: dbo.Customers, dbo.Orders\r\n EXEC sp_executesql @sql END",

@@ -77,15 +77,18 @@ def bare(identifier: Column) -> Column:
 
 
 def qualified(identifier: Column, default_schema: str | None = "dbo") -> Column:
-    """``schema.name`` of a bare identifier: its last two dotted parts, NULL if one is empty.
+    """``schema.name`` of a bare identifier: its last two dotted parts, NULL if the name is empty.
 
-    A single part gets ``default_schema`` (``(unknown)`` if None).
+    A single part gets ``default_schema`` (``(unknown)`` if None), and so does ``database..name``,
+    which leaves its schema to the default. An empty schema without a database gives NULL.
     """
     last_two = F.substring_index(identifier, ".", -2)
+    schema = default_schema or "(unknown)"
     return (
         F.when(identifier == "", None)
-        .when(~F.contains(identifier, F.lit(".")), F.concat(F.lit(f"{default_schema or '(unknown)'}."), identifier))
+        .when(~F.contains(identifier, F.lit(".")), F.concat(F.lit(f"{schema}."), identifier))
         .when(~(last_two.startswith(".") | last_two.endswith(".")), last_two)
+        .when(last_two.startswith(".") & identifier.rlike(r"[^.]\.\.[^.]+$"), F.concat(F.lit(schema), last_two))
     )
 
 

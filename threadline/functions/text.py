@@ -1,7 +1,10 @@
 """Column functions that clean SQL text. All run in the JVM on whole texts.
 
-Patterns avoid repeated groups over single characters, which Java's engine evaluates
-recursively and which overflow the stack on long texts.
+Patterns avoid repeated groups over single characters unless they are possessive: Java's engine
+evaluates others recursively, which overflows the stack on long texts.
+
+What a text says is decided on tokens: string literals, quoted names and comments are matched as
+wholes, in one pass from the left, so a mark within one of them never opens another.
 """
 
 from __future__ import annotations
@@ -12,18 +15,82 @@ from pyspark.sql import functions as F
 # Statement keywords that always start a statement.
 STATEMENT_KEYWORDS = "DECLARE|INSERT|UPDATE|DELETE|MERGE|TRUNCATE"
 
-# Text patterns of procedure headers, comments and terminal colours.
-# A string literal is matched first and kept; possessive, so that Java does not recurse.
-COMMENT = r"('[^']*+')|--[^\r\n]*|/\*(?s:.*?)\*/"
+# Block comments nest; below this depth a further opening mark is plain comment text.
+COMMENT_DEPTH = 8
+
+
+def _block_comment(depth: int) -> str:
+    """A block comment with others inside; one that is never closed reaches to the end of the text."""
+    stars = r"\*++(?!/)|\*+(?=\*/)"  # stars that do not close, as whole runs
+    if depth == 0:
+        inside = rf"[^*]++|{stars}"
+    else:
+        inside = rf"[^*/]++|{stars}|/++(?!\*)|/+(?=/\*)|{_block_comment(depth - 1)}"
+    return rf"/\*(?:{inside})*+(?:\*/|(?![\s\S]))"
+
+
+# Token patterns. A doubled quote within a literal reads as two adjacent literals, which is the same.
+LITERAL = r"'[^']*+'"
+QUOTED_NAME = r"\[[^\]]{0,128}+\]|\"[^\"]*+\""
+BLOCK_COMMENT = _block_comment(COMMENT_DEPTH)
+COMMENT = rf"({LITERAL}|{QUOTED_NAME})|--[^\r\n]*+|{BLOCK_COMMENT}"
+LITERAL_TEXT = rf"(')[^']*+(')|({QUOTED_NAME})"
+
+# Words that end the list of tables after FROM, at the same depth of parentheses.
+FROM_LIST_END = (
+    "SELECT|WHERE|GROUP|ORDER|HAVING|UNION|EXCEPT|INTERSECT|SET|VALUES|OPTION|WHEN|OUTPUT|INTO|FOR|"
+    "EXEC|EXECUTE|DECLARE|IF|ELSE|BEGIN|END|PRINT|RETURN|WHILE|GO|COMMIT|ROLLBACK|RAISERROR|THROW|CLOSE|FETCH"
+)
+
+# Text patterns of procedure headers and terminal colours.
 ANSI_COLOUR = r"\x1b\[[0-9;]+m|\[4m|\[0m"
 PROC_FRAME = r"(?is)^.*?CREATE\s+PROC(?:EDURE)?\s+\[[^\]]+\]\.\[[^\]]+\].*?AS\s+BEGIN(.*?)(?:\s*END\s*)?$"
 
 
 def strip_comments(sql: Column) -> Column:
-    """Text without comments; what looks like one inside a string literal stays."""
+    """Text without comments; what looks like one inside a string literal or a quoted name stays."""
     return F.regexp_replace(sql, COMMENT, "$1")
 
 
+def mask_literals(sql: Column) -> Column:
+    """Text with empty string literals: what they say is no statement of this text."""
+    return F.regexp_replace(sql, LITERAL_TEXT, "$1$2$3")
+
+
+def from_lists(sql: Column) -> Column:
+    """Commas between the tables of a FROM clause become JOIN.
+
+    A running state over parentheses, commas and clause words tells these commas from all others: per
+    depth of parentheses, whether the last clause word was FROM. Only statements that have a comma
+    behind a FROM are walked; lists of constants are emptied first, so that they do not count.
+    """
+    concerned = r"(?i)\bFROM\b(?:[^;,Ff]++|(?!\bFROM\b)[Ff])*+,"
+    marks = rf'(?i)(?=[(),](?![^\[\]]{{0,128}}\])|(?<![\["@#.])\b(?:FROM|{FROM_LIST_END})\b)'
+
+    def walk(seen: Column, piece: Column) -> Column:
+        open_ = seen["open"]  # one digit per depth: 1 within the list of a FROM
+        outer = F.substr(open_, F.lit(1), F.length(open_) - 1)
+        after = (
+            F.when(piece.startswith("("), F.concat(open_, F.lit("0")))
+            .when(piece.startswith(")"), F.when(outer == "", F.lit("0")).otherwise(outer))
+            .when(piece.startswith(","), open_)
+            .when(piece.rlike(r"(?i)^FROM\b"), F.concat(outer, F.lit("1")))
+            .when(piece.rlike(rf"(?i)^(?:{FROM_LIST_END})\b"), F.concat(outer, F.lit("0")))
+            .otherwise(open_)
+        )
+        listed = piece.startswith(",") & open_.endswith("1")
+        said = F.when(listed, F.concat(F.lit(" JOIN "), F.substr(piece, F.lit(2)))).otherwise(piece)
+        return F.struct(after.alias("open"), F.concat(seen["said"], F.array(said)).alias("said"))
+
+    def rewrite(statement: Column) -> Column:
+        plain = F.regexp_replace(statement, r"\([^()A-Za-z_@#\[\"]*+\)", "()")
+        nothing = F.struct(F.lit("0").alias("open"), F.array().cast("array<string>").alias("said"))
+        return F.array_join(F.aggregate(F.split(plain, marks), nothing, walk, lambda seen: seen["said"]), "")
+
+    rewritten = F.transform(F.split(sql, ";"), lambda s: F.when(s.rlike(concerned), rewrite(s)).otherwise(s))
+    return F.when(sql.rlike(concerned), F.array_join(rewritten, ";")).otherwise(sql)
+
+
 def strip_ansi(sql: Column) -> Column:
     return F.regexp_replace(sql, ANSI_COLOUR, "")
 

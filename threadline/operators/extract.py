@@ -92,7 +92,7 @@ def clean_text(
 ) -> Column:
     for rule in active(rules, dialect, "cleaning"):
         sql = apply_rule(sql, rule)
-    return text.normalise_sql(sql, simplify, first_transaction)
+    return text.from_lists(text.normalise_sql(sql, simplify, first_transaction))
 
 
 def raw_references(

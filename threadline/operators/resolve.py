@@ -309,7 +309,9 @@ def failure_reason(
     ctes = F.regexp_count(sql, F.lit(r"(?i)\bWITH\s+\w+\s+AS\s*\("))
     exec_variable = sql.rlike(r"(?i)EXEC\s*\(\s*@\w+\s*\)")
     executesql = sql.rlike(r"(?i)sp_executesql\s+@\w+")
-    concat = sql.rlike(r"(?is)DECLARE\s+@\w+.*?NVARCHAR.*?(?:INSERT|SELECT|UPDATE|DELETE|FROM)")
+    # A variable, then its type, then a keyword; each step looks only behind the first hit of the one before.
+    declared = F.regexp_extract(F.regexp_extract(sql, r"(?is)DECLARE\s+@\w+(.*+)", 1), r"(?is)NVARCHAR(.*+)", 1)
+    concat = declared.rlike(r"(?i)INSERT|SELECT|UPDATE|DELETE|FROM")
     reasons = F.array_compact(
         F.array(
             F.when(exec_variable, REASON_EXEC_VARIABLE),

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadline.functions.text import COMMENT, LITERAL_TEXT
+
 ROLES = ("source", "target", "sp_call", "function")
 
 
@@ -110,13 +112,36 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         description="Line and block comments",
         category="preprocessing",
         priority=1,
-        steps=((r"('[^']*+')|--[^\r\n]*|/\*.*?\*/", r"\1"),),
+        steps=((COMMENT, r"\1"),),
         cases=(
             RuleCase("line", "SELECT 1 -- FROM a", "SELECT 1 "),
             RuleCase("block", "SELECT 1 /* FROM\nb */ FROM c", "SELECT 1  FROM c"),
             RuleCase("literal", "SELECT '--x' FROM a -- b", "SELECT '--x' FROM a "),
         ),
     ),
+    Rule(
+        name="strip_top",
+        dialect="tsql",
+        description="TOP (n) stands between a keyword and its target",
+        category="preprocessing",
+        priority=1,
+        steps=((r"\b(UPDATE|DELETE|INSERT|MERGE)\s+TOP\s*(?:\((?:[^()]++|\([^()]*+\))*+\)|\d++)(?:\s*PERCENT\b)?", r"\1"),),
+    ),
+    Rule(
+        name="exec_result",
+        dialect="tsql",
+        description="EXEC @rc = p calls p",
+        category="preprocessing",
+        priority=2,
+        steps=((r"\b(EXEC(?:UTE)?)\s+@\w+\s*=\s*", r"\1 "),),
+    ),
+    Rule(
+        name="mask_literals",
+        description="What a string literal says is no statement",
+        category="preprocessing",
+        priority=2,
+        steps=((LITERAL_TEXT, r"\1\2\3"),),
+    ),
     Rule(
         name="delete_from",
         description="DELETE FROM names a target, not a source",
@@ -152,7 +177,8 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         category="extraction",
         priority=6,
         extraction_target="target",
-        pattern=r"\b(OUTPUT)\b[^;]*?\bINTO\s+([^\s,;()]+)",
+        # From the last OUTPUT in front of an INTO, so that no text is scanned twice.
+        pattern=r"\b(OUTPUT)\b(?:[^;OoIi]++|(?!\b(?:OUTPUT|INTO)\b)[OoIi])*+\bINTO\s+([^\s,;()]+)",
     ),
     Rule(
         name="extract_sources_tsql_apply",
@@ -202,7 +228,10 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         category="extraction",
         priority=10,
         extraction_target="target",
-        pattern=r"(?:\bSELECT\b[^;]*?\bINTO\s+([^\s,;()]+)|\bCREATE\s+TABLE\s+([^\s,;()]+)\s+AS\s+SELECT)",
+        pattern=(
+            r"(?:\bSELECT\b(?:[^;SsIi]++|(?!\b(?:SELECT|INTO)\b)[SsIi])*+\bINTO\s+([^\s,;()]+)"
+            r"|\bCREATE\s+TABLE\s+([^\s,;()]+)\s+AS\s+SELECT)"
+        ),
         groups=(1, 2),
         skip_catalog_validation=True,
     ),

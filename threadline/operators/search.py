@@ -179,12 +179,17 @@ def build_index(
     return TextIndex(postings.select("term", "id", "tf", "length"), lengths, stemmed, fold_accents, tuple(stop_words or ()))
 
 
+def query_words(text: str, fold_accents: bool = False) -> list[str]:
+    """The words of a query in order, cut as :func:`pieces` cuts texts."""
+    text = text.lower()
+    if fold_accents:
+        text = text.translate(str.maketrans(*_accent_map()))
+    return [w for w in re.split("[^a-z]+", text) if w]
+
+
 def query_terms(query: str, index: TextIndex) -> list[str]:
     """The words of a query as the index has them; its stop words count for nothing."""
-    text = query.lower()
-    if index.fold_accents:
-        text = text.translate(str.maketrans(*_accent_map()))
-    words = [w for w in re.split("[^a-z]+", text) if w and w not in index.stop_words]
+    words = [w for w in query_words(query, index.fold_accents) if w not in index.stop_words]
     return sorted({stemming.porter_stem(w) if index.stemmed else w for w in words})
 
 

@@ -4,6 +4,9 @@ Each level joins the frontier with the edges, keeps ids not seen before, and is
 shared folder by one job that also counts it. The loop ends on an empty level; only the count
 reaches the driver. The planner sees the written size of a level, so a small frontier is
 broadcast and a large one is shuffled, where the adaptive skew join splits the edges of hubs.
+
+Edges are a table (source_id, target_id) or, for more than a few traversals, an
+:class:`~threadline.operators.adjacency.Adjacency`, whose levels read only what the frontier touches.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadline.functions import names
+from threadline.operators.adjacency import Adjacency
 from threadline.operators.filters import facet_condition
 from threadline.operators.graph import node_edges
 from threadline.session import scratch_dir, write_counted, write_stage
@@ -22,6 +26,8 @@ from threadline.session import scratch_dir, write_counted, write_stage
 # Levels of a trace unless asked otherwise.
 DEFAULT_LEVELS = 3
 
+_BACK = {"downstream": "upstream", "upstream": "downstream"}
+
 
 @dataclass(frozen=True)
 class TraceRequest:
@@ -39,18 +45,35 @@ class TraceRequest:
         return facet_condition(self.schemas, None, self.model_types) & ~names.matches_any(F.col("name"), self.exclude)
 
 
+@dataclass(frozen=True)
+class _Scan:
+    """Steps over a plain edge table: every level reads all of it."""
+
+    edges: DataFrame
+
+    def reach(self, frontier: DataFrame, count: int, going: list[str]) -> DataFrame:
+        steps = self.edges.select(F.explode(F.array(*[_step(w) for d in going for w in _ways(d)])).alias("s")).select("s.*")
+        here = frontier.withColumnRenamed("id", "at")
+        return steps.join(here, ["at", "direction"], "left_semi").select("id", "direction").distinct()
+
+
 def _walk(
-    edges: DataFrame, seeds: DataFrame, limits: dict[str, int | None], label: str, allowed: DataFrame | None = None
+    edges: DataFrame | Adjacency,
+    seeds: DataFrame,
+    limits: dict[str, int | None],
+    label: str,
+    allowed: DataFrame | None = None,
+    stop: object | None = None,
 ) -> DataFrame:
     """(id, direction, depth) of everything reachable from the seeds, depth minimal.
 
-    ``edges`` (source_id, target_id) must already be restricted to allowed ids, or ``allowed`` (id)
-    is given and the ids that a level reaches are held against it. ``seeds`` is (id).
-    ``downstream`` walks source → target, ``upstream`` the other way, ``any`` ignores the
-    direction of edges. All directions advance together, one job per level.
+    A plain edge table must already be restricted to allowed ids, or ``allowed`` (id) is given and the
+    ids that a level reaches are held against it. ``seeds`` is (id). ``downstream`` walks source →
+    target, ``upstream`` the other way, ``any`` ignores the direction of edges. All directions advance
+    together, one job per level. Nothing goes on behind the id ``stop``.
     """
-    spark = edges.sparkSession
-    steps = edges.select(F.explode(F.array(*[_step(d) for d in limits for d in _ways(d)])).alias("s")).select("s.*")
+    steps = edges if isinstance(edges, Adjacency) else _Scan(edges)
+    spark = seeds.sparkSession
     root = scratch_dir(spark, label)
     keys = T.StructType([seeds.schema["id"], T.StructField("direction", T.StringType())])
     with_depth = T.StructType([*keys.fields, T.StructField("depth", T.IntegerType())])
@@ -62,13 +85,10 @@ def _walk(
         if not going:
             break
         frontier = spark.read.schema(keys).parquet(f"{root}/depth={level}").where(F.col("direction").isin(*going))
+        if stop is not None:
+            frontier = frontier.where(F.col("id") != F.lit(stop))
         seen = spark.read.schema(with_depth).parquet(root).select("id", "direction")
-        reached = (
-            steps.where(F.col("direction").isin(*going))
-            .join(frontier.withColumnRenamed("id", "at"), ["at", "direction"], "left_semi")
-            .select("id", "direction")
-            .distinct()
-        )
+        reached = steps.reach(frontier, count, going)
         if allowed is not None:
             reached = reached.join(allowed, "id", "left_semi")
         level += 1
@@ -102,24 +122,30 @@ def _allowed_edges(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
     return write_stage(node_edges(edges.select("source_id", "target_id").distinct(), nodes), label)
 
 
-def trace(nodes: DataFrame, edges: DataFrame, request: TraceRequest) -> DataFrame:
+def _pairs(edges: DataFrame | Adjacency) -> DataFrame:
+    return edges.edges() if isinstance(edges, Adjacency) else edges.select("source_id", "target_id").distinct()
+
+
+def trace(nodes: DataFrame, edges: DataFrame | Adjacency, request: TraceRequest) -> DataFrame:
     """(id, direction, depth) of a level trace, both directions.
 
     A node that fails the filter is neither reported nor passed through; if the start fails,
-    the result is empty. A trace of a given number of levels reads the edges where they are and
-    tests the few ids it reaches; one without limit first writes the edges between allowed nodes,
-    since it may need most of them many times.
+    the result is empty. Clustered edges, and a plain table for a given number of levels, are read
+    where they are and the ids that a level reaches are tested; a trace without limit over a plain
+    table first writes the edges between allowed nodes, since it may need most of them many times.
     """
     allowed = nodes.where(request.condition())
     seeds = allowed.where(F.col("id") == F.lit(request.start)).select("id")
     limits = {"upstream": request.upstream, "downstream": request.downstream}
+    if isinstance(edges, Adjacency):
+        return _walk(edges, seeds, limits, "trace", allowed.select("id"))
     if None in limits.values():
         return _walk(_allowed_edges(allowed, edges, "trace-edges"), seeds, limits, "trace")
     return _walk(edges.select("source_id", "target_id"), seeds, limits, "trace", allowed.select("id"))
 
 
 def path_nodes(
-    nodes: DataFrame, edges: DataFrame, request: TraceRequest, direction: str = "downstream", max_depth: int | None = None
+    nodes: DataFrame, edges: DataFrame | Adjacency, request: TraceRequest, direction: str = "downstream", max_depth: int | None = None
 ) -> DataFrame:
     """(id, from_start, to_end) of the nodes on routes from start to end.
 
@@ -131,13 +157,20 @@ def path_nodes(
     """
     start, end = F.lit(request.start), F.lit(request.end)
     allowed = nodes.where(request.condition() | (F.col("id") == start))
-    whole = _oriented(node_edges(edges.select("source_id", "target_id").distinct(), allowed), direction)
-    usable = write_stage(whole.where((F.col("target_id") != start) & (F.col("source_id") != end)), "path-edges")
-    ahead = _walk(usable, allowed.where(F.col("id") == start), {"downstream": max_depth}, "path-ahead")
-    goal = ahead.where(F.col("id") == end)
-    # Walking back from the end only through what the start reaches keeps the second pass small.
-    reachable = node_edges(usable, ahead)
-    back = _walk(reachable, goal, {"upstream": max_depth}, "path-back")
+    seeds = allowed.where(F.col("id") == start)
+    if isinstance(edges, Adjacency):
+        if direction not in _BACK:
+            raise ValueError(f"unknown direction: {direction}")
+        ahead = _walk(edges, seeds, {direction: max_depth}, "path-ahead", allowed.select("id"), request.end)
+        goal = ahead.where(F.col("id") == end)
+        back = _walk(edges, goal, {_BACK[direction]: max_depth}, "path-back", ahead.select("id"), request.start)
+    else:
+        whole = _oriented(node_edges(_pairs(edges), allowed), direction)
+        usable = write_stage(whole.where((F.col("target_id") != start) & (F.col("source_id") != end)), "path-edges")
+        ahead = _walk(usable, seeds, {"downstream": max_depth}, "path-ahead")
+        goal = ahead.where(F.col("id") == end)
+        # Walking back from the end only through what the start reaches keeps the second pass small.
+        back = _walk(node_edges(usable, ahead), goal, {"upstream": max_depth}, "path-back")
     joined = ahead.select("id", F.col("depth").alias("from_start")).join(
         back.select("id", F.col("depth").alias("to_end")), "id"
     )
@@ -147,7 +180,7 @@ def path_nodes(
 
 
 def paths(
-    nodes: DataFrame, edges: DataFrame, request: TraceRequest, max_depth: int, direction: str = "downstream"
+    nodes: DataFrame, edges: DataFrame | Adjacency, request: TraceRequest, max_depth: int, direction: str = "downstream"
 ) -> DataFrame:
     """(path): every route without repeated node from start to end of at most ``max_depth`` edges.
 
@@ -155,7 +188,7 @@ def paths(
     the remaining depth, so no partial route is a dead end by distance.
     """
     inside = write_stage(path_nodes(nodes, edges, request, direction, max_depth), "paths-nodes")
-    usable = node_edges(_oriented(edges.select("source_id", "target_id").distinct(), direction), inside)
+    usable = node_edges(_oriented(_pairs(edges), direction), inside)
     steps = write_stage(
         usable.join(inside.select(F.col("id").alias("target_id"), "to_end"), "target_id").select(
             "source_id", "target_id", "to_end"
@@ -184,13 +217,16 @@ def paths(
     return found
 
 
-def reachable_from_focus(nodes: DataFrame, edges: DataFrame, focus_schemas: list[str]) -> DataFrame:
+def reachable_from_focus(nodes: DataFrame, edges: DataFrame | Adjacency, focus_schemas: list[str]) -> DataFrame:
     """Visible nodes of the focus schemas and whatever connects to them inside the visible set.
 
     Direction of edges does not matter. Without focus schemas all nodes stay.
     """
     if not focus_schemas:
         return nodes
-    usable = _allowed_edges(nodes, edges, "focus-edges")
     seeds = nodes.where(F.col("schema").isin(*focus_schemas)).select("id")
-    return nodes.join(_walk(usable, seeds, {"any": None}, "focus").select("id"), "id", "left_semi")
+    if isinstance(edges, Adjacency):
+        found = _walk(edges, seeds, {"any": None}, "focus", nodes.select("id"))
+    else:
+        found = _walk(_allowed_edges(nodes, edges, "focus-edges"), seeds, {"any": None}, "focus")
+    return nodes.join(found.select("id"), "id", "left_semi")

@@ -157,7 +157,7 @@ LEFT JOIN orders p ON p.o_orderkey = o.o_orderkey - 1
 SELECT object_id, 'CREATE PROCEDURE [' || schema_name || '].[' || object_name || '] AS BEGIN ' || chr(10) ||
   CASE WHEN o_orderpriority = '3-MEDIUM' THEN '-- @LINEAGE_INPUTS: [' || cust_schema || '].[' || cust_name || '], dbo.Nope' || chr(10) ||
        '-- @LINEAGE_OUTPUTS: RegionMaster' || region_key || chr(10) ELSE '' END ||
-  CASE WHEN called IS NOT NULL THEN 'EXEC ' || called || ' @p; ' ELSE '' END ||
+  CASE WHEN called IS NOT NULL THEN 'EXEC ' || CASE WHEN o_orderkey % 2 = 1 THEN '@rc = ' ELSE '' END || called || ' @p; ' ELSE '' END ||
   CASE WHEN o_orderpriority = '5-LOW' THEN 'EXEC(@sql); WHILE 1=1 BEGIN SET @i = 1 END ' ELSE '' END ||
   CASE WHEN o_orderstatus = 'P' THEN '/* FROM dbo.RegionMaster0 */ WITH cte1 AS (SELECT 1 AS x) SELECT x FROM cte1; ' ELSE '' END ||
   'SELECT a, b FROM [' || s1 || '].[' || n1 || '] x INNER JOIN ' || cust_schema || '.' || cust_name ||
@@ -169,6 +169,14 @@ SELECT object_id, 'CREATE PROCEDURE [' || schema_name || '].[' || object_name ||
        ' AS src ON tgt.k = src.k WHEN MATCHED THEN UPDATE SET tgt.v = 1; ' ELSE '' END ||
   CASE WHEN n_lines = 2 THEN 'DELETE FROM ' || s1 || '.' || n1 || ' WHERE 1 = 0; TRUNCATE TABLE ' || cust_schema || '.' || cust_name || '; ' ELSE '' END ||
   CASE WHEN n_lines = 4 THEN 'DELETE ' || s1 || '.' || n1 || ' OUTPUT deleted.* INTO ' || cust_schema || '.' || cust_name || ' WHERE 1 = 0; ' ELSE '' END ||
+  CASE o_orderkey % 7
+    WHEN 0 THEN 'SELECT ''copied FROM dbo.RegionMaster1 '' AS s FROM dbo.RegionMaster2; EXEC (''SELECT 1 FROM dbo.RegionMaster3 ''); '
+    WHEN 1 THEN 'SELECT p.a FROM dbo.RegionMaster1 p, (SELECT b FROM dbo.RegionMaster2 q WITH (NOLOCK), dbo.RegionMaster3) s, [dbo].[RegionMaster4] WHERE p.a IN (1, 2); '
+    WHEN 2 THEN 'UPDATE TOP (5) dbo.RegionMaster1 SET v = 1; DELETE TOP (10) FROM dbo.RegionMaster2 WHERE 1 = 0; '
+    WHEN 3 THEN 'SELECT a FROM edw..RegionMaster1; '
+    WHEN 4 THEN '/* a /* b */ FROM dbo.RegionMaster1 */ SELECT c FROM dbo.RegionMaster2; '
+    WHEN 5 THEN 'SELECT d FROM [O''Brien].[T1] -- it''s FROM dbo.RegionMaster1' || chr(10) || '; '
+    ELSE '' END ||
   'COMMIT TRANSACTION; SELECT z FROM dbo.RegionMaster0 END' AS definition
 FROM proc_facts
 UNION ALL
