@@ -1,8 +1,8 @@
 """Phrase collocations from sorted count streams.
 
-Tasks count one-, two- and three-word phrases of chunks of text and hand them on in sorted order; the
-counts are added up, and those of the phrases that are frequent enough are the count streams. The
-streams are then walked twice, each walk a lockstep merge of the sorted one-, two- and three-word
+Tasks count the words and the three-word windows of chunks of text and hand them on in sorted order, dealt
+by the first two words: one exchange gives the counts of triples and, summed over the third word, those of
+pairs. Phrases that are frequent enough are the count streams. The streams are then walked twice, each walk a lockstep merge of the sorted one-, two- and three-word
 streams without look-up tables: in prefix order a phrase follows its own first words, which gives the
 counts of its left parts and the largest count of its extensions to the right; in suffix order it
 follows its own last words, which gives the right parts and the extensions to the left. Both walks
@@ -29,7 +29,7 @@ PHRASE_BYTES = bytes.maketrans(
 )
 LONGEST = 3
 #: Words counted at once in a task, and rows of one batch handed on.
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 2_500_000
 CHUNK_ROWS = 100_000
 #: Distinct words of one chunk.
 CHUNK_VOCABULARY = 1_000_000
@@ -52,27 +52,20 @@ class _Numbers(dict):
         return number
 
 
-def _distinct(ids: np.ndarray, real: np.ndarray, words: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """The distinct runs of one to ``LONGEST`` words, as one array of numbers for each place, and their counts."""
-    key, inside, decode = ids, real, None
-    for size in range(1, LONGEST + 1):
-        if size > 1:
-            end = len(ids) - size + 1
-            if end <= 0:
-                return
-            key, inside = key[:end], inside[:end] & real[size - 1 :]
-            if words**size >= 1 << 63:  # one enormous text: pairs by their number (two words always fit)
-                shorter, key = np.unique(key, return_inverse=True)
-                decode = shorter
-            key = key * words + ids[size - 1 :]
-        distinct, counts = np.unique(key[inside], return_counts=True)
-        parts, rest = [], distinct
-        for _ in range(size - 1):
-            parts.append(rest % words)
-            rest = rest // words
-            if decode is not None and len(parts) == 1:
-                rest = decode[rest]
-        yield [rest, *parts[::-1]], counts
+def _windows(ids: np.ndarray, real: np.ndarray, words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct pairs of words with what follows them (a word or the end of the piece), and their counts.
+
+    ``words`` is more than any number; words are counted with an end as their last number.
+    """
+    inside = real[:-2] & real[1:-1]
+    pair = (ids[:-2] * words + ids[1:-1])[inside]
+    shorter = None
+    if words**3 >= 1 << 63:  # one enormous text: pairs by their place in order (two words always fit)
+        shorter, pair = np.unique(pair, return_inverse=True)
+    distinct, counts = np.unique(pair * words + ids[2:][inside], return_counts=True)
+    pair, third = np.divmod(distinct, words)
+    first, second = np.divmod(pair if shorter is None else shorter[pair], words)
+    return [first, second, third], counts
 
 
 def _count_chunk(by_lang: dict[str, list[np.ndarray]], numbers: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
@@ -80,21 +73,26 @@ def _count_chunk(by_lang: dict[str, list[np.ndarray]], numbers: dict[bytes, int]
     ordered = sorted(numbers)  # the mark of piece ends sorts behind every word
     rank = np.empty(len(ordered), np.int64)
     rank[[numbers[w] for w in ordered]] = np.arange(len(ordered))
-    words = pa.array(ordered[:-1], pa.binary()).cast(pa.string())
+    words = pa.array([*ordered[:-1], b""], pa.binary()).cast(pa.string())
     for lang in sorted(by_lang):
         ids = rank[np.concatenate(by_lang[lang])]
         real = ids != len(ordered) - 1
-        yield _rows(lang, [""], np.array([real.sum()]))
-        for parts, counts in _distinct(ids, real, len(ordered)):
-            for at in range(0, len(counts), CHUNK_ROWS):
-                taken = [words.take(pa.array(p[at : at + CHUNK_ROWS])) for p in parts]
-                phrase = taken[0] if len(taken) == 1 else pc.binary_join_element_wise(*taken, " ")
-                yield _rows(lang, phrase, counts[at : at + CHUNK_ROWS])
-
-
-def _rows(lang: str, phrase, counts: np.ndarray) -> pa.RecordBatch:
+        single, counts = np.unique(ids[real], return_counts=True)
+        yield _rows(lang, pa.array([""]), pa.array([""]), np.array([real.sum()]))
+        for at in range(0, len(single), CHUNK_ROWS):
+            some = words.take(pa.array(single[at : at + CHUNK_ROWS]))
+            yield _rows(lang, some, pa.repeat("", len(some)), counts[at : at + CHUNK_ROWS])
+        if len(ids) < 3:
+            continue
+        parts, counts = _windows(ids, real, len(ordered))
+        for at in range(0, len(counts), CHUNK_ROWS):
+            first, second, third = (words.take(pa.array(p[at : at + CHUNK_ROWS])) for p in parts)
+            yield _rows(lang, pc.binary_join_element_wise(first, second, " "), third, counts[at : at + CHUNK_ROWS])
+
+
+def _rows(lang: str, pair: pa.Array, third: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
-        {"lang": pa.repeat(lang, len(counts)), "phrase": pa.array(phrase, pa.string()), "f": pa.array(counts, pa.int64())}
+        {"lang": pa.repeat(lang, len(counts)), "pair": pair, "third": third, "f": pa.array(counts, pa.int64())}
     )
 
 
@@ -117,8 +115,19 @@ def count_streams(docs: DataFrame, least: int, lang_col: str = "lang", text_col:
 
     prepare(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    counted = rows.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return counted.where((F.col("f") >= least) | (F.col("phrase") == ""))
+    # Tasks have merged what they can; both sums below read this one exchange, so neither may filter or
+    # drop a column beneath it (the count of ``third`` is there for that).
+    dealt = rows.mapInArrow(run, "lang string, pair string, third string, f long").repartition("lang", "pair")
+    enough = F.col("f") >= least
+    pairs = dealt.groupBy("lang", "pair").agg(F.sum("f").alias("f"), F.count("third").alias("rows"))
+    triples = dealt.groupBy("lang", "pair", "third").agg(F.sum("f").alias("f"))
+    counted = stage(
+        pairs.where(enough | (F.col("pair") == "")).select("lang", "pair", F.lit(None).cast("string").alias("third"), "f")
+        .union(triples.where(enough).select("lang", "pair", "third", "f")),
+        "counts",
+    )
+    phrase = F.concat_ws(" ", "pair", "third")  # without a third word the pair alone
+    return counted.where("third IS NULL OR third <> ''").select("lang", phrase.alias("phrase"), "f")
 
 
 def _walk(rows: DataFrame, finish: Callable[[dict], tuple | None], schema: str) -> DataFrame:
@@ -243,7 +252,7 @@ def collocations(
     has no rows, an empty table none at all. Repeated rows count each time. Equal scores are ranked by
     frequency, then by the bytes of the phrase. Other columns are not read.
     """
-    streams = stage(count_streams(docs, least, lang_col, text_col), "streams")
+    streams = count_streams(docs, least, lang_col, text_col)
     found = scored_phrases(streams)
     kept = found.where(F.lit(100) * F.coalesce("inside", F.lit(0)) < F.lit(covered_percent) * F.col("a")).drop("inside")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
