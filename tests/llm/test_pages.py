@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -92,6 +93,31 @@ def test_every_row_has_a_text(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+LONG = "some words of running text that go on and on for a while"
+FORMS = {
+    "content in a form": (f'<body><form id="aspnetForm"><div class="content"><h1>T</h1><p>{LONG}</p></div></form></body>', f"T\n{LONG}"),
+    "form around the page": (f"<body><form><nav><a href=x>menu</a></nav><h1>T</h1><p>{LONG}</p><input></form><footer>f</footer>", f"T\n{LONG}"),
+    "form in an article": (f"<article><p>{LONG}</p><form><p>Your name</p><label>mail</label></form></article>", LONG),
+    "form in a sidebar": (f"<article><p>{LONG}</p></article><div class=sidebar><form><div class=content><p>{LONG} x</p></div></form></div>", LONG),
+    "hidden in print": (f'<article><div class="col hidden-print"><p>{LONG}</p></div><div class="row hidden-xs"><p>b</p></div></article>', f"{LONG}\nb"),
+    "hidden": (f"<article><p>{LONG}</p><div class=hidden><p>b</p></div><div hidden><p>c</p></div></article>", LONG),
+    "article word beside a teaser word": (f'<article><p>{LONG}</p></article><div class="article related"><p>b</p></div>', LONG),
+}
+
+
+@pytest.mark.parametrize("name", FORMS)
+def test_forms_and_hiding(name):
+    page, text = FORMS[name]
+    assert html.main_text(page) == text
+
+
+def test_deep_nesting_takes_linear_time():
+    begin = time.time()
+    assert html.main_text("<div>x" * 100_000).count("x") <= 100_000
+    html.main_text("<div class=article>" * 50_000 + "</p></section>" * 50_000)
+    assert time.time() - begin < 8
+
+
 FAKE = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Page-ID: 666\r\nContent-Length: 4\r\n\r\nfake\r\n\r\n"
 BODIES = [
     None, "", "a", "\r\n", "\r\n\r\n", "x\r\n", "x\r\n\r\n", "\r\n\r\n\r\n", FAKE, "text\r\n\r\n" + FAKE + "more", FAKE * 3 + "\r\n", "é" * 99, "same " * 30, "same " * 30,

@@ -131,6 +131,10 @@ TEASER_WORDS = FURNITURE_WORDS - frozenset(
 )
 #: Parts of a word that say that something is missing, or only what else the page has.
 MODIFIERS = frozenset("no has have with without not non is free less".split())
+#: Parts of a word that say only where something is hidden (``hidden-print``), not that it is.
+PLACES = frozenset(["hidden"])
+#: The value of a form in the stack of open elements.
+FORM = -3
 #: Parts that hold no article if they are closed where they should be.
 UNLIKELY_PARENTS = frozenset("nav header form menu fieldset head".split())
 
@@ -147,6 +151,7 @@ class Block:
     content: bool
     furniture: bool
     kind: str
+    form: bool = False  # furniture only because it stands in a form
 
 
 @functools.lru_cache(maxsize=4096)
@@ -170,7 +175,7 @@ def _hint(attributes: str) -> str:
                 if word.isalpha() and (word.islower() or word.isupper() or word.istitle()):
                     whole |= own
                 elif not own & MODIFIERS:
-                    parts |= own
+                    parts |= own - PLACES
     if whole & TEASER_WORDS:
         return "teasers"
     if whole & FURNITURE_WORDS:
@@ -191,7 +196,7 @@ def blocks(page: str) -> list[Block]:
     comment or script that is never closed reaches to the end, and so does a tag cut off at the end.
     """
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open elements: tag, telling (1 content, -1 furniture, -2 furniture with teasers, 0 neither)
+    stack = _Open()
     parts: list[tuple[str, bool]] = []
     link, kind, at, size = 0, "", 0, len(page)
 
@@ -200,10 +205,10 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
             if text:
-                telling = next((s for _, s in reversed(stack) if s), 0)
+                telling = stack.nearest
                 words = len(text.split(" "))
                 linked = len(html.unescape(" ".join(t for t, a in parts if a)).split())
-                out.append(Block(text, words, min(linked, words), telling > 0, telling < 0, kind))
+                out.append(Block(text, words, min(linked, words), telling > 0, telling < 0, kind, telling == FORM))
             parts = []
         kind = ""
 
@@ -239,9 +244,7 @@ def blocks(page: str) -> list[Block]:
                 link = max(0, link - 1)
             elif tag in BLOCKS:
                 close()
-                open_at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-                if open_at is not None:
-                    del stack[open_at:]
+                stack.close(tag)
                 if tag in ("article", "main", "body"):
                     link = 0
             continue
@@ -258,25 +261,80 @@ def blocks(page: str) -> list[Block]:
             close()
             if tag in PROSE and tag != "pre" or tag in ITEM:
                 # these do not nest in a paragraph or in one another without a list or table between
-                while stack and stack[-1][0] in (PROSE if tag not in ITEM else PROSE | ITEM) and stack[-1][0] not in ("blockquote", "td", "th", "dd"):
+                while stack.top in (PROSE if tag not in ITEM else PROSE | ITEM) and stack.top not in ("blockquote", "td", "th", "dd"):
                     stack.pop()
-            elif stack and stack[-1][0] == "p":
+            elif stack.top == "p":
                 stack.pop()
+            if tag == "body":
+                stack = _Open()
             if tag not in VOID:
-                stack.append((tag, _telling(tag, attributes, stack)))
-                if tag == "body":
-                    stack[:] = [("body", 0)]
+                stack.push(tag, _telling(tag, attributes, stack))
             kind = tag
     close()
-    return out
+    return _without_wrapping_forms(out)
+
+
+class _Open:
+    """The open elements. Every entry holds what its surroundings say, so nothing is searched for.
+
+    Telling: 1 content, -1 furniture, -2 furniture with teasers, ``FORM`` a form, 0 neither.
+    """
+
+    def __init__(self):
+        self._entries: list[tuple[str, int, int]] = []  # tag, nearest telling value, nearest of content or teasers
+        self._count: dict[str, int] = {}
+
+    @property
+    def top(self) -> str:
+        return self._entries[-1][0] if self._entries else ""
+
+    @property
+    def nearest(self) -> int:
+        return self._entries[-1][1] if self._entries else 0
+
+    @property
+    def strongest(self) -> int:
+        """The nearest value that is content or furniture with teasers."""
+        return self._entries[-1][2] if self._entries else 0
+
+    def has(self, tag: str) -> bool:
+        return self._count.get(tag, 0) > 0
+
+    def push(self, tag: str, telling: int) -> None:
+        self._entries.append((tag, telling or self.nearest, telling if telling in (1, -2) else self.strongest))
+        self._count[tag] = self._count.get(tag, 0) + 1
+
+    def pop(self) -> str:
+        tag = self._entries.pop()[0]
+        self._count[tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        """End the innermost element of this name with all inside it; without one nothing ends."""
+        if self.has(tag):
+            while self.pop() != tag:
+                pass
+
+
+def _without_wrapping_forms(found: list[Block]) -> list[Block]:
+    """A form that holds most words of the page, running text among them, wraps it and says nothing."""
+    inside = [b for b in found if b.form]
+    words = sum(b.words for b in inside)
+    prose = sum(b.words for b in inside if b.kind in PROSE and b.linked < b.words)
+    if 2 * words > sum(b.words for b in found) and 2 * prose > words:
+        for b in inside:
+            b.furniture = False
+    return found
 
 
-def _telling(tag: str, attributes: str, stack: list[tuple[str, int]]) -> int:
-    """1 for content, -1 for furniture, -2 for furniture whose articles are furniture, 0 for what its surroundings are.
+def _telling(tag: str, attributes: str, stack: _Open) -> int:
+    """What an element says about its text, see ``_Open``.
 
     An article is one whatever its class, unless it is hidden, stands in a part that holds teasers,
     comments or small print, or is called furniture inside another article. Other furniture was not
-    closed, or wraps the page. A header inside an article belongs to it.
+    closed, or wraps the page. A header inside an article belongs to it. Of other elements the words of
+    furniture win over those of content (``<div class="article related">`` is a teaser), and content
+    counts inside a form, which may wrap the page, but in no other furniture.
     """
     if tag in ("html", "body"):
         return 0
@@ -284,19 +342,19 @@ def _telling(tag: str, attributes: str, stack: list[tuple[str, int]]) -> int:
     if hint == "hidden":
         return -2
     if tag in CONTENT_TAGS:
-        around = next((s for _, s in reversed(stack) if s not in (0, -1)), 0)
-        inside = hint in ("teasers", "furniture") and any(t == "article" for t, _ in stack)
-        return -2 if around < 0 or inside else 1
+        inside = hint in ("teasers", "furniture") and stack.has("article")
+        return -2 if stack.strongest < 0 or inside else 1
+    if tag == "form":
+        return -1 if hint in ("teasers", "furniture") or stack.nearest < 0 else FORM
     if tag in FURNITURE_TAGS:
         return -1 if tag in UNLIKELY_PARENTS else -2
     if hint == "teasers":
         return -2
     if hint == "furniture":
         return -1
-    around = next((s for _, s in reversed(stack) if s), 0)
     if tag == "header" or hint == "header":
-        return 0 if around > 0 or tag in PROSE else -1
-    return 1 if hint == "content" and around >= 0 else 0
+        return 0 if stack.nearest > 0 or tag in PROSE else -1
+    return 1 if hint == "content" and stack.nearest in (0, 1, FORM) else 0
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -364,7 +422,8 @@ def main_text(page: str, tree: Tree | None = None) -> str:
 def extract(pages: DataFrame, html_column: str = "html", carry: tuple[str, ...] = ("page_id", "url"), tree: Tree | None = None) -> DataFrame:
     """The carried columns with ``text`` and ``n_chars`` (code points) for every row.
 
-    A null or empty page and one without main text give an empty text.
+    A null or empty page and one without main text give an empty text; every row, also a repeated one,
+    gives a row, an empty table none. Work is linear in the length of a page, however deep it nests.
     """
     tree = tree or trained()
 
