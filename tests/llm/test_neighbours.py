@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 
 from threadline.llm import ann
 
@@ -78,3 +79,37 @@ def test_a_stored_graph_is_the_same_graph():
     assert [len(layer.links) for layer in graph.layers] == [len(layer.links) for layer in again.layers]
     assert (graph.search(vectors[:50], 5) == again.search(vectors[:50], 5)).all()
     assert (graph.search(vectors, 1)[:, 0] == np.arange(700)).mean() > 0.99
+
+
+def _double(spark, ids, vectors):
+    return spark.createDataFrame([(i, v) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")
+
+
+def _nearest(vectors, ids, q, k=10):
+    own = np.array(vectors)
+    scale = np.abs(own).max()
+    apart = scale * np.sqrt(((own / scale - own[ids.index(q)] / scale) ** 2).sum(axis=1))
+    return [i for _, i in sorted((float(d), i) for d, i in zip(apart, ids, strict=True) if i != q)[:k]]
+
+
+@pytest.mark.parametrize("shift, factor", [(10_000.0, 1.0), (-1e9, 1.0), (0.0, 1e200), (0.0, 1e-200), (1e30, 1e25), (0.0, 1.7e308)])
+def test_recall_off_the_origin_and_for_large_values(spark, shift, factor):
+    rng = np.random.default_rng(8)
+    ids = list(range(0, 3000, 2))
+    base = rng.uniform(-1, 1, size=(1500, 16))
+    vectors = (base * factor + shift).tolist()
+    rows = _double(spark, ids, vectors)
+    queries = [i for i in ids if i % 100 == 0]
+    got = {}
+    for r in ann.nearest(rows, rows.where("vec_id % 100 = 0"), shard_rows=600).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(got.get(q, set()) & set(_nearest(vectors, ids, q))) for q in queries)
+    assert hits >= 0.9 * 10 * len(queries)
+
+
+def test_different_vectors_at_one_distance_are_ranked_by_id(spark):
+    corners = [[float(2 * (n >> b & 1) - 1) for b in range(6)] for n in range(64)]
+    ids = [100, *range(101, 165)]
+    vectors = [[0.0] * 5 + [5e-324], *corners[::-1]]
+    found = ann.nearest(_double(spark, ids, vectors), _double(spark, ids, vectors).where("vec_id = 100"))
+    assert [r["vec_id"] for r in found.orderBy("rank").collect()] == list(range(101, 111))

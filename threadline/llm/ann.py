@@ -227,8 +227,43 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
 
 
+def frame_of(nodes: np.ndarray) -> np.ndarray:
+    """How a shard sees vectors, as (first scale, second scale, centre): see :func:`seen_as`."""
+    first = float(np.abs(nodes).max(initial=0.0)) or 1.0
+    centre = (nodes / first).mean(axis=0)
+    second = float(np.abs(nodes / first - centre).max(initial=0.0)) or 1.0
+    return np.concatenate([[first, second], centre])
+
+
+def seen_as(frame: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Vectors centred and scaled in double precision, then as float32.
+
+    Differences far from the origin would be lost in float32, and large values would overflow. A
+    query far outside the shard is brought nearer along its direction, which is all that ranks it.
+    """
+    own = (vectors / frame[0] - frame[2:]) / frame[1]
+    most = np.abs(own).max(axis=1, keepdims=True, initial=0.0)
+    return np.where(most > 1e6, own * (1e6 / np.maximum(most, 1e6)), own).astype(np.float32)
+
+
+def distances(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; squares that would leave its range are scaled first."""
+    with np.errstate(over="ignore"):
+        apart = np.abs(rows - point)
+    most = float(apart.max(initial=0.0))
+    if not np.isfinite(most):  # ends of opposite sign near the largest double
+        apart, most = np.abs(rows / 2 - point / 2), 0.0
+        scale = float(apart.max()) or 1.0
+        with np.errstate(over="ignore"):
+            return 2 * (scale * np.sqrt(((apart / scale) ** 2).sum(axis=1)))
+    if most > 1e150 or 0 < most < 1e-140:
+        with np.errstate(over="ignore"):
+            return most * np.sqrt(((apart / most) ** 2).sum(axis=1))
+    return np.sqrt((apart**2).sum(axis=1))
+
+
 def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS, links: int = LINKS, copies: int | None = None) -> DataFrame:
-    """``dims, shard, graph, exact, ids, id_counts``: one row for each shard.
+    """``dims, shard, graph, frame, exact, ids, id_counts``: one row for each shard.
 
     The number of shards follows from the number of rows; vectors of different length are in
     different shards. ``copies``: so many of the smallest ids of
@@ -254,12 +289,14 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS, links: int = LINK
         for node, vec_id in zip(node_of[group].tolist(), ids.tolist(), strict=True):
             if (not lists[node] or lists[node][-1] != vec_id) and (copies is None or len(lists[node]) < copies):
                 lists[node].append(vec_id)
-        graph = Graph.build(nodes.astype(np.float32), links)
+        frame = frame_of(nodes)
+        graph = Graph.build(seen_as(frame, nodes), links)
         yield pa.RecordBatch.from_pydict(
             {
                 "dims": pa.array([dims], pa.int32()),
                 "shard": own.column("shard").slice(0, 1).combine_chunks(),
                 "graph": pa.array([graph.save()], pa.binary()),
+                "frame": pa.array([frame.tobytes()], pa.binary()),
                 "exact": pa.array([nodes.tobytes()], pa.binary()),
                 "ids": list_array(np.array([sum(map(len, lists))]), np.array([i for x in lists for i in x], np.int64), pa.int64()),
                 "id_counts": list_array(np.array([len(lists)]), np.array(list(map(len, lists)), np.int64), pa.int64()),
@@ -267,7 +304,7 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS, links: int = LINK
         )
 
     return dealt.groupBy("dims", "shard").applyInArrow(
-        build, "dims int, shard long, graph binary, exact binary, ids array<long>, id_counts array<long>"
+        build, "dims int, shard long, graph binary, frame binary, exact binary, ids array<long>, id_counts array<long>"
     )
 
 
@@ -295,9 +332,9 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF
 
     blocks = stage(asked.groupBy("dims", "block").applyInArrow(packed, "dims int, block long, query_ids binary, query_vectors binary"), "ann-queries")
     pairs = (
-        index.select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"), "graph", "exact", "ids", "id_counts")
+        index.select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"), "graph", "frame", "exact", "ids", "id_counts")
         .join(blocks, ["dims", "block"])
-        .select("dims", "graph", "exact", "ids", "id_counts", "query_ids", "query_vectors")
+        .select("dims", "graph", "frame", "exact", "ids", "id_counts", "query_ids", "query_vectors")
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,12 +346,22 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF
                 wanted = np.frombuffer(row["query_vectors"], np.float64).reshape(-1, dims)
                 cuts = np.concatenate([[0], np.cumsum(row["id_counts"])])
                 ids = np.array(row["ids"], np.int64)
-                nodes = Graph.load(row["graph"]).search(wanted.astype(np.float32), k + 1, ef)
+                # The whole beam is ranked exactly: the graph's own distances only lead to it.
+                asked = seen_as(np.frombuffer(row["frame"], np.float64), wanted)
+                nodes = Graph.load(row["graph"]).search(asked, max(ef, k + 1), ef)
+                smallest = ids[cuts[:-1]]
                 out: list[tuple[int, int, float]] = []
                 for q, query_id in enumerate(query_ids.tolist()):
                     own = nodes[q][nodes[q] >= 0]
-                    score = np.sqrt(((exact[own] - wanted[q]) ** 2).sum(axis=1))
-                    every = [(s, i) for n, s in zip(own.tolist(), score.tolist(), strict=True) for i in ids[cuts[n] : cuts[n + 1]][: k + 1].tolist()]
+                    score = distances(exact[own], wanted[q])
+                    order = np.lexsort((smallest[own], score))[: k + 1]
+                    last = score[order[-1]]
+                    order = np.flatnonzero(score <= last)  # with all ties of the last
+                    every = [
+                        (s, i)
+                        for n, s in zip(own[order].tolist(), score[order].tolist(), strict=True)
+                        for i in ids[cuts[n] : cuts[n + 1]][: k + 1].tolist()
+                    ]
                     out += [(query_id, i, s) for s, i in sorted(every) if i != query_id][:k]
                 a, b, c = zip(*out, strict=True) if out else ((), (), ())
                 yield pa.RecordBatch.from_pydict(
