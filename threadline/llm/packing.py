@@ -29,8 +29,8 @@ END = 1
 LENGTH = 4096
 #: Pieces in a shard, about: the waste of a shard is a few sequences.
 SHARD_PIECES = 1 << 16
-#: Words whose ids a process remembers.
-CACHE_WORDS = 250_000
+#: Words whose ids a process remembers in each of two generations.
+CACHE_WORDS = 300_000
 #: Signs that no contraction of the tokenizer's pattern begins with.
 SIGNS = ".,;:!?#$%&*|-()"
 #: White space of ``str.split`` that is none to the tokenizer: U+001C to U+001F are tokens.
@@ -50,16 +50,24 @@ class Encoder(dict):
     step reaches across white space, so the ids of a text are those of its words in order. Letters
     before trailing signs are a match of their own, so both parts are looked up. New words of letters
     are encoded together: each is one match, and the last id of a match is one with a word end.
+
+    Words are kept in two generations: when the younger is full it becomes the elder, whose words come
+    back as they are met again, so that frequent words are never learned twice.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._limit = limit
+        self._elder: dict[str, bytes] = {}
         vocabulary = self._tokenizer.get_vocab()
         self._final = np.zeros(max(vocabulary.values()) + 1, bool)
         self._final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
+    def __missing__(self, word: str) -> bytes:
+        self[word] = found = self._elder[word]
+        return found
+
     def _one(self, word: str) -> bytes:
         return np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -90,9 +98,10 @@ class Encoder(dict):
     def ids(self, batch: list[str]) -> list[bytes]:
         """Ids of every text."""
         if len(self) > self._limit:
+            self._elder = dict(self)
             self.clear()
         words = [split(text) for text in batch]
-        self._learn(set().union(*words).difference(self))
+        self._learn(set().union(*words).difference(self).difference(self._elder))
         return [b"".join(map(self.__getitem__, own)) for own in words]
 
 
