@@ -25,14 +25,18 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return quality.good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of every group of near duplicates.
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = 80) -> DataFrame:
+    """Keep the smallest id of every group of near duplicates: documents of a similarity of ``percent`` or more.
+
+    Bands are narrower for a lower threshold, so that a pair just at it is hardly ever missed by all.
 
     Documents without words, and rows without id, are duplicates of nothing and stay. Rows that
     repeat one id are one document and stay together.
     """
-    found = stage(minhash.near_duplicates(docs, percent=85), "dedup")
-    return docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = stage(minhash.near_duplicates(docs, percent=percent, band_rows=6 if percent >= 85 else 5), "dedup")
+    dropped = found.where("NOT kept").select("doc_id").distinct()
+    # A merge at every size: how many are dropped grows with the corpus, so they are never broadcast.
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
