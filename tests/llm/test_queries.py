@@ -53,8 +53,10 @@ def test_each_stage_does_what_its_operator_says(spark, data_dir):
     good = quality.score(one, quality.fit(one, labels)).where("predicted = 1")
     assert two.columns == docs.columns
     assert {r["doc_id"] for r in two.collect()} == {r["doc_id"] for r in good.collect()}
-    three = corpus_pipeline.drop_near_duplicates(spark, two, data_dir).cache()
     sets = {r["doc_id"]: plain.shingles(r["text"]) for r in two.collect()}
+    three = corpus_pipeline.drop_near_duplicates(spark, two, data_dir).cache()
+    assert {r["doc_id"] for r in three.collect()} == {i for i, c in plain.components(sets, percent=80).items() if i == c}
+    three = corpus_pipeline.drop_near_duplicates(spark, two, data_dir, percent=85).cache()
     assert three.columns == docs.columns
     assert {r["doc_id"] for r in three.collect()} == {i for i, c in plain.components(sets).items() if i == c}
     four = corpus_pipeline.pack(spark, three, data_dir)
