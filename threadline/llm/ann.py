@@ -247,7 +247,10 @@ def seen_as(frame: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def distances(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
-    """Euclidean distances in double precision; squares that would leave its range are scaled first."""
+    """Euclidean distances in double precision; squares that would leave its range are scaled first.
+
+    A distance beyond the largest double is infinite.
+    """
     with np.errstate(over="ignore"):
         apart = np.abs(rows - point)
     most = float(apart.max(initial=0.0))

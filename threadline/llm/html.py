@@ -141,6 +141,7 @@ UNLIKELY_PARENTS = frozenset("nav header form menu fieldset head".split())
 _ATTRIBUTE = re.compile(r"""(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_FORM = re.compile("form", re.I)
 
 
 @dataclass
@@ -344,8 +345,9 @@ def _telling(tag: str, attributes: str, stack: _Open) -> int:
     if tag in CONTENT_TAGS:
         inside = hint in ("teasers", "furniture") and stack.has("article")
         return -2 if stack.strongest < 0 or inside else 1
-    if tag == "form":
-        return -1 if hint in ("teasers", "furniture") or stack.nearest < 0 else FORM
+    if tag == "form":  # that its name says so, too, tells nothing
+        own = _hint(_FORM.sub(" ", attributes)) if attributes else ""
+        return -1 if own in ("teasers", "furniture") or stack.nearest < 0 else FORM
     if tag in FURNITURE_TAGS:
         return -1 if tag in UNLIKELY_PARENTS else -2
     if hint == "teasers":
