@@ -1,8 +1,9 @@
 """Phrase collocations from sorted count streams.
 
-Tasks count the words and the three-word windows of chunks of text and hand them on in sorted order, dealt
-by the first two words: one exchange gives the counts of triples and, summed over the third word, those of
-pairs. Phrases that are frequent enough are the count streams. The streams are then walked twice, each walk a lockstep merge of the sorted one-, two- and three-word
+Tasks count one-, two- and three-word phrases of chunks of text and hand them on as sorted, compressed
+runs, one for each bucket of phrases. A task then adds up the runs of a bucket; the number of buckets
+follows from the size of the corpus, so a bucket always fits a task, and a phrase has one line for each
+chunk at most. Phrases that are frequent enough are the count streams. The streams are then walked twice, each walk a lockstep merge of the sorted one-, two- and three-word
 streams without look-up tables: in prefix order a phrase follows its own first words, which gives the
 counts of its left parts and the largest count of its extensions to the right; in suffix order it
 follows its own last words, which gives the right parts and the extensions to the left. Both walks
@@ -11,15 +12,19 @@ hold one phrase of each length in memory, whatever the size of a group.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.csv as pa_csv
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadline.llm.common import prepare, release, stage, texts
+from threadline.llm.common import mix64, prepare, release, stage, texts
 
 # A byte that UTF-8 never uses marks the ends of pieces.
 PIECE_END = b"\xff"
@@ -28,9 +33,10 @@ PHRASE_BYTES = bytes.maketrans(
     bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + PIECE_END * 10 + b" "
 )
 LONGEST = 3
-#: Words counted at once in a task, and rows of one batch handed on.
-CHUNK_WORDS = 2_500_000
-CHUNK_ROWS = 100_000
+#: Words counted at once in a task.
+CHUNK_WORDS = 1_500_000
+#: Bytes of text for each bucket of phrases: some three million phrases meet in one.
+BUCKET_BYTES = 16_000_000
 #: Distinct words of one chunk.
 CHUNK_VOCABULARY = 1_000_000
 #: Places over which the phrases that share a hot first (or last) word are spread. A word is hot when it
@@ -52,52 +58,116 @@ class _Numbers(dict):
         return number
 
 
-def _windows(ids: np.ndarray, real: np.ndarray, words: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct pairs of words with what follows them (a word or the end of the piece), and their counts.
+def _distinct(ids: np.ndarray, real: np.ndarray, words: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The distinct runs of one to ``LONGEST`` words, as one array of numbers for each place, and their counts."""
+    key, inside, decode = ids, real, None
+    for size in range(1, LONGEST + 1):
+        if size > 1:
+            end = len(ids) - size + 1
+            if end <= 0:
+                return
+            key, inside = key[:end], inside[:end] & real[size - 1 :]
+            if words**size >= 1 << 63:  # one enormous text: pairs by their number (two words always fit)
+                shorter, key = np.unique(key, return_inverse=True)
+                decode = shorter
+            key = key * words + ids[size - 1 :]
+        distinct, counts = np.unique(key[inside], return_counts=True)
+        parts, rest = [], distinct
+        for _ in range(size - 1):
+            parts.append(rest % words)
+            rest = rest // words
+            if decode is not None and len(parts) == 1:
+                rest = decode[rest]
+        yield [rest, *parts[::-1]], counts
 
-    ``words`` is more than any number; words are counted with an end as their last number.
+
+def _escaped(lang: str) -> str:
+    for sign, letter in _ESCAPES:
+        lang = lang.replace(sign, "\\" + letter)
+    return lang
+
+
+def _unescaped(lang: str) -> str:
+    return _ESCAPED.sub(lambda m: {letter: sign for sign, letter in _ESCAPES}[m.group(1)], lang)
+
+
+# Signs that would end a field or a line of a run; words never hold the last three.
+_ESCAPES = (("\\", "b"), ("\t", "t"), ("\n", "n"), ("\r", "r"))
+_ESCAPED = re.compile(r"\\([btnr])")
+
+
+def _count_chunk(by_lang: dict[str, list[np.ndarray]], numbers: dict[bytes, int], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Runs of a chunk: for each bucket the compressed lines (language, phrase, count), sorted by language and words.
+
+    The empty phrase carries the number of words.
     """
-    inside = real[:-2] & real[1:-1]
-    pair = (ids[:-2] * words + ids[1:-1])[inside]
-    shorter = None
-    if words**3 >= 1 << 63:  # one enormous text: pairs by their place in order (two words always fit)
-        shorter, pair = np.unique(pair, return_inverse=True)
-    distinct, counts = np.unique(pair * words + ids[2:][inside], return_counts=True)
-    pair, third = np.divmod(distinct, words)
-    first, second = np.divmod(pair if shorter is None else shorter[pair], words)
-    return [first, second, third], counts
-
-
-def _count_chunk(by_lang: dict[str, list[np.ndarray]], numbers: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """Counts of a chunk, sorted by language and words; the empty phrase carries the number of words."""
     ordered = sorted(numbers)  # the mark of piece ends sorts behind every word
     rank = np.empty(len(ordered), np.int64)
     rank[[numbers[w] for w in ordered]] = np.arange(len(ordered))
-    words = pa.array([*ordered[:-1], b""], pa.binary()).cast(pa.string())
+    words = pa.array(ordered[:-1], pa.binary()).cast(pa.string())
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in ordered], np.uint64)
+    lines: dict[int, list[bytes]] = {}
+
+    def add(lang: str, phrase: pa.Array, counts: np.ndarray, bucket: np.ndarray) -> None:
+        if not len(counts):
+            return
+        order = np.argsort(bucket, kind="stable")
+        own = pc.binary_join_element_wise(
+            _escaped(lang), phrase.take(pa.array(order)), pc.binary_join_element_wise(pa.array(counts[order]).cast(pa.string()), "", "\n"), "\t"
+        )
+        text, offsets = own.buffers()[2].to_pybytes(), np.frombuffer(own.buffers()[1], np.int32)[: len(own) + 1]
+        kinds, starts = np.unique(bucket[order], return_index=True)
+        for k, lo, hi in zip(kinds.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+            lines.setdefault(k, []).append(text[offsets[lo] : offsets[hi]])
+
     for lang in sorted(by_lang):
         ids = rank[np.concatenate(by_lang[lang])]
         real = ids != len(ordered) - 1
-        single, counts = np.unique(ids[real], return_counts=True)
-        yield _rows(lang, pa.array([""]), pa.array([""]), np.array([real.sum()]))
-        for at in range(0, len(single), CHUNK_ROWS):
-            some = words.take(pa.array(single[at : at + CHUNK_ROWS]))
-            yield _rows(lang, some, pa.repeat("", len(some)), counts[at : at + CHUNK_ROWS])
-        if len(ids) < 3:
-            continue
-        parts, counts = _windows(ids, real, len(ordered))
-        for at in range(0, len(counts), CHUNK_ROWS):
-            first, second, third = (words.take(pa.array(p[at : at + CHUNK_ROWS])) for p in parts)
-            yield _rows(lang, pc.binary_join_element_wise(first, second, " "), third, counts[at : at + CHUNK_ROWS])
-
-
-def _rows(lang: str, pair: pa.Array, third: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+        own = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+        add(lang, pa.array([""]), np.array([real.sum()]), (mix64(np.array([own])) % np.uint64(buckets)).astype(np.int64))
+        for parts, counts in _distinct(ids, real, len(ordered)):
+            value = np.full(len(counts), own)
+            for part in parts:
+                value = mix64(value ^ hashes[part])
+            taken = [words.take(pa.array(p)) for p in parts]
+            phrase = taken[0] if len(taken) == 1 else pc.binary_join_element_wise(*taken, " ")
+            add(lang, phrase, counts, (value % np.uint64(buckets)).astype(np.int64))
+    press = zstandard.ZstdCompressor(level=3)
+    for k in sorted(lines):
+        yield pa.RecordBatch.from_pydict(
+            {"bucket": pa.array([k], pa.int64()), "run": pa.array([press.compress(b"".join(lines.pop(k)))], pa.binary())}
+        )
+
+
+def _add_runs(runs: pa.Table, least: int) -> pa.RecordBatch:
+    """The sums of the runs of a bucket, without phrases that are too rare."""
+    press = zstandard.ZstdDecompressor()
+    names = ["lang", "phrase", "f"]
+    tables = [
+        pa_csv.read_csv(
+            pa.BufferReader(press.decompress(run)),
+            read_options=pa_csv.ReadOptions(column_names=names, block_size=1 << 22),
+            parse_options=pa_csv.ParseOptions(delimiter="\t", quote_char=False, ignore_empty_lines=False),
+            convert_options=pa_csv.ConvertOptions(
+                column_types={"lang": pa.dictionary(pa.int32(), pa.string()), "phrase": pa.string(), "f": pa.int64()}, strings_can_be_null=False
+            ),
+        )
+        for run in runs.column("run").to_pylist()
+    ]
+    every = pa.concat_tables(tables).unify_dictionaries()
+    del tables
+    found = every.group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+    found = found.filter(pc.or_(pc.greater_equal(found["f_sum"], least), pc.equal(found["phrase"], "")))
+    langs = [_unescaped(x) for x in found["lang"].cast(pa.string()).to_pylist()]
     return pa.RecordBatch.from_pydict(
-        {"lang": pa.repeat(lang, len(counts)), "pair": pair, "third": third, "f": pa.array(counts, pa.int64())}
+        {"lang": pa.array(langs, pa.string()), "phrase": found["phrase"].combine_chunks(), "f": found["f_sum"].combine_chunks()}
     )
 
 
 def count_streams(docs: DataFrame, least: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, phrase, f) of the phrases of one to three words with f >= least; the empty phrase counts all words."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, by_lang, held = _Numbers(), {}, 0
@@ -107,27 +177,20 @@ def count_streams(docs: DataFrame, least: int, lang_col: str = "lang", text_col:
                 by_lang.setdefault(lang, []).append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
                 held += len(words)
                 if held >= CHUNK_WORDS or len(numbers) >= CHUNK_VOCABULARY:
-                    yield from _count_chunk(by_lang, numbers)
+                    yield from _count_chunk(by_lang, numbers, buckets)
                     numbers, by_lang, held = _Numbers(), {}, 0
         if held:
-            yield from _count_chunk(by_lang, numbers)
+            yield from _count_chunk(by_lang, numbers, buckets)
+        release()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _add_runs(pa.Table.from_batches(list(batches)), least)
         release()
 
     prepare(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    # Tasks have merged what they can; both sums below read this one exchange, so neither may filter or
-    # drop a column beneath it (the count of ``third`` is there for that).
-    dealt = rows.mapInArrow(run, "lang string, pair string, third string, f long").repartition("lang", "pair")
-    enough = F.col("f") >= least
-    pairs = dealt.groupBy("lang", "pair").agg(F.sum("f").alias("f"), F.count("third").alias("rows"))
-    triples = dealt.groupBy("lang", "pair", "third").agg(F.sum("f").alias("f"))
-    counted = stage(
-        pairs.where(enough | (F.col("pair") == "")).select("lang", "pair", F.lit(None).cast("string").alias("third"), "f")
-        .union(triples.where(enough).select("lang", "pair", "third", "f")),
-        "counts",
-    )
-    phrase = F.concat_ws(" ", "pair", "third")  # without a third word the pair alone
-    return counted.where("third IS NULL OR third <> ''").select("lang", phrase.alias("phrase"), "f")
+    runs = rows.mapInArrow(run, "bucket long, run binary")
+    return runs.groupBy("bucket").applyInArrow(add, "lang string, phrase string, f long")
 
 
 def _walk(rows: DataFrame, finish: Callable[[dict], tuple | None], schema: str) -> DataFrame:
@@ -252,7 +315,7 @@ def collocations(
     has no rows, an empty table none at all. Repeated rows count each time. Equal scores are ranked by
     frequency, then by the bytes of the phrase. Other columns are not read.
     """
-    streams = count_streams(docs, least, lang_col, text_col)
+    streams = stage(count_streams(docs, least, lang_col, text_col), "streams")
     found = scored_phrases(streams)
     kept = found.where(F.lit(100) * F.coalesce("inside", F.lit(0)) < F.lit(covered_percent) * F.col("a")).drop("inside")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]

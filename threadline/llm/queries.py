@@ -135,20 +135,22 @@ SELECT * FROM ranked WHERE rank <= 10""",
 WITH p AS MATERIALIZED (SELECT lang, row_number() OVER () AS place, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM (
     SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
-runs AS MATERIALIZED (SELECT lang, unnest(list_concat(
-      list_transform(range(1, len(ws) + 1), lambda i: ws[i:i]), list_transform(range(1, len(ws)), lambda i: ws[i:i + 1]),
-      list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2]))) AS ws FROM p),
-f AS MATERIALIZED (SELECT lang, ws, CAST(count(*) AS HUGEINT) AS a FROM runs GROUP BY 1, 2),
-totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE len(ws) = 1 GROUP BY 1),
-candidates AS MATERIALIZED (SELECT * FROM f WHERE len(ws) > 1 AND a >= 10),
-cuts AS (SELECT c.lang, c.ws, c.a, k, (SELECT 0) AS z FROM candidates c, (SELECT unnest([1, 2]) AS k) WHERE k < len(c.ws)),
-scored AS (SELECT cuts.lang, cuts.ws, cuts.a, k, x.a AS l, y.a AS r, (1000000 * cuts.a * cuts.a) // (x.a * y.a) AS score
-  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.ws = cuts.ws[1:k] JOIN f y ON y.lang = cuts.lang AND y.ws = cuts.ws[k + 1:len(cuts.ws)]),
-best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
-inside AS (SELECT lang, ws, max(a) AS a FROM (SELECT lang, ws[1:2] AS ws, a FROM candidates WHERE len(ws) = 3
-  UNION ALL SELECT lang, ws[2:3], a FROM candidates WHERE len(ws) = 3) GROUP BY 1, 2),
-kept AS (SELECT best.*, array_to_string(best.ws, ' ') AS phrase FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.ws = best.ws
-  WHERE 100 * coalesce(inside.a, 0) < 50 * best.a),
+w AS MATERIALIZED (SELECT lang, unnest(ws) AS w1, unnest(list_resize(ws[2:], len(ws))) AS w2, unnest(list_resize(ws[3:], len(ws))) AS w3 FROM p WHERE len(ws) > 0),
+f1 AS MATERIALIZED (SELECT lang, w1, CAST(count(*) AS HUGEINT) AS a FROM w GROUP BY 1, 2),
+f2 AS MATERIALIZED (SELECT lang, w1, w2, CAST(count(*) AS HUGEINT) AS a FROM w WHERE w2 IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, CAST(count(*) AS HUGEINT) AS a FROM w WHERE w3 IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10),
+cuts AS (
+  SELECT f.lang, f.w1 || ' ' || f.w2 AS phrase, f.w1, f.w2, 2 AS words, f.a, 1 AS k, x.a AS l, y.a AS r
+    FROM f2 f JOIN f1 x ON x.lang = f.lang AND x.w1 = f.w1 JOIN f1 y ON y.lang = f.lang AND y.w1 = f.w2
+  UNION ALL SELECT f.lang, f.w1 || ' ' || f.w2 || ' ' || f.w3, f.w1, f.w2, 3, f.a, 1, x.a, y.a
+    FROM f3 f JOIN f1 x ON x.lang = f.lang AND x.w1 = f.w1 JOIN f2 y ON y.lang = f.lang AND y.w1 = f.w2 AND y.w2 = f.w3
+  UNION ALL SELECT f.lang, f.w1 || ' ' || f.w2 || ' ' || f.w3, f.w1, f.w2, 3, f.a, 2, x.a, y.a
+    FROM f3 f JOIN f2 x ON x.lang = f.lang AND x.w1 = f.w1 AND x.w2 = f.w2 JOIN f1 y ON y.lang = f.lang AND y.w1 = f.w3),
+best AS (SELECT *, (1000000 * a * a) // (l * r) AS score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY (1000000 * a * a) // (l * r), k) = 1),
+inside AS (SELECT lang, w1, w2, max(a) AS a FROM (SELECT lang, w1, w2, a FROM f3 UNION ALL SELECT lang, w2, w3, a FROM f3) GROUP BY 1, 2, 3),
+kept AS (SELECT best.* FROM best LEFT JOIN inside i ON best.words = 2 AND i.lang = best.lang AND i.w1 = best.w1 AND i.w2 = best.w2
+  WHERE 100 * coalesce(i.a, 0) < 50 * best.a),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f1 GROUP BY 1),
 ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a,
   CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(score AS BIGINT) AS score FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
