@@ -30,7 +30,7 @@ LENGTH = 4096
 #: Pieces in a shard, about: the waste of a shard is a few sequences.
 SHARD_PIECES = 1 << 16
 #: Words whose ids a process remembers in each of two generations.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 125_000
 #: Signs that no contraction of the tokenizer's pattern begins with.
 SIGNS = ".,;:!?#$%&*|-()"
 #: White space of ``str.split`` that is none to the tokenizer: U+001C to U+001F are tokens.
