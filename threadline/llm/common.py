@@ -45,10 +45,16 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | dict]], schema: str) -> DataFrame:
+def map_batches(
+    df: DataFrame,
+    start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | dict]],
+    schema: str,
+    finish: Callable[[], None] | None = None,
+) -> DataFrame:
     """Apply a function to the Arrow batches of every partition.
 
     ``start`` runs once per task and returns the function, so that caches live as long as the task.
+    ``finish`` runs when the task has read its last batch.
     """
     prepare(df.sparkSession)
 
@@ -59,6 +65,8 @@ def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa
                 out = each(batch)
                 yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
         del each
+        if finish:
+            finish()
         release()
 
     return df.mapInArrow(run, schema)

@@ -29,8 +29,8 @@ END = 1
 LENGTH = 4096
 #: Pieces in a shard, about: the waste of a shard is a few sequences.
 SHARD_PIECES = 1 << 16
-#: Words whose ids a process remembers in each of two generations.
-CACHE_WORDS = 125_000
+#: Words whose ids a process remembers in each of two generations, one of them between tasks.
+CACHE_WORDS = 250_000
 #: Signs that no contraction of the tokenizer's pattern begins with.
 SIGNS = ".,;:!?#$%&*|-()"
 #: White space of ``str.split`` that is none to the tokenizer: U+001C to U+001F are tokens.
@@ -68,6 +68,10 @@ class Encoder(dict):
         self[word] = found = self._elder[word]
         return found
 
+    def rest(self) -> None:
+        """Keep one generation only: Python processes outlive their tasks."""
+        self._elder = {}
+
     def _one(self, word: str) -> bytes:
         return np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -154,7 +158,10 @@ def pieces(
     kind = docs.schema[id_column].dataType.simpleString()
     last = "ids_crc32 long" if checksum else "ids binary"
     return map_batches(
-        docs.select(id_column, text_column), start, f"`{id_column}` {kind}, piece int, start long, length long, {last}"
+        docs.select(id_column, text_column),
+        start,
+        f"`{id_column}` {kind}, piece int, start long, length long, {last}",
+        finish=lambda: encoder(path).rest(),
     )
 
 
