@@ -237,10 +237,10 @@ def validate_nodes(c):
     ),
 )
 def import_nodes(c):
-    """An older copy of every node without lists stands before it in the import."""
+    """An older export of every node in more parts, with lists of its own, stands before it in the import."""
     raw = _raw_nodes(c).withColumn("pos", F.lit(2))
-    none = F.array().cast("array<string>")
-    older = raw.withColumns({"name": F.lit("old"), "inputs": none, "outputs": none, "pos": F.lit(1)})
+    old = F.array(F.lit("-1"), F.col("id"))
+    older = raw.withColumns({"name": F.lit("old"), "inputs": old, "outputs": old, "pos": F.lit(1), "parts": F.lit(17).cast("long")})
     nodes, found, _ = nodes_json.import_nodes(older.unionByName(raw))
     way = F.col("direction")
     counts = found.groupBy("id").agg(F.count_if(way == "in").alias("input_count"), F.count_if(way == "out").alias("output_count"))
@@ -314,6 +314,25 @@ def object_key(c):
     return c.objects.select("schema_name", "object_name", (key >= 0).alias("non_negative"), (key == upper).alias("case_free"))
 
 
+@check(
+    "A20_key_collisions",
+    with_ctes(
+        "objects",
+        """SELECT object_type, count(*) AS objects, count(DISTINCT lower(schema_name) || '.' || lower(object_name)) AS keys,
+          0 AS colliding FROM objects GROUP BY 1""",
+    ),
+)
+def key_collisions(c):
+    """As many keys as names, in either case of letters, and no key with two names."""
+    both = c.objects.select("object_type", "schema_name", "object_name").unionByName(
+        c.objects.select("object_type", F.upper("schema_name").alias("schema_name"), F.lower("object_name").alias("object_name"))
+    )
+    keys = both.groupBy("object_type").agg(F.count_distinct(names.object_key(F.col("schema_name"), F.col("object_name"))).alias("keys"))
+    counts = c.objects.groupBy("object_type").agg(F.count("*").alias("objects"))
+    colliding = snapshot.colliding_keys(both).agg(F.count("*").cast("int").alias("colliding"))
+    return counts.join(keys, "object_type").join(F.broadcast(colliding))  # one row
+
+
 @check(
     "A21_union_objects",
     with_ctes(

@@ -291,6 +291,12 @@ def layered_edges(c):
         "objects dependencies proc_facts",
         f"""SELECT o.object_id, CASE WHEN o.object_type = 'View' THEN 'dmv' WHEN m.has_hints THEN 'parser_with_hints' ELSE 'parser' END AS primary_source,
           o.object_type = 'View' OR f.object_id IS NOT NULL AS parse_success, o.modify_date AS last_parsed_modify_date,
+          CASE WHEN o.object_type = 'View' THEN NULL WHEN f.object_id IS NULL THEN 'No DDL definition found'
+            WHEN f.o_orderpriority = '5-LOW' THEN concat_ws(' | ', 'Dynamic SQL: EXEC(@variable) - table names unknown at parse time',
+              CASE WHEN f.o_orderkey % 7 = 6 THEN 'Dynamic SQL: sp_executesql @variable - table names unknown at parse time' END,
+              'WHILE loop: Iterative logic not supported by parser', '→ Add @LINEAGE_INPUTS/@LINEAGE_OUTPUTS comment hints to document dependencies')
+            WHEN f.o_orderkey % 7 = 6 AND NOT coalesce(m.has_hints, false) THEN 'Dynamic SQL: sp_executesql @variable - table names unknown at parse time'
+              || ' | → Add @LINEAGE_INPUTS/@LINEAGE_OUTPUTS comment hints to document dependencies' END AS parse_failure_reason,
           CASE WHEN o.object_type = 'View' THEN NULL ELSE coalesce(m.expected_count, 0) END AS expected_count,
           CASE WHEN o.object_type = 'View' THEN NULL ELSE coalesce(m.found_count, 0) END AS found_count
         FROM objects o LEFT JOIN proc_facts f ON f.object_id = o.object_id
@@ -302,7 +308,7 @@ def layered_edges(c):
     ),
 )
 def layered_metadata(c):
-    return _layered(c).metadata.select("object_id", "primary_source", "parse_success", "last_parsed_modify_date", "expected_count", "found_count")
+    return _layered(c).metadata.select("object_id", "primary_source", "parse_success", "last_parsed_modify_date", "parse_failure_reason", "expected_count", "found_count")
 
 
 @check("S1_refresh_stream", with_ctes("objects dependencies proc_facts", "SELECT source_id, target_id, owner_id FROM refresh_edges", *REFRESH_EDGES))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks.base import Catalog, check, with_ctes
 from threadline.functions import names, text
-from threadline.operators import extract, graph, resolve, rules
+from threadline.operators import dynamic, extract, graph, resolve, rules
 from threadline.plans.derived_catalog import VIEW, _id, part_name, part_schema
 
 def _texts(expression: str) -> str:
@@ -126,7 +126,12 @@ EXPECTED = f"""expected AS (
   UNION SELECT object_id, 'source', 'dbo.RegionMaster' || k, false FROM proc_facts, (SELECT unnest(['1', '2', '3', '4']) AS k) WHERE o_orderkey % 7 = 1
   UNION SELECT object_id, 'target', 'dbo.RegionMaster' || k, false FROM proc_facts, (SELECT unnest(['1', '2']) AS k) WHERE o_orderkey % 7 = 2
   UNION SELECT object_id, 'source', 'dbo.RegionMaster1', false FROM proc_facts WHERE o_orderkey % 7 = 3
-  UNION SELECT object_id, 'source', 'O''Brien.T1', false FROM proc_facts WHERE o_orderkey % 7 = 5)"""
+  UNION SELECT object_id, 'source', 'O''Brien.T1', false FROM proc_facts WHERE o_orderkey % 7 = 5
+  UNION SELECT object_id, 'sp_call', 'dbo.sp_executesql', false FROM proc_facts WHERE o_orderkey % 7 = 6)"""
+# What the texts say that they build and execute.
+DYNAMIC = """dynamic AS (SELECT object_id, 'source' AS role, 'dbo.RegionMaster3' AS name FROM proc_facts WHERE o_orderkey % 7 = 0
+  UNION ALL SELECT object_id, 'target', 'dbo.RegionMaster1' FROM proc_facts WHERE o_orderkey % 7 = 6
+  UNION ALL SELECT object_id, 'source', 'dbo.RegionMaster2' FROM proc_facts WHERE o_orderkey % 7 = 6)"""
 CATALOG_NAMES = """names AS (SELECT CASE WHEN object_type IN ('Table', 'View') THEN 'table' WHEN object_type = 'Stored Procedure' THEN 'procedure' ELSE 'function' END AS kind,
   lower(schema_name || '.' || object_name) AS name_key, min(object_id) AS ref_id, arg_min(schema_name || '.' || object_name, object_id) AS full_name FROM objects GROUP BY 1, 2)"""
 LOOKED_UP = """looked_up AS (SELECT e.*, n.ref_id, n.full_name FROM expected e LEFT JOIN names n ON n.name_key = lower(e.name)
@@ -427,8 +432,10 @@ def parse_definitions(c):
     "C34_failure_reason",
     with_ctes(
         "proc_facts lineage_metadata definitions",
-        """SELECT d.object_id, concat_ws(' | ', CASE WHEN f.o_orderpriority = '5-LOW' THEN 'Dynamic SQL: EXEC(@variable) - table names unknown at parse time | WHILE loop: Iterative logic not supported by parser'
-            ELSE 'Complex T-SQL patterns' END,
+        """SELECT d.object_id, concat_ws(' | ', CASE WHEN f.o_orderpriority = '5-LOW' THEN 'Dynamic SQL: EXEC(@variable) - table names unknown at parse time' END,
+            CASE WHEN f.o_orderkey % 7 = 6 THEN 'Dynamic SQL: sp_executesql @variable - table names unknown at parse time' END,
+            CASE WHEN f.o_orderpriority = '5-LOW' THEN 'WHILE loop: Iterative logic not supported by parser'
+              WHEN coalesce(f.o_orderkey, 0) % 7 <> 6 OR f.o_orderkey IS NULL THEN 'Complex T-SQL patterns' END,
           CASE WHEN m.expected_count > 0 AND m.expected_count - m.found_count > 2 THEN 'Expected ' || m.expected_count || ' tables, found ' || m.found_count || ' (' || (m.expected_count - m.found_count) || ' missing)' END,
           '→ Add @LINEAGE_INPUTS/@LINEAGE_OUTPUTS comment hints to document dependencies') AS reason
         FROM definitions d LEFT JOIN proc_facts f ON f.object_id = d.object_id LEFT JOIN lineage_metadata m ON m.object_id = d.object_id""",
@@ -469,6 +476,28 @@ def validate_with_logs(c):
     return resolve.validate_with_logs(c.query_logs, c.edges, c.objects)
 
 
+@check("C14_dynamic_references", with_ctes("objects proc_facts", "SELECT object_id, role, name FROM dynamic", DYNAMIC))
+def dynamic_references(c):
+    return dynamic.dynamic_refs(c.definitions).select("object_id", "role", "name")
+
+
+@check(
+    "D3_edges_with_dynamic",
+    with_ctes(
+        "objects proc_facts",
+        """SELECT source_id, target_id, owner_id, min(edge_type) AS edge_type FROM (SELECT *, 'dependency' AS edge_type FROM parsed_edges
+          UNION ALL SELECT CASE d.role WHEN 'source' THEN n.ref_id ELSE d.object_id END, CASE d.role WHEN 'source' THEN d.object_id ELSE n.ref_id END, d.object_id, 'dynamic'
+          FROM dynamic d JOIN names n ON n.kind = 'table' AND n.name_key = lower(d.name)) GROUP BY 1, 2, 3""",
+        *RESOLVED,
+        PARSED_EDGES,
+        DYNAMIC,
+    ),
+)
+def edges_with_dynamic(c):
+    resolved = resolve.resolve_definitions(c.definitions, c.objects)
+    return dynamic.with_dynamic(graph.parsed_edges(resolved), c.definitions, c.objects)
+
+
 @check(
     "D3_parsed_edges",
     with_ctes("objects proc_facts", "SELECT source_id, target_id, owner_id FROM parsed_edges", *RESOLVED, PARSED_EDGES),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import NODES_CTE, Catalog, check, joined, node_table, with_ctes
-from threadline.operators import filters, search, text_index, traverse, view
+from threadline.operators import filters, gram_index, search, text_index, traverse, view
 from threadline.operators.traverse import TraceRequest
 from threadline.session import scratch_dir
 from threadline.sources import logs, snapshot
@@ -97,6 +97,23 @@ def paths(c):
     return found.select(joined("path", ">").alias("path"))
 
 
+@check(
+    "E2_route_nodes",
+    with_ctes(
+        "objects lineage_edges",
+        f"SELECT DISTINCT unnest(path) AS id FROM routes WHERE here = {END}",
+        NODES_CTE,
+        ALL_ALLOWED,
+        USABLE,
+        f"""routes AS (SELECT [id] AS path, id AS here FROM allowed WHERE id = {START}
+          UNION ALL SELECT list_append(r.path, e.target_id), e.target_id FROM routes r JOIN usable e ON e.source_id = r.here
+          WHERE r.here <> {END} AND len(r.path) <= 6 AND NOT list_contains(r.path, e.target_id))""",
+    ),
+)
+def route_nodes(c):
+    return traverse.route_nodes(c.nodes, c.adjacency, TraceRequest(START, END), max_depth=6)
+
+
 VISIBLE = """visible AS (SELECT id, name, "schema" FROM nodes WHERE "schema" IN ('CONSUMPTION_FINANCE', 'CONSUMPTION_SALES', 'STAGING_HR', 'STAGING_BUILDING'))"""
 
 
@@ -206,9 +223,9 @@ def top_nodes(c):
     "E10_visible_edges",
     with_ctes(
         "objects lineage_edges",
-        """SELECT a.source_id, a.target_id, b.source_id IS NOT NULL AND a.source_id <> a.target_id AS is_bidirectional
-        FROM shown a LEFT JOIN shown b ON b.source_id = a.target_id AND b.target_id = a.source_id
-        WHERE b.source_id IS NULL OR a.source_id <= a.target_id""",
+        """SELECT CASE WHEN count(*) = 2 THEN least(min(source_id), min(target_id)) ELSE min(source_id) END AS source_id,
+          CASE WHEN count(*) = 2 THEN greatest(max(source_id), max(target_id)) ELSE min(target_id) END AS target_id, count(*) = 2 AS is_bidirectional
+        FROM (SELECT DISTINCT source_id, target_id FROM shown) GROUP BY least(source_id, target_id), greatest(source_id, target_id)""",
         NODES_CTE,
         VISIBLE.replace("visible AS (", "visible AS MATERIALIZED ("),
         "shown AS MATERIALIZED (SELECT source_id, target_id FROM lineage_edges WHERE source_id IN (SELECT id FROM visible) AND target_id IN (SELECT id FROM visible))",
@@ -475,6 +492,35 @@ def scored_search(c):
     return _scored(c)
 
 
+def _described(c: Catalog):
+    texts = _unified(c).select(F.col("object_id").alias("id"), "ddl_text")
+    description = F.when(F.col("object_type") != "View", F.concat(F.lit("Layer of "), "name", F.lit(" in "), "schema"))
+    return node_table(c.objects).join(texts, "id").withColumn("description", description)
+
+
+@check("F9_scored_search_by_grams", with_ctes("objects definitions table_columns", HITS_SQL, NODES_CTE, *DDL, SCORED))
+def scored_search_by_grams(c):
+    """The same hits: candidates from an index of three-letter runs, confirmed on whole texts."""
+    nodes = _described(c)
+    folder = gram_index.create(nodes, scratch_dir(c.spark, "grams"), "id", ["name", "description", "ddl_text"], buckets=16)
+    return search.scored_search(gram_index.candidates(nodes, folder, TERM), TERM)
+
+
+@check(
+    "E12_suggest_by_grams",
+    with_ctes(
+        "objects",
+        """SELECT id, name, "schema" FROM nodes WHERE contains(lower(name), 'load1') AND "schema" IN ('STAGING_SALES', 'STAGING_HR')
+        ORDER BY CASE WHEN starts_with(lower(name), 'load1') THEN 0 ELSE 1 END, id LIMIT 5""",
+        NODES_CTE,
+    ),
+)
+def suggest_by_grams(c):
+    folder = gram_index.create(c.nodes, scratch_dir(c.spark, "grams"), "id", ["name"], buckets=16)
+    found = gram_index.candidates(c.nodes, folder, "LOAD1")
+    return filters.suggest(found, "LOAD1", k=5, schemas=["STAGING_SALES", "STAGING_HR"]).select("id", "name", "schema")
+
+
 @check(
     "F10_filter_hits",
     with_ctes(

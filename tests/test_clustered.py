@@ -53,6 +53,27 @@ def test_traversals_agree_on_both_forms(spark, make, tmp_path, monkeypatch, lite
         clustered.reach(nodes.select("id", F.lit("up").alias("direction")), 1, ["up"])
 
 
+@pytest.mark.parametrize("seed, depth", [(1, 4), (2, 5)])
+def test_routes_from_both_ends(make, seed, depth):
+    rng = random.Random(seed)
+    pairs = {(rng.randrange(12), rng.randrange(12)) for _ in range(34)}
+    nodes = make("id long, name string, schema string, object_type string, data_model_type string", *[(i, f"N{i}", "a", "Table", "Other") for i in range(12)])
+    edges = make("source_id long, target_id long", *pairs)
+
+    def walk(path):
+        if path[-1] == 5:
+            yield tuple(path)
+        elif len(path) <= depth:
+            for a, b in pairs:
+                if a == path[-1] and b not in path:
+                    yield from walk([*path, b])
+
+    want = set(walk([0]))
+    found = [tuple(r[0]) for r in traverse.paths(nodes, edges, TraceRequest(0, 5), depth).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert {r["id"] for r in traverse.route_nodes(nodes, edges, TraceRequest(0, 5), depth).collect()} == {i for p in want for i in p}
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -113,14 +113,14 @@ def _lists(found: DataFrame, parts: int) -> DataFrame:
 
 
 def with_lists(nodes: DataFrame, found: DataFrame, parts: int) -> DataFrame:
-    """Nodes with the lists of their neighbours, ``parts`` rows each (``part`` from 0), for formats that need lists.
+    """Nodes with the lists of their neighbours, ``parts`` rows each (``part`` from 0, ``parts``), for formats that need lists.
 
     ``found``: neighbours as from :func:`neighbours`, with ids as in ``nodes``.
     """
     none = F.array().cast(f"array<{found.schema['other'].dataType.simpleString()}>")
     rows = nodes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     return rows.join(_lists(found, parts), ["id", "part"], "left").select(
-        *nodes.columns, "part", *[F.coalesce(c, none).alias(c) for c in ("inputs", "outputs", "bidirectional_with")]
+        *nodes.columns, "part", F.lit(parts).cast("long").alias("parts"), *[F.coalesce(c, none).alias(c) for c in ("inputs", "outputs", "bidirectional_with")]
     )
 
 

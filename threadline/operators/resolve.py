@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadline.functions import text
 from threadline.operators.extract import extract_refs, hint_rows, read_references
 from threadline.operators.rules import DEFAULT_RULES, Rule
 from threadline.session import write_stage
@@ -246,17 +247,23 @@ def parse_definitions(
     hint_mode: str = "union",
     resolved: DataFrame | None = None,
     catalog: DataFrame | None = None,
+    reasons: bool = False,
 ) -> DataFrame:
     """One result row per object of the given types.
 
-    Objects without text get ``parse_success`` false and an error. ``catalog`` is the full object
+    Objects without text get ``parse_success`` false and an error. With ``reasons`` the column
+    ``failure_reason`` says what else of a text cannot be followed (NULL if nothing, or if hints say
+    what it reads and writes); comments and string literals do not count. ``catalog`` is the full object
     list when ``objects`` is only the part to parse; ``resolved`` may pass in references already
     computed for the same objects.
     """
     catalog = objects if catalog is None else catalog
     wanted = objects.where(F.col("object_type").isin(*object_types)).select("object_id", "modify_date")
     # Texts stay where they are: only a flag and the short references are joined.
-    flags = definitions.select("object_id", (F.length("definition") > 0).alias("_text"))
+    code = text.mask_literals(text.strip_comments(F.col("definition")))
+    flags = definitions.select(
+        "object_id", (F.length("definition") > 0).alias("_text"), *([failure_patterns(code).alias("_patterns")] if reasons else [])
+    )
     texts = wanted.join(flags, "object_id", "left").withColumn("has_text", F.coalesce("_text", F.lit(False)))
     if resolved is None:
         resolved = resolve_definitions(definitions, catalog, rules, dialect, hint_mode)
@@ -271,7 +278,7 @@ def parse_definitions(
     )
     zero = F.lit(0)
     return (
-        texts.select("object_id", "modify_date", "has_text")
+        texts.select("object_id", "modify_date", "has_text", *(["_patterns"] if reasons else []))
         .join(per_object, "object_id", "left")
         .select(
             "object_id",
@@ -283,10 +290,17 @@ def parse_definitions(
             F.coalesce("output_count", zero).alias("output_count"),
             F.coalesce("expected_count", zero).alias("expected_count"),
             F.coalesce("found_count", zero).alias("found_count"),
+            *([_reason_of_row().alias("failure_reason")] if reasons else []),
         )
     )
 
 
+def _reason_of_row() -> Column:
+    counts = (F.coalesce("expected_count", F.lit(0)), F.coalesce("found_count", F.lit(0)))
+    told = (F.size("_patterns") > 0) & ~F.coalesce("has_hints", F.lit(False))
+    return F.when(told, reason_text(F.col("_patterns"), F.lit(None).cast("string"), *counts))
+
+
 # Reasons reported for text that pattern matching cannot follow.
 REASON_EXEC_VARIABLE = "Dynamic SQL: EXEC(@variable) - table names unknown at parse time"
 REASON_EXECUTESQL = "Dynamic SQL: sp_executesql @variable - table names unknown at parse time"
@@ -297,13 +311,8 @@ REASON_OTHER = "Complex T-SQL patterns"
 ADVICE = "→ Add @LINEAGE_INPUTS/@LINEAGE_OUTPUTS comment hints to document dependencies"
 
 
-def failure_reason(
-    sql: Column, parse_error: Column | None = None, expected: Column | None = None, found: Column | None = None
-) -> Column:
-    """Why a text cannot be followed, with advice."""
-    error = F.lit(None).cast("string") if parse_error is None else parse_error
-    expected = F.lit(0) if expected is None else expected
-    found = F.lit(0) if found is None else found
+def failure_patterns(sql: Column) -> Column:
+    """What pattern matching cannot follow in a text: an array of reasons, empty if there is nothing."""
     begins = F.regexp_count(sql, F.lit(r"(?i)\bBEGIN\b"))
     cases = F.regexp_count(sql, F.lit(r"(?i)\bCASE\b"))
     ctes = F.regexp_count(sql, F.lit(r"(?i)\bWITH\s+\w+\s+AS\s*\("))
@@ -312,7 +321,7 @@ def failure_reason(
     # A variable, then its type, then a keyword; each step looks only behind the first hit of the one before.
     declared = F.regexp_extract(F.regexp_extract(sql, r"(?is)DECLARE\s+@\w+(.*+)", 1), r"(?is)NVARCHAR(.*+)", 1)
     concat = declared.rlike(r"(?i)INSERT|SELECT|UPDATE|DELETE|FROM")
-    reasons = F.array_compact(
+    return F.array_compact(
         F.array(
             F.when(exec_variable, REASON_EXEC_VARIABLE),
             F.when(executesql, REASON_EXECUTESQL),
@@ -324,6 +333,10 @@ def failure_reason(
             F.when(ctes >= 10, F.format_string("Multiple CTEs: %d WITH clauses (limit: 9)", ctes)),
         )
     )
+
+
+def reason_text(reasons: Column, error: Column, expected: Column, found: Column) -> Column:
+    """The reasons as one text, with counts of tables and advice."""
     fallback = F.when(error != "", F.concat(F.lit("Parse error: "), F.substring(error, 1, 100))).otherwise(REASON_OTHER)
     main = F.when(F.size(reasons) > 0, F.array_join(reasons, " | ")).otherwise(fallback)
     missing = expected - found
@@ -334,6 +347,16 @@ def failure_reason(
     return F.concat_ws(" | ", main, counts, F.lit(ADVICE))
 
 
+def failure_reason(
+    sql: Column, parse_error: Column | None = None, expected: Column | None = None, found: Column | None = None
+) -> Column:
+    """Why a text cannot be followed, with advice."""
+    error = F.lit(None).cast("string") if parse_error is None else parse_error
+    expected = F.lit(0) if expected is None else expected
+    found = F.lit(0) if found is None else found
+    return reason_text(failure_patterns(sql), error, expected, found)
+
+
 def distinct_commands(logs: DataFrame) -> DataFrame:
     """Distinct data-moving statements of a query log."""
     return _commands(logs).select("command_text")

@@ -152,7 +152,7 @@ def path_nodes(
     A route neither returns to the start nor goes on behind the end. Found are the nodes that the
     start reaches and that reach the end, with minimal distances; nodes whose shortest route is
     longer than ``max_depth`` are left out. A node whose ways to and from it share a node, so that
-    it is on no route free of repetition, may still be among them (:func:`paths` lists the routes).
+    it is on no route free of repetition, may still be among them (:func:`route_nodes` is exact).
     The filter applies to every node but the start.
     """
     start, end = F.lit(request.start), F.lit(request.end)
@@ -184,39 +184,57 @@ def paths(
 ) -> DataFrame:
     """(path): every route without repeated node from start to end of at most ``max_depth`` edges.
 
-    Partial routes grow only inside :func:`path_nodes` and only while the end is still within
-    the remaining depth, so no partial route is a dead end by distance.
+    Half routes grow from the start and from the end, inside :func:`path_nodes` and only while the
+    other end is still within reach, and meet on the node in the middle: a route of n edges is a first
+    half of n/2 edges, rounded up, and a second half of the rest that share that node alone. Halves
+    are far fewer than whole partial routes, and each route is found once.
     """
     inside = write_stage(path_nodes(nodes, edges, request, direction, max_depth), "paths-nodes")
     usable = node_edges(_oriented(_pairs(edges), direction), inside)
-    steps = write_stage(
-        usable.join(inside.select(F.col("id").alias("target_id"), "to_end"), "target_id").select(
-            "source_id", "target_id", "to_end"
-        ),
-        "paths-steps",
-    )
-    open_paths = write_stage(
-        inside.where(F.col("id") == F.lit(request.start)).select(F.array("id").alias("path"), F.col("id").alias("at")),
-        "paths-0",
-    )
-    done = [open_paths.where(F.col("at") == F.lit(request.end)).select("path")]
-    for depth in range(1, max_depth + 1):
-        growing = open_paths.where(F.col("at") != F.lit(request.end))
-        if growing.isEmpty():
+    ends = lambda side: inside.select(F.col("id").alias(f"{side}_id"), F.col("from_start" if side == "source" else "to_end"))
+    steps = write_stage(usable.join(ends("target"), "target_id").join(ends("source"), "source_id"), "paths-steps")
+    first = _half_routes(inside, steps, request.start, request.end, ("source_id", "target_id", "to_end"), -(-max_depth // 2), max_depth)
+    second = _half_routes(inside, steps, request.end, request.start, ("target_id", "source_id", "from_start"), max_depth // 2, max_depth)
+    found = None
+    for length in range(max_depth + 1):
+        i, j = -(-length // 2), length // 2
+        if i >= len(first) or j >= len(second):
             break
+        tail = second[j].select("at", F.reverse("path").alias("tail"))
+        whole = first[i].join(tail, "at").where(F.size(F.array_intersect("path", "tail")) == 1)
+        part = whole.select(F.concat("path", F.slice("tail", 2, F.greatest(F.size("tail") - 1, F.lit(0)))).alias("path"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _half_routes(
+    inside: DataFrame, steps: DataFrame, start: object, end: object, columns: tuple[str, str, str], depth: int, max_depth: int
+) -> list[DataFrame]:
+    """(path, at) of the routes of 0 to ``depth`` edges from one end; none goes on behind the other end."""
+    at, to, left = columns
+    level = write_stage(inside.where(F.col("id") == F.lit(start)).select(F.array("id").alias("path"), F.col("id").alias("at")), "paths-0")
+    found = [level]
+    for length in range(1, depth + 1):
         grown = (
-            growing.join(steps, F.col("at") == F.col("source_id"))
-            .where((F.lit(depth) + F.col("to_end") <= max_depth) & ~F.array_contains(F.col("path"), F.col("target_id")))
-            .select(F.array_append("path", F.col("target_id")).alias("path"), F.col("target_id").alias("at"))
+            level.where(F.col("at") != F.lit(end))
+            .join(steps.select(F.col(at).alias("at"), F.col(to).alias("to"), F.col(left).alias("left")), "at")
+            .where((F.lit(length) + F.col("left") <= max_depth) & ~F.array_contains(F.col("path"), F.col("to")))
+            .select(F.array_append("path", F.col("to")).alias("path"), F.col("to").alias("at"))
         )
-        open_paths = write_stage(grown, f"paths-{depth}")
-        done.append(open_paths.where(F.col("at") == F.lit(request.end)).select("path"))
-    found = done[0]
-    for part in done[1:]:
-        found = found.unionByName(part)
+        level = write_stage(grown, f"paths-{length}")
+        if level.isEmpty():
+            break
+        found.append(level)
     return found
 
 
+def route_nodes(
+    nodes: DataFrame, edges: DataFrame | Adjacency, request: TraceRequest, max_depth: int, direction: str = "downstream"
+) -> DataFrame:
+    """(id) of the nodes on routes without repetition from start to end of at most ``max_depth`` edges: exact."""
+    return paths(nodes, edges, request, max_depth, direction).select(F.explode("path").alias("id")).distinct()
+
+
 def reachable_from_focus(nodes: DataFrame, edges: DataFrame | Adjacency, focus_schemas: list[str]) -> DataFrame:
     """Visible nodes of the focus schemas and whatever connects to them inside the visible set.
 

@@ -175,6 +175,7 @@ SELECT object_id, 'CREATE PROCEDURE [' || schema_name || '].[' || object_name ||
     WHEN 2 THEN 'UPDATE TOP (5) dbo.RegionMaster1 SET v = 1; DELETE TOP (10) FROM dbo.RegionMaster2 WHERE 1 = 0; '
     WHEN 3 THEN 'SELECT a FROM edw..RegionMaster1; '
     WHEN 4 THEN '/* a /* b */ FROM dbo.RegionMaster1 */ SELECT c FROM dbo.RegionMaster2; '
+    WHEN 6 THEN 'DECLARE @q NVARCHAR(200) = N''INSERT INTO dbo.RegionMaster1 SELECT a FROM '' + @t + N'' x, dbo.RegionMaster2 WHERE b = c''; EXEC sp_executesql @q; '
     WHEN 5 THEN 'SELECT d FROM [O''Brien].[T1] -- it''s FROM dbo.RegionMaster1' || chr(10) || '; '
     ELSE '' END ||
   'COMMIT TRANSACTION; SELECT z FROM dbo.RegionMaster0 END' AS definition

@@ -201,3 +201,10 @@ def export_definitions(definitions: DataFrame, objects: DataFrame, folder: str)
         .write.partitionBy("schema_name")
         .text(folder)
     )
+
+
+def colliding_keys(objects: DataFrame) -> DataFrame:
+    """(key, names) of surrogate keys that more than one name has; names differ in more than case."""
+    full = F.struct(F.lower("schema_name").alias("schema_name"), F.lower("object_name").alias("object_name"))
+    key = names.object_key(F.col("schema_name"), F.col("object_name"))
+    return objects.groupBy(key.alias("key")).agg(F.count_distinct(full).alias("names")).where("names > 1")
