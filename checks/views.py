@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks import porter
 from checks.base import NODES_CTE, Catalog, check, joined, node_table, with_ctes
 from threadline.operators import filters, gram_index, search, text_index, traverse, view
 from threadline.operators.traverse import TraceRequest
@@ -399,7 +400,20 @@ def search_catalog(c):
     return search.search(search.build_index(_unified(c), "object_id", ["object_name", "ddl_text"]), "merge machinery")
 
 
-@check("F7_search_stemmed")
+ACCENTS = search._accent_map()
+STEMMED = f"""words AS (SELECT id, unnest(string_split_regex(lower(translate(body, '{ACCENTS[0]}', '{ACCENTS[1]}')), '[^a-z]+')) AS term FROM docs),
+cut AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM words WHERE term <> '' GROUP BY 1, 2),
+stems AS MATERIALIZED ({porter.stems("cut", "term")}),
+postings AS MATERIALIZED (SELECT id, stem AS term, sum(tf) AS tf FROM cut JOIN stems USING (term) GROUP BY 1, 2),
+lengths AS (SELECT d.id, coalesce(sum(p.tf), 0)::BIGINT AS length FROM docs d LEFT JOIN cut p ON p.id = d.id GROUP BY 1),
+asked AS (SELECT unnest(['entions', 'eners', 'the']) AS term),
+asked_stems AS ({porter.stems("asked", "term")})"""
+
+
+@check(
+    "F7_search_stemmed",
+    "WITH " + ",\n".join([DOCS, STEMMED, _ranked("p.term IN (SELECT stem FROM asked_stems)")]) + "\nSELECT id, score FROM ranked",
+)
 def search_stemmed(c):
     return search.search(_document_index(c, stemmed=True, fold_accents=True), "entions eners the", k=None)
 

@@ -25,6 +25,7 @@ HUB_ROWS = 100_000
 #: Frontiers of at most this many ids are literals of the scan, which prunes buckets and row groups.
 LITERALS = 1000
 
+LAYOUT = "buckets int, kind string, hub_ways array<string>"
 DIRECTIONS = {"downstream": "outgoing", "upstream": "incoming"}
 
 
@@ -37,6 +38,7 @@ class Adjacency:
     hub_outgoing: DataFrame
     hub_incoming: DataFrame
     hubs: DataFrame  # (at, way), fewer than buckets
+    hub_ways: frozenset[str]  # ways in which there are hubs at all
 
     def edges(self) -> DataFrame:
         """(source_id, target_id), distinct."""
@@ -47,10 +49,13 @@ class Adjacency:
         """(id) one step from the frontier (id), ``count`` rows, in one way; with repetitions."""
         table, hub_table = getattr(self, DIRECTIONS[way]), getattr(self, f"hub_{DIRECTIONS[way]}")
         if count <= LITERALS:
-            ids = [r["id"] for r in frontier.select("id").distinct().collect()]
-            return table.where(F.col("at").isin(ids)).unionByName(hub_table.where(F.col("at").isin(ids))).select("id")
+            hit = F.col("at").isin([r["id"] for r in frontier.select("id").distinct().collect()])
+            plain = table.where(hit)
+            return (plain.unionByName(hub_table.where(hit)) if way in self.hub_ways else plain).select("id")
         here = frontier.select(F.col("id").alias("at"))
         plain = table.join(here, "at", "left_semi")
+        if way not in self.hub_ways:
+            return plain.select("id")
         own_hubs = self.hubs.where(F.col("way") == way).select("at").join(here, "at", "left_semi")
         return plain.unionByName(hub_table.join(F.broadcast(own_hubs), "at", "left_semi")).select("id")
 
@@ -89,15 +94,18 @@ def write_adjacency(edges: DataFrame, folder: str, buckets: int | None = None) -
         write_clustered(clustered, f"{root}/{DIRECTIONS[way]}", "at", buckets, ("id",))
         steps.join(own, "at", "left_semi").distinct().write.parquet(f"{root}/hub_{DIRECTIONS[way]}")
     kind = known.schema["source_id"].dataType.simpleString()
-    spark.createDataFrame([(buckets, kind)], "buckets int, kind string").coalesce(1).write.json(f"{root}/layout")
+    hub_ways = [r["way"] for r in hubs.select("way").distinct().collect()]
+    spark.createDataFrame([(buckets, kind, hub_ways)], LAYOUT).coalesce(1).write.json(f"{root}/layout")
 
 
 def read_adjacency(spark: SparkSession, folder: str) -> Adjacency:
     """The clustered edges of a folder, declared to the session as bucketed tables."""
     root = folder.rstrip("/")
-    layout = spark.read.schema("buckets int, kind string").json(f"{root}/layout").first()
+    layout = spark.read.schema(LAYOUT).json(f"{root}/layout").first()
     schema = T.StructType.fromDDL(f"at {layout['kind']}, id {layout['kind']}")
     clustered = lambda part: read_clustered(spark, f"{root}/{part}", schema, "at", layout["buckets"], ("id",))
     plain = lambda part: spark.read.schema(schema).parquet(f"{root}/{part}")
     hubs = spark.read.schema(f"at {layout['kind']}, way string").parquet(f"{root}/hubs")
-    return Adjacency(clustered("outgoing"), clustered("incoming"), plain("hub_outgoing"), plain("hub_incoming"), hubs)
+    return Adjacency(
+        clustered("outgoing"), clustered("incoming"), plain("hub_outgoing"), plain("hub_incoming"), hubs, frozenset(layout["hub_ways"] or ())
+    )
