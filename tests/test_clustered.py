@@ -85,7 +85,7 @@ def test_a_level_exchanges_no_edges(spark, make, tmp_path, monkeypatch):
     spark.range(3).write.parquet(f"{tmp_path}/f")
     frontier = spark.read.parquet(f"{tmp_path}/f")
     # Few ids: no join at all, and only their buckets are read.
-    plan = _plan(clustered.step(frontier, 3, "downstream"))
+    plan = _plan(clustered.step_from([1, 2, 3], "downstream"))
     assert "Join" not in plan and "Exchange" not in plan
     assert "In(at" in plan or "at IN" in plan or "INSET" in plan
     spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # only then plans name the buckets

@@ -42,32 +42,42 @@ class Adjacency:
 
     def edges(self) -> DataFrame:
         """(source_id, target_id), distinct."""
-        both = self.outgoing.unionByName(self.hub_outgoing)
+        plain, *hubs = self._tables("downstream")
+        both = plain.unionByName(hubs[0]) if hubs else plain
         return both.select(F.col("at").alias("source_id"), F.col("id").alias("target_id"))
 
-    def step(self, frontier: DataFrame, count: int, way: str) -> DataFrame:
-        """(id) one step from the frontier (id), ``count`` rows, in one way; with repetitions."""
-        table, hub_table = getattr(self, DIRECTIONS[way]), getattr(self, f"hub_{DIRECTIONS[way]}")
-        if count <= LITERALS:
-            hit = F.col("at").isin([r["id"] for r in frontier.select("id").distinct().collect()])
-            plain = table.where(hit)
-            return (plain.unionByName(hub_table.where(hit)) if way in self.hub_ways else plain).select("id")
+    def _tables(self, way: str) -> list[DataFrame]:
+        """The steps of a way, those of hubs last if there are any."""
+        if way not in DIRECTIONS:
+            raise ValueError(f"unknown direction: {way}")
+        name = DIRECTIONS[way]
+        return [getattr(self, name), *([getattr(self, f"hub_{name}")] if way in self.hub_ways else [])]
+
+    def step_from(self, ids: list, way: str) -> DataFrame:
+        """(id) one step from a short list of ids, which prunes buckets and row groups; with repetitions."""
+        plain, *hubs = (t.where(F.col("at").isin(ids)).select("id") for t in self._tables(way))
+        return plain.unionByName(hubs[0]) if hubs else plain
+
+    def step(self, frontier: DataFrame, way: str) -> DataFrame:
+        """(id) one step from a frontier (id) of any size; with repetitions."""
         here = frontier.select(F.col("id").alias("at"))
-        plain = table.join(here, "at", "left_semi")
-        if way not in self.hub_ways:
-            return plain.select("id")
-        own_hubs = self.hubs.where(F.col("way") == way).select("at").join(here, "at", "left_semi")
-        return plain.unionByName(hub_table.join(F.broadcast(own_hubs), "at", "left_semi")).select("id")
+        plain, *hubs = self._tables(way)
+        found = plain.join(here, "at", "left_semi").select("id")
+        if not hubs:
+            return found
+        own_hubs = self.hubs.where(F.col("way") == way).select("at").join(here, "at", "left_semi")  # fewer than buckets
+        return found.unionByName(hubs[0].join(F.broadcast(own_hubs), "at", "left_semi").select("id"))
 
     def reach(self, frontier: DataFrame, count: int, going: list[str]) -> DataFrame:
-        """(id, direction) one step from the frontier (id, direction); ``any`` goes both ways."""
+        """(id, direction) one step from the frontier (id, direction) of ``count`` rows; ``any`` goes both ways."""
+        few = frontier.select("id", "direction").collect() if count <= LITERALS else None
         found = None
         for direction in going:
             own = frontier.where(F.col("direction") == direction)
+            ids = None if few is None else [r["id"] for r in few if r["direction"] == direction]
             for way in DIRECTIONS if direction == "any" else (direction,):
-                if way not in DIRECTIONS:
-                    raise ValueError(f"unknown direction: {direction}")
-                part = self.step(own, count, way).withColumn("direction", F.lit(direction))
+                part = self.step(own, way) if ids is None else self.step_from(ids, way)
+                part = part.withColumn("direction", F.lit(direction))
                 found = part if found is None else found.unionByName(part)
         return found.distinct()
 

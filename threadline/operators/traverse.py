@@ -138,7 +138,8 @@ def trace(nodes: DataFrame, edges: DataFrame | Adjacency, request: TraceRequest)
     seeds = allowed.where(F.col("id") == F.lit(request.start)).select("id")
     limits = {"upstream": request.upstream, "downstream": request.downstream}
     if isinstance(edges, Adjacency):
-        return _walk(edges, seeds, limits, "trace", allowed.select("id"))
+        ids = write_stage(allowed.select("id"), "trace-allowed")  # every level holds what it reaches against them
+        return _walk(edges, ids.where(F.col("id") == F.lit(request.start)), limits, "trace", ids)
     if None in limits.values():
         return _walk(_allowed_edges(allowed, edges, "trace-edges"), seeds, limits, "trace")
     return _walk(edges.select("source_id", "target_id"), seeds, limits, "trace", allowed.select("id"))
